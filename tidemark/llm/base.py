@@ -7,69 +7,20 @@ import io
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..plans.shared import delete, drop_scratch, scratch, shared_root, stored  # noqa: F401
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Bytes of text that a Python function holds at a time (a single longer text is held alone).
 BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only where neither the setting nor the context names one (tests) is a temporary folder of our own set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = sc.getCheckpointDir()
-    if own is None:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(f"file://{folder}")
-        own = sc.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared root; :func:`drop_scratch` removes what was written there."""
-    path = f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of earlier calls; only for callers whose earlier results are stored elsewhere."""
-    while _made:
-        owner, path = _made.pop()
-        if owner.sparkContext._jsc is not None:
-            delete(spark, path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.scratch_path = path
-    return back
 
 
 def ship(spark: SparkSession) -> None:
