@@ -62,6 +62,12 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(_documents(spark, sf_dir))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir), length=400)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_columns": op5_media_columns,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_order_minhash": op7_order_minhash,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
