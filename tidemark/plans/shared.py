@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folder names that :func:`scratch` gives out within the block; the list is filled at its end."""
+    made: list[str] = []
+    before = len(_made)
+    yield made
+    made.extend(path for _, path in _made[before:])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
