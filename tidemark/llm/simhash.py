@@ -98,3 +98,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     of_fp = distinct.join(labels, "fp", "left").join(smallest, "label", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(of_fp, "fp").select(F.col("doc_id").alias(id_column), hexed.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id. All columns are kept.
+
+    Of rows with equal ids one stays. Rows without an id are no group's first; of those with equal texts one stays.
+    """
+    first = groups(docs, id_column, text_column).where(F.col(id_column) == F.col("component_id")).select(id_column)
+    named = docs.join(first, id_column, "left_semi").dropDuplicates([id_column])
+    return named.unionByName(docs.where(docs[id_column].isNull()).dropDuplicates([text_column]))
