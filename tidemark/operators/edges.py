@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.frame import COMPONENTS, PairConfig
+from ..plans.shared import stored
 
 KEY = ["scope", "src", "dst"]
 GLOBAL = "*"
@@ -121,8 +122,11 @@ def mark_indirect(edges: DataFrame) -> DataFrame:
 
 
 def collapse_agent_edges(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
-    """Edges of all scopes, structural alternatives included."""
-    return mark_indirect(collapse(pairs, cfg))
+    """Edges of all scopes, structural alternatives included.
+
+    The edges are stored before they meet each other: six reads of a small table, not six runs of the pair scoring.
+    """
+    return mark_indirect(stored(collapse(pairs, cfg), "edges"))
 
 
 def edges_frame(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,12 @@ def query(sql: str | None = None):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark, sf_dir, with_embeddings=False).drop("content")
+    """The frame without texts and vectors, numbered once and stored: every query reads it several times."""
+    return stored(from_events(spark, sf_dir, with_embeddings=False).drop("content"), "events")
+
+
+def full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(from_events(spark, sf_dir), "full-events")
 
 
 def micros(name: str):
@@ -178,7 +183,7 @@ sp AS (SELECT * FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY
 
 @query(f"{BASE}, {VECTORS}, {NEAREST} SELECT i, j, round(sim, 6) AS sim FROM sp")
 def semantic_topk(spark, sf_dir):
-    ev = pairs.with_text_flag(from_events(spark, sf_dir), SEMANTIC)
+    ev = pairs.with_text_flag(full_events(spark, sf_dir), SEMANTIC)
     return pairs.semantic_pairs(ev, SEMANTIC).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
@@ -197,7 +202,7 @@ SCORED_SEMANTIC = f"""{BASE}, {CANDIDATES}, {WEIGHTS}, {VECTORS}, {NEAREST}, {sc
 
 @query(f"{SCORED_SEMANTIC} SELECT {PAIR_COLUMNS} FROM pairs")
 def scored_pairs_semantic(spark, sf_dir):
-    return pair_output(pairs.score_pairs(from_events(spark, sf_dir), SEMANTIC, semantic=True))
+    return pair_output(pairs.score_pairs(full_events(spark, sf_dir), SEMANTIC, semantic=True))
 
 
 @query(f"""{SCORED}, h AS (SELECT *, CASE WHEN direct > 0 THEN 0e0 ELSE direct END AS d2 FROM pairs)
@@ -214,7 +219,7 @@ def rescored_pairs(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY p.i, p.j ORDER BY c.rn DESC) <= 3)
 SELECT i, j, string_agg(event_id, ',' ORDER BY k) AS common_cause FROM hit GROUP BY i, j""")
 def common_cause(spark, sf_dir):
-    ev = from_events(spark, sf_dir)
+    ev = full_events(spark, sf_dir)
     found = pairs.common_causes(pairs.score_pairs(ev, SEMANTIC, semantic=True), ev, SEMANTIC)
     return found.where(F.size("common_cause") > 0).select("i", "j", F.array_join("common_cause", ",").alias("common_cause"))
 
@@ -240,7 +245,7 @@ sib AS (SELECT e.src, e.dst, min(xs.src) AS upstream FROM ed e JOIN ed xs ON xs.
 
 
 def all_edges(spark, sf_dir) -> DataFrame:
-    return edges.collapse(pairs.score_pairs(events(spark, sf_dir), PLAIN), PLAIN)
+    return stored(edges.collapse(pairs.score_pairs(events(spark, sf_dir), PLAIN), PLAIN), "edges")
 
 
 @query(f"{EDGES} SELECT src, dst, score, temporal, semantic, resource, direct, goal, action FROM ed")
@@ -271,7 +276,7 @@ def edge_sibling(spark, sf_dir):
 
 @query(f"{EDGES} SELECT e.src, e.dst, e.score, CASE WHEN i.via IS NULL AND s.upstream IS NULL THEN e.confidence WHEN e.confidence = 'strong' THEN 'moderate' ELSE 'weak' END AS confidence FROM ed e LEFT JOIN ind i USING (src, dst) LEFT JOIN sib s USING (src, dst)")
 def influence_edges(spark, sf_dir):
-    return edges.mark_indirect(stored(all_edges(spark, sf_dir), "edges")).select("src", "dst", "score", "confidence")
+    return edges.mark_indirect(all_edges(spark, sf_dir)).select("src", "dst", "score", "confidence")
 
 
 @query()
@@ -301,20 +306,20 @@ def segment_stats(spark, sf_dir):
 
 @query(f"{COMPONENTS_SQL} SELECT rn, component FROM component")
 def components(spark, sf_dir):
-    ev = stored(events(spark, sf_dir), "events")
+    ev = events(spark, sf_dir)
     return episodes.strong_components(ev, pairs.score_pairs(ev, PLAIN), EPISODES)
 
 
 @query(f"""{COMPONENTS_SQL}, grp AS (SELECT component, count(*) AS n_events, count(DISTINCT actor_id) AS n_agents, max(us) - min(us) AS span_us FROM component JOIN ev USING (rn) GROUP BY 1)
 SELECT component, n_events, n_agents, span_us FROM grp WHERE n_agents >= 2 AND n_events >= 3""")
 def episode_groups(spark, sf_dir):
-    ev = stored(events(spark, sf_dir), "events")
+    ev = events(spark, sf_dir)
     m = episodes.episode_members(ev, pairs.score_pairs(ev, PLAIN), EPISODES)
     return m.groupBy("component").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("actor_id").alias("n_agents"), (F.max("us") - F.min("us")).alias("span_us"))
 
 
 def found_episodes(spark, sf_dir):
-    ev = stored(events(spark, sf_dir), "events")
+    ev = events(spark, sf_dir)
     scored = stored(pairs.score_pairs(ev, PLAIN), "pairs")
     return ev, scored, episodes.discover(ev, scored, PLAIN, EPISODES)
 
@@ -339,7 +344,7 @@ REACH = f"""{KEPT}, walk(source, node, t) AS (SELECT src_agent, dst_agent, dst_u
 
 def global_kept(spark, sf_dir) -> DataFrame:
     scored = stored(pairs.score_pairs(events(spark, sf_dir), PLAIN), "pairs")
-    return reach.kept_pairs(edges.scoped(scored), edges.collapse(scored, PLAIN))
+    return stored(reach.kept_pairs(edges.scoped(scored), edges.collapse(scored, PLAIN)), "kept")
 
 
 @query(f"""{KEPT} SELECT src_agent AS u, dst_agent AS v, src_us AS s, min(dst_us) OVER (PARTITION BY src_agent, dst_agent ORDER BY src_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d FROM kp""")
@@ -366,7 +371,7 @@ def propagation_paths(spark, sf_dir):
 @query(f"""{REACH}, n AS (SELECT source, count(DISTINCT node) AS reach FROM walk WHERE source <> node GROUP BY 1), f AS (SELECT a, min(t) AS t FROM (SELECT src_agent AS a, src_us AS t FROM kp UNION ALL SELECT dst_agent, dst_us FROM kp) GROUP BY 1)
 SELECT source AS root, reach FROM n JOIN f ON f.a = n.source ORDER BY reach DESC, t, source LIMIT 1""")
 def propagation_root(spark, sf_dir):
-    kept = stored(global_kept(spark, sf_dir), "kept")
+    kept = global_kept(spark, sf_dir)
     return reach.roots(kept, reach.earliest_arrival(kept)).select("root", "reach")
 
 
@@ -384,7 +389,7 @@ u AS (SELECT component, res, count(DISTINCT actor_id) AS n_agents, count(*) AS n
 s AS (SELECT a.component, shared_resources AS res, count(*) AS supporting_pairs FROM pairs JOIN m a ON a.rn = i JOIN m b ON b.rn = j AND a.component = b.component WHERE shared_resources <> '' GROUP BY 1, 2)
 SELECT component AS episode_id, res AS resource, n_agents, n_touches, supporting_pairs FROM u JOIN s USING (component, res) WHERE n_agents >= 2 AND supporting_pairs >= 1""")
 def external_channels(spark, sf_dir):
-    ev = stored(events(spark, sf_dir), "events")
+    ev = events(spark, sf_dir)
     scored = stored(pairs.score_pairs(ev, PLAIN), "pairs")
     m = stored(episodes.episode_members(ev, scored, EPISODES).withColumnRenamed("component", "episode_id"), "members")
     own = episodes.episode_pairs(m, scored, "episode_id")
@@ -404,7 +409,7 @@ cnd AS (SELECT 'restrict_writes' AS kind, r AS target FROM (SELECT r FROM sup OR
 
 
 def controls(spark, sf_dir):
-    ev = stored(events(spark, sf_dir).withColumn("scope", F.lit(edges.GLOBAL)), "events")
+    ev = events(spark, sf_dir).withColumn("scope", F.lit(edges.GLOBAL))
     scored = stored(edges.scoped(pairs.score_pairs(ev.drop("scope"), PLAIN)), "pairs")
     e = stored(edges.collapse_agent_edges(scored, PLAIN), "edges")
     return ev, scored, e, stored(intervene.generate(scored, e, ev), "controls")
