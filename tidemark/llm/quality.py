@@ -109,36 +109,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
     return w
 
 
-def spread_windows(text: bytes, most: int) -> list[bytes]:
-    """At most ``most`` windows, evenly spread over the text."""
-    n = -(-len(text) // WINDOW)
-    picked = range(n) if n <= most else (int(i) for i in np.linspace(0, n - 1, most).round())
-    return [text[i * WINDOW : (i + 1) * WINDOW] for i in picked]
+def sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_windows: int) -> dict[int, list[list[bytes]]]:
+    """Windows of at most ``sample_docs`` documents of each label, in the order of a hash of the id.
 
-
-def train(labelled: DataFrame, sample_docs: int = 3000, sample_windows: int = 16, dictionary_bytes: int = 96 << 10) -> Model:
-    """Fit a model to ``labelled`` (doc_id, text, label 0 or 1).
-
-    Rows without a label or text are left out. The sample is bounded by the parameters, whatever the table's size; a
-    hash of id and text orders it, so that it doesn't depend on the table's layout. Of each label, half of the
-    sampled documents go into the dictionary, the other half into the calibration.
+    Ids are chosen first, without texts; the chosen few (a bounded number) then meet the table in a broadcast join, and
+    windows are cut before anything travels, so that neither shuffle nor driver ever holds more than the bounds allow.
     """
+    spark = docs.sparkSession
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    kept = labelled.where("text is not null and label in (0, 1)").select(
-        "label", order.alias("at"), F.encode("text", "UTF-8").alias("bytes"))
-    # The windows are cut before anything travels: what the driver receives is bounded by the parameters.
+    known = docs.select("doc_id").join(labels.where("label in (0, 1)").select("doc_id", "label"), "doc_id").distinct().withColumn("at", order)
+    chosen = [tuple(r) for label in (0, 1) for r in known.where(F.col("label") == label).orderBy("at", "doc_id").limit(sample_docs).collect()]
     span = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(WINDOW)))
     n = F.least(span, F.lit(sample_windows))
-    cuts = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring(F.col("bytes"), (F.round(i * (span - 1) / F.greatest(n - 1, F.lit(1))) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    cut = lambda i: F.substring("bytes", (F.round(i * (span - 1) / F.greatest(n - 1, F.lit(1))) * WINDOW + 1).cast("int"), F.lit(WINDOW))
+    few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int, at long"))
+    rows = docs.where("text is not null").join(few, "doc_id").select("label", "at", F.encode("text", "UTF-8").alias("bytes"))
+    rows = rows.select("label", "at", F.xxhash64("bytes").alias("text_at"), F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), cut).alias("windows"))
+    found: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    for r in rows.orderBy("at", "text_at").limit(2 * sample_docs).collect():
+        found[r["label"]].append([bytes(w) for w in r["windows"]])
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_windows: int = 12, dictionary_bytes: int = 96 << 10) -> Model:
+    """Fit a model to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) covers.
+
+    Rows without a label or text are left out. The sample is bounded by the parameters, whatever the tables' size. Of
+    each label, half of the sampled documents go into the dictionary, the other half into the calibration.
+    """
     good, bad, check = [], [], []
-    for label, half in ((1, good), (0, bad)):
-        rows = kept.where(F.col("label") == label).orderBy("at").limit(sample_docs).select("at", cuts.alias("windows")).collect()
-        for i, r in enumerate(sorted(rows, key=lambda r: r["at"])):
-            windows = [bytes(w) for w in r["windows"]]
-            if i % 2 == 0:
-                half += windows
-            else:
+    for label, documents in sample(docs, labels, sample_docs, sample_windows).items():
+        for i, windows in enumerate(documents):
+            if i % 2:
                 check.append((windows, label))
+            elif label:
+                good += windows
+            else:
+                bad += windows
     model = Model(dictionary(good, dictionary_bytes), dictionary(bad, dictionary_bytes))
     scorer = Scorer(model)
     x = np.array([scorer.features(b"".join(w)) for w, _ in check]).reshape(len(check), len(scorer.features(b"")))
@@ -191,7 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **train
     Returns doc_id, held_out, score, predicted: a row for each row of ``docs``. An id that ``labels`` or ``docs``
     repeats is learnt from once for each label and text.
     """
-    learn = docs.where(~held_out(docs["doc_id"])).select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)").distinct(), "doc_id")
-    model = train(learn, **training)
+    learn = docs.where(~held_out(docs["doc_id"])).select("doc_id", "text")
+    model = train(learn, labels.select("doc_id", F.col("quality").cast("int").alias("label")), **training)
     scored = score(docs, model, threshold)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
