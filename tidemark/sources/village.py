@@ -43,7 +43,7 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def resources(*texts: Column) -> Column:
     """Different resource keys of the URLs in the texts."""
     urls = F.concat(*[extract_urls(t) for t in texts])
-    return F.array_distinct(F.filter(F.transform(urls, resource_key), lambda k: k.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(urls, lambda u: resource_key(u)), lambda k: k.isNotNull()))
 
 
 def with_goal(rows: DataFrame, goals: DataFrame, agent: str = "agent", at: str = "at", key: str = "id") -> DataFrame:

@@ -90,7 +90,7 @@ def references(rows: DataFrame, pages: DataFrame) -> DataFrame:
     pages_ = F.array_distinct(F.concat(F.coalesce("named", no_strings()), by_url))
     plain = F.filter("urls", lambda u: wiki_page(u).isNull())
     proxy = F.filter(plain, lambda u: host_of(u).isin(*PROXIES))
-    external = F.array_distinct(F.filter(F.transform(unwrapped(plain), resource_key), lambda k: k.isNotNull()))
+    external = F.array_distinct(F.filter(F.transform(unwrapped(plain), lambda u: resource_key(u)), lambda k: k.isNotNull()))
     tool = F.when(F.size(proxy) > 0, F.concat(F.lit("proxy:"), host_of(F.get(proxy, F.lit(0)))))
     return joined.select("id", F.transform(pages_, lambda p: F.concat(F.lit("wiki:"), p)).alias("resources"), tool.alias("tool"), F.slice("urls", 1, 10).alias("urls"), external.alias("external_refs"))
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def activity_sessions(events: DataFrame, gap: str = "45 minutes", late: str = "2 hours") -> DataFrame:
-    """(start, end, n_events, n_agents): activity separated by gaps longer than ``gap``."""
+def activity_sessions(events: DataFrame, key: str = "source", gap: str = "45 minutes", late: str = "2 hours") -> DataFrame:
+    """(key, start, end, n_events, n_agents): activity of each key separated by gaps longer than ``gap``.
+
+    A key is required: streams have no session windows without one.
+    """
     w = F.session_window("timestamp", gap)
-    sessions = events.withWatermark("timestamp", late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.approx_count_distinct("actor_id").alias("n_agents"))
-    return sessions.select("w.start", "w.end", "n_events", "n_agents")
+    sessions = events.withWatermark("timestamp", late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.approx_count_distinct("actor_id").alias("n_agents"))
+    return sessions.select(key, "w.start", "w.end", "n_events", "n_agents")
 
 
 def hourly_pairs(pairs: DataFrame, late: str = "2 hours") -> DataFrame:
