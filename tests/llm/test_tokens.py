@@ -102,13 +102,25 @@ def test_encode_then_decode(spark):
     assert {(r.doc_id, bytes(r.bytes)) for r in back.collect()} == {(r.doc_id, (r.text or "").encode()) for r in df.collect()}
 
 
-def test_rank_queue_pops_in_order():
-    q, rng, items = bpe.RankQueue(5000), random.Random(1), []
-    for _ in range(2000):
-        item = (rng.randrange(5000), rng.randrange(100_000))
-        items.append(item)
-        q.push(*item)
-    assert [q.pop() for _ in items] == sorted(items) and q.pop() is None and not any(q.words)
+def test_lower_ranks_that_merges_bring_come_first():
+    """A vocabulary in which a merge makes a pair of lower rank, twice in a pre-token."""
+    import tempfile
+
+    import base64
+
+    words = [b"ab", b"cd", b"bcx", b"abc", b"bc", b"abcd", b"cdab", b"aab", b"cc"]
+    rng = random.Random(8)
+    for _ in range(40):
+        rng.shuffle(words)
+        ranks = {bytes([i]): i for i in range(256)} | {w: 256 + i for i, w in enumerate(words)}
+        with tempfile.NamedTemporaryFile("w", suffix=".tiktoken", delete=False) as f:
+            f.writelines(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items())
+        import tiktoken
+
+        enc, c = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Codec(f.name, P.PATTERN)
+        for _ in range(60):
+            t = "".join(rng.choice("abcdx") for _ in range(rng.randint(1, 25)))
+            assert c.encode(t) == enc.encode_ordinary(t)
 
 
 def check_packing(rows, texts, capacity):

@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Within a pre-token every adjacent pair whose joined bytes have a rank waits in the bucket of that rank, as the
-position of its left part in a linked list. A two-level bitmap marks the buckets in use, find-first-set picks the
-lowest rank, and entries whose parts have meanwhile merged are skipped when met. A merge costs a constant number of
-bitmap operations and a push or two, so a pre-token of n bytes takes O(n log n) however long it is.
+All pre-tokens of a batch share one queue. Their bytes stand one after the other in a linked list with gaps between
+pre-tokens; every adjacent pair whose joined bytes have a rank waits in the bucket of that rank, as the position of
+its left part. A two-level bitmap marks the buckets in use and find-first-set picks the lowest rank. Its positions are
+merged from left to right; entries whose parts have meanwhile merged are skipped; a merge whose new pairs have a lower
+rank still sends the rest of its bucket back. So each pre-token sees its merges in the order of rank and place,
+whatever the others do. A merge costs a constant number of steps, however long the pre-token is.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,49 +22,16 @@ from pyspark.sql import DataFrame
 from . import base, segments
 
 #: Bits of a word of the lower bitmap level.
-FAN = 10
-#: Encoded segments a worker remembers; beyond it the memory starts afresh (results don't depend on it).
-REMEMBERED = 400_000
+FAN = 8
+#: Bits of a token id in the key of a pair.
+ID_BITS = 20
+#: Pre-tokens and segments a worker remembers; beyond it the memory starts afresh (results don't depend on it).
+REMEMBERED = 300_000
+#: Bytes of pre-tokens that share a queue.
+QUEUED = 1 << 19
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-class RankQueue:
-    """Buckets of positions by rank. ``pop`` returns the leftmost position of the lowest rank."""
-
-    __slots__ = ("buckets", "top", "words")
-
-    def __init__(self, n_ranks: int):
-        self.words = [0] * ((n_ranks >> FAN) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> FAN
-            self.words[word] |= 1 << (rank & ((1 << FAN) - 1))
-            self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word << FAN | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits ^ low
-            if bits == low:
-                self.top ^= 1 << word
-        return rank, position
-
-
 class Codec:
     """Ranks and pattern of a byte-level vocabulary."""
 
@@ -76,65 +44,141 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.tokens))
-        self.memory: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n, queue = len(piece), self.queue
-        #: The part at i is piece[i:end[i]]; before[i] is where the part left of it starts. A dead part has end 0.
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
-            j = end[i]
-            if j == 0 or j >= n:
-                continue
-            stop = end[j]
-            if ranks.get(piece[i:stop]) != rank:
-                continue  # stale: a part has grown since
-            end[i], end[j] = stop, 0
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]])) is not None:
-                    queue.push(r, i)
-            if (b := before[i]) >= 0 and (r := ranks.get(piece[b:stop])) is not None:
-                queue.push(r, b)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        #: Rank of the joined bytes of any two tokens that have one.
+        self.pairs: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a << ID_BITS | b] = rank
+        self.byte_pairs = np.full(1 << 16, -1, np.int64)
+        for a in range(256):
+            for b in range(256):
+                self.byte_pairs[a << 8 | b] = self.ranks.get(bytes([a, b]), -1)
+        self.segments: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each pre-token, all through one rank queue."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.array([len(p) for p in pieces], np.int64)
+        starts = np.cumsum(size) - size
+        follow, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        follow[starts + size - 1] = -1
+        before[starts] = -1
+        first = np.flatnonzero(follow >= 0)
+        rank_of = self.byte_pairs[data[first].astype(np.int64) << 8 | data[first + 1]]
+        first, rank_of = first[rank_of >= 0], rank_of[rank_of >= 0]
+        order = np.argsort(rank_of, kind="stable")
+        first, rank_of = first[order].tolist(), rank_of[order]
+        cuts = np.flatnonzero(np.concatenate([[True], rank_of[1:] != rank_of[:-1]])) if len(first) else np.zeros(0, int)
+        buckets = {r: first[a:b] for r, a, b in zip(rank_of[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=False)}
+        mask, top, words = (1 << FAN) - 1, 0, [0] * ((len(self.tokens) >> FAN) + 1)
+        for r in buckets:
+            words[r >> FAN] |= 1 << (r & mask)
+            top |= 1 << (r >> FAN)
+        # The part at i has the id ids[i] (-1: part of another by now), the next part follow[i] (-1: the last).
+        ids, follow, before, rank_of = self.of_byte[data].tolist(), follow.tolist(), before.tolist(), self.pairs.get
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            low = bits & -bits
+            rank = w << FAN | low.bit_length() - 1
+            words[w] = bits ^ low
+            if bits == low:
+                top ^= 1 << w
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for k, i in enumerate(bucket):
+                j = follow[i]
+                if j < 0 or ids[i] < 0 or rank_of(ids[i] << ID_BITS | ids[j]) != rank:
+                    continue  # stale
+                ids[i], ids[j] = rank, -1
+                after = follow[i] = follow[j]
+                least = rank
+                if after >= 0:
+                    before[after] = i
+                    r = rank_of(rank << ID_BITS | ids[after])
+                    if r is not None:
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            words[r >> FAN] |= 1 << (r & mask)
+                            top |= 1 << (r >> FAN)
+                        if r < least:
+                            least = r
+                b = before[i]
+                if b >= 0:
+                    r = rank_of(ids[b] << ID_BITS | rank)
+                    if r is not None:
+                        if r in buckets:
+                            buckets[r].append(b)
+                        else:
+                            buckets[r] = [b]
+                            words[r >> FAN] |= 1 << (r & mask)
+                            top |= 1 << (r >> FAN)
+                        if r < least:
+                            least = r
+                if least < rank and k + 1 < len(bucket):
+                    buckets[rank] = bucket[k + 1 :]
+                    words[rank >> FAN] |= 1 << (rank & mask)
+                    top |= 1 << (rank >> FAN)
+                    break
+        left = np.array(ids, np.int64)
+        live = left >= 0
+        n = np.add.reduceat(live, starts).tolist() if len(starts) else []
+        packed, out, at = left[live].astype("<u4").tobytes(), [], 0
+        for c in n:
+            out.append(packed[at : at + 4 * c])
+            at += 4 * c
+        return out
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of different pre-tokens."""
+        out, wait, held = {}, [], 0
+        for i, piece in enumerate(pieces):
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+            else:
+                wait.append((piece, data))
+                held += len(data)
+            if wait and (held >= QUEUED or i + 1 == len(pieces)):
+                out |= zip([p for p, _ in wait], self.merge_all([d for _, d in wait]), strict=True)
+                wait, held = [], 0
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self.merge(piece.encode())]
+        pieces = self.split(text)
+        known = self.learn(list(dict.fromkeys(pieces)))
+        return np.frombuffer(b"".join(known[p] for p in pieces), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def packed(self, segment: str) -> bytes:
-        """The ids of a segment as little-endian unsigned 32-bit integers."""
-        got = self.memory.get(segment)
-        if got is None:
-            got = np.array(self.encode(segment), "<u4").tobytes()
-            if len(segment) < 64:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                self.memory[segment] = got
-        return got
-
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
         for rows, offsets, parts in segments.groups(texts):
-            known = [self.packed(s) for s in parts.dictionary.to_pylist()]
+            segs = parts.dictionary.to_pylist()
+            if len(self.segments) > REMEMBERED:
+                self.segments.clear()
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+            new = {s: self.split(s) for s in segs if s not in self.segments}
+            known, fresh = self.pieces, {}
+            fresh = self.learn(list({p for pieces in new.values() for p in pieces if p not in known}))
+            look = lambda p: known[p] if p in known else fresh[p]
+            made = {s: b"".join(map(look, pieces)) for s, pieces in new.items()}
+            packed = [self.segments[s] if s in self.segments else made[s] for s in segs]
             codes = np.asarray(parts.indices).tolist()
             for row, a, b in zip(rows.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                out[row] = b"".join(map(known.__getitem__, codes[a:b]))
+                out[row] = b"".join(map(packed.__getitem__, codes[a:b]))
+            self.segments |= {s: x for s, x in made.items() if len(s) < 64}
+            self.pieces |= {p: x for p, x in fresh.items() if len(p) < 64}
         return out
 
 
