@@ -35,6 +35,12 @@ def downgrade(confidence: Column) -> Column:
     return F.when(confidence == "strong", "moderate").otherwise("weak")
 
 
+def rounded_mean(column: str, chosen: Column) -> Column:
+    """The mean to four places of numbers that have four, from whole numbers: no order of adding changes it."""
+    whole = F.round(F.col(column) * 10_000).cast("bigint")
+    return F.round(F.sum(F.when(chosen, whole)) / F.count(F.when(chosen, F.lit(1)))) / 10_000
+
+
 def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     """Edges before the structural rules: score, components, support, times, evidence, confidence, alternatives."""
     cfg = cfg or PairConfig()
@@ -43,7 +49,7 @@ def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     place = F.struct("nth", F.struct("src_event", "dst_event").alias("e"))
     evidence = F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= cfg.max_pairs_per_edge, place))), lambda x: x["e"])
     edges = p.groupBy(*KEY).agg(
-        F.avg(F.when(top, F.col("score"))).alias("mean"), *[F.round(F.avg(F.when(top, F.col(c))), 4).alias(c) for c in COMPONENTS],
+        F.avg(F.when(top, F.col("score"))).alias("mean"), rounded_mean("score", top).alias("score"), *[rounded_mean(c, top).alias(c) for c in COMPONENTS],
         F.count(F.lit(1)).alias("support"), F.min("src_ts").alias("first_ts"), F.max("dst_ts").alias("last_ts"), F.median("dt_minutes").alias("dt_median"),
         F.avg(F.when(top, F.col("same_origin").isNotNull().cast("double"))).alias("origin_share"),
         F.min_by("same_origin", F.when(F.col("same_origin").isNotNull(), F.col("nth"))).alias("origin"),
@@ -71,7 +77,7 @@ def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
         F.when(c("dt_median") < 2, F.lit("near-simultaneous: could be a shared trigger rather than A→B")),
     ]
     return edges.select(
-        *KEY, F.round("mean", 4).alias("score"), *COMPONENTS, "support", "first_ts", "last_ts", "dt_median", "evidence_pairs", "shared_resources",
+        *KEY, "score", *COMPONENTS, "support", "first_ts", "last_ts", "dt_median", "evidence_pairs", "shared_resources",
         F.when(level >= 2, "strong").when(level == 1, "moderate").otherwise("weak").alias("confidence"),
         F.filter(F.array(*clauses), lambda x: x.isNotNull()).alias("alternatives"), explanation(c("src"), c("dst")).alias("explanation"), "common_cause_events",
     )
