@@ -158,7 +158,9 @@ def rescore_pairs(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     """Scores from the (rounded) components as they are now; gate and threshold apply to what comes out."""
     cfg = cfg or PairConfig()
     gate = (F.col("semantic") > 0) | (F.col("resource") >= 0.15) | (F.col("direct") > 0) | (F.col("goal") > 0)
-    return pairs.withColumn("score", F.round(weighted(cfg), 4)).where(gate & (F.col("score") >= cfg.min_pair_score))
+    # In whole ten-thousandths: halves are rounded up exactly, whatever the order of adding.
+    total = sum(F.lit(round(cfg.weight(c) * 10_000)) * F.round(F.col(c) * 10_000).cast("bigint") for c in COMPONENTS)
+    return pairs.withColumn("score", F.floor((total + 5_000) / 10_000) / 10_000).where(gate & (F.col("score") >= cfg.min_pair_score))
 
 
 def common_causes(pairs: DataFrame, ev: DataFrame, cfg: PairConfig | None = None, keep: int = 3) -> DataFrame:

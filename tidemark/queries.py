@@ -208,8 +208,8 @@ def scored_pairs_semantic(spark, sf_dir):
 
 
 @query(f"""{SCORED}, h AS (SELECT *, CASE WHEN direct > 0 THEN 0e0 ELSE direct END AS d2 FROM pairs)
-SELECT src_event, dst_event, round(0e0 + 0.15e0 * temporal + 0.3e0 * semantic + 0.25e0 * resource + 0.15e0 * d2 + 0.05e0 * goal + 0.1e0 * action, 4) AS score FROM h
-WHERE (semantic > 0 OR resource >= 0.15e0 OR d2 > 0 OR goal > 0) AND round(0e0 + 0.15e0 * temporal + 0.3e0 * semantic + 0.25e0 * resource + 0.15e0 * d2 + 0.05e0 * goal + 0.1e0 * action, 4) >= 0.12e0""")
+SELECT src_event, dst_event, floor((1500 * CAST(round(temporal * 10000) AS BIGINT) + 3000 * CAST(round(semantic * 10000) AS BIGINT) + 2500 * CAST(round(resource * 10000) AS BIGINT) + 1500 * CAST(round(d2 * 10000) AS BIGINT) + 500 * CAST(round(goal * 10000) AS BIGINT) + 1000 * CAST(round(action * 10000) AS BIGINT) + 5000) / 10000) / 10000e0 AS score FROM h
+WHERE (semantic > 0 OR resource >= 0.15e0 OR d2 > 0 OR goal > 0) AND floor((1500 * CAST(round(temporal * 10000) AS BIGINT) + 3000 * CAST(round(semantic * 10000) AS BIGINT) + 2500 * CAST(round(resource * 10000) AS BIGINT) + 1500 * CAST(round(d2 * 10000) AS BIGINT) + 500 * CAST(round(goal * 10000) AS BIGINT) + 1000 * CAST(round(action * 10000) AS BIGINT) + 5000) / 10000) / 10000e0 >= 0.12e0""")
 def rescored_pairs(spark, sf_dir):
     cut = pairs.score_pairs(events(spark, sf_dir), PLAIN).withColumn("direct", F.lit(0.0))
     return pairs.rescore_pairs(cut, PLAIN).select("src_event", "dst_event", "score")
