@@ -398,7 +398,7 @@ def external_channels(spark, sf_dir):
     return detect.external_channels(m, own, 2, 1).select("episode_id", "resource", "n_agents", "n_touches", "supporting_pairs")
 
 
-# Interventions, on the whole table as one scope
+# Interventions, on the whole table as one scope; ranked for each episode
 
 CONTROLS = f"""{KEPT},
 sup AS (SELECT shared_resources AS r, count(*) AS n FROM kp WHERE shared_resources <> '' GROUP BY 1),
@@ -442,10 +442,13 @@ def collateral(spark, sf_dir):
 
 @query()
 def intervention_scores(spark, sf_dir):
-    ev, scored, e, c = controls(spark, sf_dir)
-    members = ev.where("rn < 1000").select("scope", "event_id")
-    out = intervene.rank(c, scored, e, ev.drop("scope"), members, PLAIN)
-    return out.select("kind", "target", F.round("paths_removed", 6).alias("paths_removed"), "n_paths_before", "n_paths_removed", "collateral_events", F.round("uncertainty", 6).alias("uncertainty"), "score", "confidence", "rank", "label")
+    """Controls of every discovered episode; what lies outside is counted from that episode's own events."""
+    ev, _, found = found_episodes(spark, sf_dir)
+    inside = stored(found["members"].select(F.col("episode_id").alias("scope"), "event_id"), "inside")
+    own, e = stored(found["pairs"], "scoped-pairs"), stored(found["edges"], "scoped-edges")
+    c = stored(intervene.generate(own, e, inside.join(ev, "event_id")), "controls")
+    out = intervene.rank(c, own, e, ev, inside, PLAIN)
+    return out.select("scope", "kind", "target", F.round("paths_removed", 6).alias("paths_removed"), "n_paths_before", "n_paths_removed", "collateral_events", F.round("uncertainty", 6).alias("uncertainty"), "score", "confidence", "rank", "label")
 
 
 # Graph and user-interface queries
@@ -503,3 +506,10 @@ SELECT x AS vertex, least(x, min(y)) AS component FROM c GROUP BY x""")
 def graph_components(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0")
     return connected_components(c.select((F.col("c_custkey") % 500).alias("a"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 500).alias("b")))
+
+
+@query()
+def graph_components_whole(spark, sf_dir):
+    """Every customer, with keys as they are; the twin of ``graph_components`` fixes a third of them, folded to 500."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("b")))
