@@ -17,8 +17,12 @@ from .plans.shared import stored
 PLAIN = PairConfig(min_pair_score=0.12, min_edge_score=0.15)
 #: Their vectors are nearly orthogonal and their texts repeat: a lower floor, and no template rule.
 SEMANTIC = PLAIN.replace(semantic_floor=0.25, template_min_actors=1_000_000, common_cause_sim=0.2)
-#: The re-splitting of long and large components has tests of its own; SQL can't express it.
+#: With the template rule at its own value; SQL is not given.
+TEMPLATES = SEMANTIC.replace(template_min_actors=PairConfig.template_min_actors)
+#: For the queries with SQL, which can't express the re-splitting of long and large components.
 EPISODES = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3, max_hours=100_000, max_agents=1_000_000)
+#: With the limits on hours and agents at their own values.
+LIMITED = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,6 +193,12 @@ def semantic_topk(spark, sf_dir):
     return pairs.semantic_pairs(ev, SEMANTIC).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+@query()
+def semantic_topk_templates(spark, sf_dir):
+    ev = pairs.with_text_flag(full_events(spark, sf_dir), TEMPLATES)
+    return pairs.semantic_pairs(ev, TEMPLATES).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 # Scores
 
 
@@ -207,6 +217,11 @@ def scored_pairs_semantic(spark, sf_dir):
     return pair_output(pairs.score_pairs(full_events(spark, sf_dir), SEMANTIC, semantic=True))
 
 
+@query()
+def scored_pairs_semantic_templates(spark, sf_dir):
+    return pair_output(pairs.score_pairs(full_events(spark, sf_dir), TEMPLATES, semantic=True))
+
+
 @query(f"""{SCORED}, h AS (SELECT *, CASE WHEN direct > 0 THEN 0e0 ELSE direct END AS d2 FROM pairs)
 SELECT src_event, dst_event, floor((1500 * CAST(round(temporal * 10000) AS BIGINT) + 3000 * CAST(round(semantic * 10000) AS BIGINT) + 2500 * CAST(round(resource * 10000) AS BIGINT) + 1500 * CAST(round(d2 * 10000) AS BIGINT) + 500 * CAST(round(goal * 10000) AS BIGINT) + 1000 * CAST(round(action * 10000) AS BIGINT) + 5000) / 10000) / 10000e0 AS score FROM h
 WHERE (semantic > 0 OR resource >= 0.15e0 OR d2 > 0 OR goal > 0) AND floor((1500 * CAST(round(temporal * 10000) AS BIGINT) + 3000 * CAST(round(semantic * 10000) AS BIGINT) + 2500 * CAST(round(resource * 10000) AS BIGINT) + 1500 * CAST(round(d2 * 10000) AS BIGINT) + 500 * CAST(round(goal * 10000) AS BIGINT) + 1000 * CAST(round(action * 10000) AS BIGINT) + 5000) / 10000) / 10000e0 >= 0.12e0""")
@@ -226,6 +241,13 @@ def common_cause(spark, sf_dir):
     return found.where(F.size("common_cause") > 0).select("i", "j", F.array_join("common_cause", ",").alias("common_cause"))
 
 
+@query()
+def common_cause_templates(spark, sf_dir):
+    ev = full_events(spark, sf_dir)
+    found = pairs.common_causes(pairs.score_pairs(ev, TEMPLATES, semantic=True), ev, TEMPLATES)
+    return found.where(F.size("common_cause") > 0).select("i", "j", F.array_join("common_cause", ",").alias("common_cause"))
+
+
 # Edges
 
 EDGES = f"""{SCORED},
@@ -315,15 +337,24 @@ def components(spark, sf_dir):
 @query(f"""{COMPONENTS_SQL}, grp AS (SELECT component, count(*) AS n_events, count(DISTINCT actor_id) AS n_agents, max(us) - min(us) AS span_us FROM component JOIN ev USING (rn) GROUP BY 1)
 SELECT component, n_events, n_agents, span_us FROM grp WHERE n_agents >= 2 AND n_events >= 3""")
 def episode_groups(spark, sf_dir):
+    return groups(spark, sf_dir, EPISODES)
+
+
+@query()
+def episode_groups_limited(spark, sf_dir):
+    return groups(spark, sf_dir, LIMITED)
+
+
+def groups(spark, sf_dir, cfg) -> DataFrame:
     ev = events(spark, sf_dir)
-    m = episodes.episode_members(ev, pairs.score_pairs(ev, PLAIN), EPISODES)
+    m = episodes.episode_members(ev, pairs.score_pairs(ev, PLAIN), cfg)
     return m.groupBy("component").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("actor_id").alias("n_agents"), (F.max("us") - F.min("us")).alias("span_us"))
 
 
 def found_episodes(spark, sf_dir):
     ev = events(spark, sf_dir)
     scored = stored(pairs.score_pairs(ev, PLAIN), "pairs")
-    return ev, scored, episodes.discover(ev, scored, PLAIN, EPISODES)
+    return ev, scored, episodes.discover(ev, scored, PLAIN, LIMITED)
 
 
 @query()
@@ -391,9 +422,18 @@ u AS (SELECT component, res, count(DISTINCT actor_id) AS n_agents, count(*) AS n
 s AS (SELECT a.component, shared_resources AS res, count(*) AS supporting_pairs FROM pairs JOIN m a ON a.rn = i JOIN m b ON b.rn = j AND a.component = b.component WHERE shared_resources <> '' GROUP BY 1, 2)
 SELECT component AS episode_id, res AS resource, n_agents, n_touches, supporting_pairs FROM u JOIN s USING (component, res) WHERE n_agents >= 2 AND supporting_pairs >= 1""")
 def external_channels(spark, sf_dir):
+    return channels(spark, sf_dir, EPISODES)
+
+
+@query()
+def external_channels_limited(spark, sf_dir):
+    return channels(spark, sf_dir, LIMITED)
+
+
+def channels(spark, sf_dir, cfg) -> DataFrame:
     ev = events(spark, sf_dir)
     scored = stored(pairs.score_pairs(ev, PLAIN), "pairs")
-    m = stored(episodes.episode_members(ev, scored, EPISODES).withColumnRenamed("component", "episode_id"), "members")
+    m = stored(episodes.episode_members(ev, scored, cfg).withColumnRenamed("component", "episode_id"), "members")
     own = episodes.episode_pairs(m, scored, "episode_id")
     return detect.external_channels(m, own, 2, 1).select("episode_id", "resource", "n_agents", "n_touches", "supporting_pairs")
 
