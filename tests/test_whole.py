@@ -4,10 +4,10 @@ import random
 from collections import Counter, defaultdict
 from datetime import timedelta
 
-from test_library import T0, frame
+from test_library import T0, frame, hand_pairs
 
 from tidemark import queries as library
-from tidemark.operators import episodes
+from tidemark.operators import episodes, reach
 
 
 def test_graph_components_whole(spark, tmp_path):
@@ -114,3 +114,18 @@ def test_limited_members_equal_brute_force(spark):
     for r in episodes.episode_members(ev, spark.createDataFrame(scored, "i long, j long, score double"), cfg).collect():
         got[r.component].append(r.rn)
     assert {tuple(sorted(g)) for g in got.values()} == want
+
+
+def test_paths_of_any_length(spark):
+    n = 71
+    names = [f"n{k:02d}" for k in range(n + 1)]
+    schema = "scope string, source string, node string, arrival long, pred string, src_event string, dst_event string"
+    rows = [("*", names[0], names[k], k, names[k - 1], f"s{k}", f"d{k}") for k in range(1, n + 1)]
+    got = {r.node: [(h["from"], h["to"], h.src_event) for h in r.hops] for r in reach.paths(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {names[k]: [(names[x - 1], names[x], f"s{x}") for x in range(1, k + 1)] for k in range(1, n + 1)}
+
+
+def test_instant_hops_make_no_circle(spark):
+    rows = [("X", "Z", 0, 5, None), ("Z", "B", 5, 5, None), ("Z", "C", 5, 5, None), ("B", "C", 5, 5, None), ("C", "B", 5, 5, None)]
+    got = {(r.source, r.node): [h["from"] for h in r.hops] for r in reach.paths(reach.earliest_arrival(hand_pairs(spark, rows))).collect()}
+    assert got[("X", "B")] == got[("X", "C")] == ["X", "Z"] and got[("B", "C")] == ["B"]
