@@ -26,6 +26,9 @@ HELD = 1 << 21
 #: Longest string of names that is sorted in memory.
 SMALL = 1 << 23
 
+#: Positions compared at a time.
+BLOCK = 1 << 18
+
 
 class BucketQueue:
     """A disk-backed priority queue of (character, position, prefix) tuples; equal characters leave in order of arrival.
@@ -157,14 +160,23 @@ def range_minimum(x: np.ndarray, begin: np.ndarray, end: np.ndarray, empty: int
     return out
 
 
-def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is type S, position after the run of equal characters) of each position; the end counts as the smallest."""
+def types(text: np.ndarray, depth: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(is type S, length of the run of equal characters from here, ``depth`` at most) of each position, block by block.
+
+    The end counts as the smallest. Blocks are taken from the right, as a run goes on into the next one.
+    """
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1]) + 1
-    ends = np.append(change, n)
-    run_end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    following = np.append(text[change] > text[change - 1], False)
-    return np.repeat(following, np.diff(np.concatenate([[0], ends]))), run_end
+    is_s, run = np.empty(n, bool), np.empty(n, np.uint16 if depth < 1 << 16 else np.int64)
+    for a in range((n - 1) // block * block, -1, -block):
+        b = min(a + block, n)
+        part = np.asarray(text[a : b + 1])
+        change = np.flatnonzero(part[1:] != part[:-1]) + 1
+        ends = np.append(change, b - a)
+        size = np.diff(ends, prepend=0)
+        is_s[a:b] = np.repeat(np.append(part[change] > part[change - 1], b < n and is_s[b]), size)
+        ends[-1] += int(run[b]) if b < n else 0
+        run[a:b] = np.minimum(np.repeat(ends, size) - np.arange(b - a), depth)
+    return is_s, run
 
 
 def names(text: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -174,56 +186,67 @@ def names(text: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
     with the same characters: there the other has type L. The end of the text precedes everything.
     """
     n, m = len(text), len(lms)
-    stop = np.append(lms[1:] + 1, n + 1)  # one beyond the last character; the last substring takes in the end itself
-    rank = np.zeros(m, np.int64)
-    tied = np.arange(m)
     beyond = int(text.max()) + 2 if n else 1
+    kind = np.int32 if max(n, beyond) < (1 << 31) - 8 else np.int64
+    lms = lms.astype(kind)
+    stop = np.append(lms[1:] + 1, kind(n + 1))  # one beyond the last character; the last substring takes in the end itself
+    rank = np.zeros(m, kind)
+    tied = np.arange(m, dtype=kind)
     k = 0
     while len(tied):
-        at = lms[tied] + k
+        at = lms[tied] + kind(k)
         over = at >= stop[tied]
-        key = np.where(over, beyond, 0)
+        key = np.where(over, kind(beyond), kind(0))
         live = ~over & (at < n)
-        key[live] = text[at[live]].astype(np.int64) + 1
-        order = np.lexsort((key, rank[tied]))
-        t, key, r = tied[order], key[order], rank[tied][order]
+        key[live] = text[at[live]].astype(kind) + 1
+        del at, over, live
+        order = np.lexsort((key, rank[tied])).astype(kind)
+        tied, key = tied[order], key[order]
+        del order
+        r = rank[tied]
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).astype(kind)
         fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (key[1:] != key[:-1])])
-        group = np.cumsum(fresh) - 1
-        size = np.bincount(group)
         # Ranks count the smaller substrings, so that ranks of groups that aren't touched stay right.
-        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        begin = np.repeat(head, np.diff(np.append(head, len(r))))
-        rank[t] = r + np.repeat(np.flatnonzero(fresh), size) - begin
-        tied = np.sort(t[(size[group] > 1) & (key != beyond)])
+        begin = np.repeat(head, np.diff(np.append(head, kind(len(r)))))
+        first = np.flatnonzero(fresh).astype(kind)
+        size = np.diff(np.append(first, kind(len(r))))
+        rank[tied] = r + np.repeat(first, size) - begin
+        del r, head, begin, fresh
+        tied = np.sort(tied[(np.repeat(size, size) > 1) & (key != beyond)])
         k += 1
-    different, rank = np.unique(rank, return_inverse=True)
-    return rank, len(different) == m
+    seen = np.zeros(m, bool)
+    seen[rank] = True
+    different = np.cumsum(seen, dtype=kind) - kind(1)
+    return different[rank], bool(seen.all())
 
 
 def doubled(name: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string of names, for ``depth`` names at least, by rank doubling in memory."""
     n = len(name)
-    order = np.argsort(name, kind="stable")
+    kind = np.int32 if n < (1 << 31) - 8 else np.int64
+    order = np.argsort(name, kind="stable").astype(kind)
     value = name[order]
-    head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
+    head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])).astype(kind)
+    rank = np.empty(n, kind)
+    rank[order] = np.repeat(head, np.diff(np.append(head, kind(n))))
+    del value, head
     h = 1
     while h < depth:
         held = rank[order]
         single = np.concatenate([[True], held[1:] != held[:-1]]) & np.concatenate([held[1:] != held[:-1], [True]])
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(~single).astype(kind)
         if not len(open_):
             break
         at = order[open_]
-        following = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        following = np.where(at < n - h, rank[np.minimum(at, max(n - 1 - h, 0)) + min(h, n - 1)] + kind(1), kind(0))
         group = held[open_]
-        by = np.lexsort((following, group))
+        del held, single
+        by = np.lexsort((following, group)).astype(kind)
         at, following = at[by], following[by]
         order[open_] = at
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (following[1:] != following[:-1])])
-        first = np.flatnonzero(fresh)
-        rank[at] = np.repeat(open_[first], np.diff(np.append(first, len(at))))
+        first = np.flatnonzero(fresh).astype(kind)
+        rank[at] = np.repeat(open_[first], np.diff(np.append(first, kind(len(at)))))
         h *= 2
     return order
 
@@ -280,17 +303,20 @@ def induced(text: np.ndarray, depth: int, folder: str, small: int = SMALL, held:
     n = len(text)
     if not n:
         return
-    is_s, run_end = types(text)
+    is_s, runs = types(text, depth)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     star = sorted_lms(text, lms, depth, folder, small, held) if len(lms) else lms
     if prefixes and len(star):
         padded = np.concatenate([np.asarray(text, np.uint8), np.zeros(8, np.uint8)])
-        star_prefix = np.concatenate([[0], common(padded, star[:-1], star[1:], depth)]).astype(np.int32)
+        star_prefix = np.zeros(len(star), np.int32)
+        for k in range(1, len(star), BLOCK):
+            after = star[k : k + BLOCK]
+            star_prefix[k : k + BLOCK] = common(padded, star[k - 1 : k - 1 + len(after)], after, depth)
         del padded
     else:
         star_prefix = np.zeros(len(star), np.int32)
     star_char = text[star].astype(np.int64)
-    run = lambda p: np.minimum(run_end[p] - p, depth).astype(np.int32)
+    run = lambda p: runs[p].astype(np.int32)
 
     def left(positions: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
         """Indices of those whose left neighbour is of the wanted type, and the neighbours' characters."""
