@@ -6,8 +6,9 @@ of equal pieces, and the plan comes back as ranges: of the pieces of length s, t
 such sequences at such an offset. Pieces are numbered within their length by the task that cut them plus a prefix sum
 over tasks, so no task ever gathers all pieces of one length.
 
-The plan: Martello and Toth's dominance criterion permanently fixes sets of up to three pieces that dominate all
-alternatives (:func:`reduce_instance`), and best-fit decreasing packs the rest (:func:`best_fit`).
+The plan: Martello and Toth's dominance criterion permanently fixes single pieces and pairs that dominate all
+alternatives (:func:`reduce_instance`; sets of three are not fixed, and the first largest piece that nothing dominates
+beside ends it), and best-fit decreasing packs the rest (:func:`best_fit`).
 """
 
 from __future__ import annotations
