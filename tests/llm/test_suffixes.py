@@ -21,18 +21,20 @@ def common(t, a, b, depth):
 
 @pytest.mark.parametrize("small", [0, 2, 1 << 20])
 @pytest.mark.parametrize("held", [1, 4, 1 << 20])
-def test_induced_order_and_prefixes(tmp_path, small, held):
+def test_induced_order_and_prefixes(tmp_path, monkeypatch, small, held):
     rng = random.Random(small + held)
-    for _ in range(60):
+    for trial in range(60):
+        monkeypatch.setattr(induced_sort, "FAN", rng.choice([2, 3, 256]))
+        monkeypatch.setattr(induced_sort, "BATCH", rng.choice([1, 3, 2048]))
         t = bytes(rng.randrange(97, 97 + rng.choice([1, 2, 3, 50])) for _ in range(rng.randint(1, 80)))
         if rng.random() < 0.4:
             t = (t * 5)[: rng.randint(1, 200)]
         depth = rng.choice([3, 6, 10, 300])
-        got = list(induced_sort.induced(np.frombuffer(t, np.uint8), depth, str(tmp_path), small, held))[::-1]
-        p = np.concatenate([g[0] for g in got]).tolist()
+        got = list(induced_sort.induced(np.frombuffer(t, np.uint8), depth, induced_sort.Store(str(tmp_path), held), small))
+        p = np.concatenate([g[0] for g in got]).tolist()[::-1]
         assert sorted(p) == list(range(len(t)))
         assert [t[i : i + depth] for i in p] == sorted(t[i : i + depth] for i in p)
-        assert np.concatenate([g[1] for g in got]).tolist() == [0] + [common(t, a, b, depth) for a, b in zip(p, p[1:])]
+        assert np.concatenate([g[1] for g in got]).tolist() == [0] + [common(t, a, b, depth) for a, b in zip(p, p[1:])][::-1]
 
 
 def plain_removal(texts, length):
@@ -50,10 +52,10 @@ def plain_removal(texts, length):
     return out
 
 
-def compare(df, length, gram):
+def compare(df, length, gram, **bounds):
     rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     want = Counter((i, *x) for (i, _), x in zip(rows, plain_removal([t for _, t in rows], length)))
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length=length, gram=gram).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length=length, gram=gram, **bounds).collect())
     assert got == want
     return got
 
@@ -69,6 +71,20 @@ def test_random_repeats(spark):
         texts += ["a" * 300, "ab" * 90, "", None, texts[3], texts[3] + "x", "=" * 11, "=" * 12, "=" * 13]
         df = spark.createDataFrame([(i if i % 50 else None, t, "x", "y", "z") for i, t in enumerate(texts)] + [(7, texts[7], "x", "y", "z")], SCHEMA)
         compare(df, length, gram)
+        compare(df, length, gram, shard_bytes=2000, hot_bytes=150)
+
+
+def test_a_hot_anchor_is_split(spark):
+    """One passage, shorter or longer than a window, in a third of the texts: blocks of places, then single windows."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for size in (30, 47, 60):
+        passage = word(size)
+        texts = [word(rng.randint(0, 60)) + passage + word(rng.randint(0, 60)) if i % 3 == 0 else word(80) for i in range(240)]
+        texts += [passage[:40] + "x", "y" + passage, "x" * 5 + passage + "x" * 5, "x" * 5 + passage + "x" * 5]
+        df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)], SCHEMA)
+        for hot_bytes in (1, 600, 1 << 30):
+            compare(df, 48, 20, hot_bytes=hot_bytes)
 
 
 def test_documents(spark, sf_dir):
@@ -91,5 +107,5 @@ def test_blocks_don_t_change_pieces(monkeypatch):
     whole = suffix_dedup.pieces(data, 40, 9)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     parts = suffix_dedup.pieces(data, 40, 9)
-    by_window = lambda p: [a for n, a in zip(p[1].tolist(), p[2].tolist()) for _ in range(n)]
+    by_window = lambda p: [a for n, a in zip(p[1].tolist(), p[3].tolist()) for _ in range(n)]
     assert by_window(whole) == by_window(parts) and len(by_window(whole)) == 5000 - 39

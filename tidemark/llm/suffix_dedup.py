@@ -12,7 +12,12 @@ unique. Consecutive windows with one anchor occurrence form a *piece*; each wind
    order shares ``length`` bytes with it;
 4. repeated windows come back to all occurrences of their piece, are merged into spans, and removed.
 
-Pieces under one anchor are compared by 64-bit hash when they are merged; everything else is exact.
+Shards are as many as the stored bytes need. An anchor with more bytes of different pieces than ``HOT_BYTES`` is split
+without losing a pair: equal windows hold their anchor at the same place, so a piece's windows are cut into blocks of
+``SPLIT`` such places, and what all windows of a block have in common (``length`` - ``SPLIT`` + 1 bytes) is their new,
+deeper anchor. Where even that one is too large, its windows are counted by their own 128-bit hash.
+
+Pieces are merged by 128 bits of hash beside the anchor's 64; everything else is exact.
 """
 
 from __future__ import annotations
@@ -29,11 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import shared
 from ..plans.shared import delete
 from . import base, induced_sort
 
 LENGTH = 400
 GRAM = 128
+#: Bytes of pieces a shard is meant to hold, and of different pieces under one anchor before it is split.
+SHARD_BYTES = 8 << 20
+HOT_BYTES = 4 << 20
+#: Places of the anchor in a window that make a block when an anchor is split.
+SPLIT = 32
 #: Window starts of a text that are handled at a time.
 BLOCK = 1 << 22
 #: Parts a shard's text: no byte of UTF-8.
@@ -82,8 +93,13 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_right[:n], from_left[width - 1 : width - 1 + n])
 
 
-def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor, piece hash) of all pieces of a text; none if it is shorter than a window."""
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of hash of each, as two signed numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
+
+
+def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(start, windows, place of the anchor, anchor, piece hash) of all pieces of a text; none if it is shorter than a window."""
     parts = []
     for begin in range(0, max(len(data) - length + 1, 0), BLOCK):
         block = np.frombuffer(data[begin : begin + BLOCK + length - 1], np.uint8)
@@ -92,35 +108,39 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         low = sliding_minimum(h >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | place, length - gram + 1)
         at = (low & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        parts.append((starts + begin, np.diff(np.append(starts, len(at))), h[at[starts]].view(np.int64)))
+        parts.append((starts + begin, np.diff(np.append(starts, len(at))), at[starts] - starts, h[at[starts]].view(np.int64)))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    start, windows, anchor = (np.concatenate(p) for p in zip(*parts, strict=True))
-    digest = xxhash.xxh3_64_intdigest
-    piece = np.array([digest(data[a : a + w + length - 1]) for a, w in zip(start.tolist(), windows.tolist(), strict=True)], np.uint64)
-    return start, windows, anchor, piece.view(np.int64)
+        return none, none, none, none, np.zeros((0, 2), np.int64)
+    start, windows, lead, anchor = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return start, windows, lead, anchor, digests([data[a : a + w + length - 1] for a, w in zip(start.tolist(), windows.tolist(), strict=True)])
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...], id_column: str, text_column: str) -> DataFrame:
-    """``carry`` and the text, with a key: id and hash of the text. Rows with equal keys have equal results."""
+    """``carry`` as one struct (its names can't clash), the text, and a key: id and hash of the text.
+
+    Rows with equal keys have equal results.
+    """
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
-    rows = docs.select(*[docs[c] for c in carry], F.coalesce(docs[id_column].cast("long"), F.lit(_NO_ID)).alias("k1"), text.alias("text"))
+    row = F.struct(F.lit(None).cast("int").alias("_"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry)])
+    rows = docs.select(row.alias("row"), F.coalesce(docs[id_column].cast("long"), F.lit(_NO_ID)).alias("k1"), text.alias("text"))
     return rows.withColumn("k2", F.xxhash64("text"))
 
 
 def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """All pieces of all texts: k1, k2, start, windows, anchor, piece."""
+    """All pieces of all texts: k1, k2, start, windows, lead (place of the anchor), anchor, p1, p2 (hash of the piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             found = [pieces(t.encode(), length, gram) for t in base.text_of(batch).to_pylist()]
             n = [len(f[0]) for f in found]
-            columns = [np.repeat(k1, n), np.repeat(k2, n), *(np.concatenate([f[i] for f in found]) for i in range(4))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "start", "windows", "anchor", "piece"])
+            hashes = np.concatenate([f[4] for f in found])
+            columns = [np.repeat(k1, n), np.repeat(k2, n), *(np.concatenate([f[i] for f in found]) for i in range(4)), hashes[:, 0].copy(), hashes[:, 1].copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, start long, windows long, anchor long, piece long")
+    names = ["k1", "k2", "start", "windows", "lead", "anchor", "p1", "p2"]
+    return rows.select("k1", "k2", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,67 +149,154 @@ def covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[np.append(first[1:] - 1, len(starts) - 1)] + length
 
 
+#: What identifies a piece.
+PIECE = ("anchor", "p1", "p2")
+
+
 def sort_shards(shared: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of pieces (anchor, piece, copies, windows, data), found shard by shard: a partition is a shard.
+    """Repeated spans (PIECE, begins, ends) of pieces that occur once, found shard by shard: a partition is a shard.
 
-    A shard's text and the queues of its sort lie in a temporary folder of the task, removed at its end.
+    ``shared``: PIECE, copies, first (window of the piece), windows, data. A shard's text and all that its sort holds
+    beyond a bounded part lie in a temporary folder of the task, removed at its end; a lost task starts afresh.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="tidemark-suffixes-")
         try:
             keys: list[tuple[np.ndarray, ...]] = []
-            path = os.path.join(folder, "text")
+            path, seen = os.path.join(folder, "text"), set()
             with open(path, "wb") as out:
                 for batch in batches:
+                    own = np.array([batch.column(c).to_numpy() for c in (*PIECE, "copies", "first", "windows")])
                     data = batch.column("data").to_pylist()
-                    keys.append((*(batch.column(c).to_numpy() for c in ("anchor", "piece", "windows")), np.array([len(d) for d in data], np.int64)))
-                    out.write(b"".join(d + bytes([SEPARATOR]) for d in data))
+                    fresh = []
+                    for i, k in enumerate(map(bytes, own[[0, 1, 2, 4]].T.copy())):  # repeated rows bring a piece again
+                        if k not in seen:
+                            seen.add(k)
+                            fresh.append(i)
+                    keys.append((own[:, fresh], np.array([len(data[i]) for i in fresh], np.int64)))
+                    out.write(b"".join(data[i] + bytes([SEPARATOR]) for i in fresh))
+            del seen
             if not os.path.getsize(path):
                 return
-            anchor, piece, windows, size = (np.concatenate(k) for k in zip(*keys, strict=True))
+            own, size = np.concatenate([k for k, _ in keys], 1), np.concatenate([n for _, n in keys])
             begin = np.cumsum(size + 1) - size - 1
             flags = induced_sort.repeated(np.memmap(path, np.uint8, "r"), length, folder)
-            rows: list[list] = [[], [], [], []]
-            for a, p, at, w in zip(anchor.tolist(), piece.tolist(), begin.tolist(), windows.tolist(), strict=True):
-                hits = np.flatnonzero(flags[at : at + w])
+            rows: list[list] = [[], [], [], [], []]
+            for (a, p1, p2, copies, first, w), at in zip(own.T.tolist(), begin.tolist(), strict=True):
+                hits = np.flatnonzero(flags[at : at + w]) if copies == 1 else ()
                 if len(hits):
-                    for column, value in zip(rows, (a, p, *covered(hits, length)), strict=True):
+                    for column, value in zip(rows, (a, p1, p2, *covered(hits + first, length)), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["anchor", "piece", "begins", "ends"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [*PIECE, "begins", "ends"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return shared.select("anchor", "piece", "windows", "data").mapInArrow(run, "anchor long, piece long, begins array<long>, ends array<long>")
+    schema = "anchor long, p1 long, p2 long, begins array<long>, ends array<long>"
+    return shared.select(*PIECE, "copies", "first", "windows", "data").mapInArrow(run, schema)
+
+
+def with_data(rows: DataFrame, cuts: DataFrame, length: int) -> DataFrame:
+    """``cuts`` (k1, k2, start, windows and more) with ``data``, the bytes of their windows, read from their texts."""
+    names = [c for c in cuts.columns if c not in ("k1", "k2")]
+    wanted = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("cuts"))
+    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", F.encode("text", "UTF-8").alias("bytes"), "cuts")
+    data = lambda c: F.substring("bytes", (c["start"] + 1).cast("int"), (c["windows"] + length - 1).cast("int"))
+    return texts.select("k1", "k2", F.explode(F.transform("cuts", lambda c: F.struct(*[c[n].alias(n) for n in names], data(c).alias("data")))).alias("c")).select("k1", "k2", "c.*")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Stored (k1, k2, spans array<struct<begin, end>>) of the keyed texts with repeats; spans may overlap."""
+def split_cuts(cuts: DataFrame, length: int, block: int) -> DataFrame:
+    """The cuts of ``with_data`` in blocks of ``block`` places of the anchor; s1, s2: hash of what a block's windows share.
+
+    A window's place is that of its anchor in it, which falls by one from a window of the piece to the next.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cores, anchors = [], [], batch.column("anchor").to_pylist()
+            for i, (start, windows, lead, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "windows", "lead", "data")), strict=True)):
+                first = 0
+                while first < windows:
+                    place = lead - first
+                    n = min(windows - first, place % block + 1)
+                    lowest = place // block * block
+                    highest = lowest + block - 1
+                    # From the start of the window with the lowest place to the end of that with the highest.
+                    core = data[lead - lowest : lead - highest + length]
+                    cores.append(np.array([anchors[i], lowest], np.int64).tobytes() + core)
+                    rows.append((i, start + first, first, n))
+                    first += n
+            at, begin, first, n = np.array(rows, np.int64).reshape(-1, 4).T
+            same = [batch.column(c).take(pa.array(at)) for c in ("k1", "k2", *PIECE, "copies")]
+            hashes = digests(cores)
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, pa.int64()) for x in (begin, first, n, hashes[:, 0], hashes[:, 1]))], names)
+
+    names = ["k1", "k2", *PIECE, "copies", "start", "first", "windows", "s1", "s2"]
+    return cuts.select("k1", "k2", *PIECE, "copies", "start", "windows", "lead", "data").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def shared_cuts(spark, rows: DataFrame, different: DataFrame, length: int, hot_bytes: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(cuts to be sorted with the number of their shard key, spans found without sorting, bytes to be sorted)."""
+    size = F.sum(F.col("windows") + (length - 1))
+    variants = base.stored(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).where("n > 1").select("anchor", "bytes"), "variants")
+    cuts = different.join(variants, "anchor")
+    cool = cuts.where(f"bytes <= {hot_bytes}").select("k1", "k2", *PIECE, "copies", "start", F.lit(0).cast("long").alias("first"), "windows", F.col("anchor").alias("shard"))
+    total, hot = variants.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.when(F.col("bytes") > hot_bytes, 1))).first()
+    if not hot:
+        return cool, None, total
+    blocks = base.stored(split_cuts(with_data(rows, cuts.where(f"bytes > {hot_bytes}").select("k1", "k2", *PIECE, "copies", "start", "windows", "lead"), length), length, max(1, min(SPLIT, length // 4))), "blocks")
+    sizes = base.stored(blocks.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).where("n > 1"), "block-sizes")
+    again = blocks.join(sizes.select("s1", "s2", "bytes"), ["s1", "s2"])
+    split = again.where(f"bytes <= {hot_bytes}").select("k1", "k2", *PIECE, "copies", "start", "first", "windows", F.col("s1").alias("shard"))
+    # What is left over is counted window by window; nothing has to be ordered.
+    single = with_data(rows, again.where(f"bytes > {hot_bytes}").select("k1", "k2", *PIECE, "copies", "start", "first", "windows"), length)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("first", "windows", "data")]
+            n = columns[1]
+            hashes = digests([d[j : j + length] for _, w, d in zip(*columns, strict=True) for j in range(w)])
+            first = np.concatenate([f + np.arange(w) for f, w in zip(columns[0], n, strict=True)] or [np.zeros(0, np.int64)])
+            same = [np.repeat(batch.column(c).to_numpy(), n) for c in (*PIECE, "copies")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*same, first, hashes[:, 0], hashes[:, 1])], names)
+
+    names = [*PIECE, "copies", "first", "w1", "w2"]
+    counted = base.stored(single.select(*PIECE, "copies", "first", "windows", "data").mapInArrow(windows, ", ".join(f"{n} long" for n in names)).distinct(), "windows")
+    often = base.stored(counted.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "repeated-windows")
+    array = lambda c: F.array(c.cast("bigint"))
+    found = counted.where("copies = 1").join(often, ["w1", "w2"]).select(*PIECE, array(F.col("first")).alias("begins"), array(F.col("first") + length).alias("ends"))
+    extra = sizes.where(f"bytes <= {hot_bytes}").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    held = variants.where(f"bytes <= {hot_bytes}").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return cool.unionByName(split), found, held + extra
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Stored (k1, k2, spans array<struct<begin, end>>) of the keyed texts with repeats; spans may overlap.
+
+    Texts without repeats have no row; an empty table gives none.
+    """
     spark = rows.sparkSession
     found = base.stored(occurrences(rows, length, gram), "pieces")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = base.stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     again = base.stored(found.join(often, "anchor"), "repeated-pieces")
-    delete(spark, found.scratch_path)
-    counted = again.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    different = base.stored(counted.select("anchor", "piece", "copies", "at.*"), "different-pieces")
-    variants = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    cut = F.struct("anchor", "piece", "windows", "start")
-    wanted = different.join(variants, "anchor").groupBy("k1", "k2").agg(F.collect_list(cut).alias("cuts"))
-    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select(F.encode("text", "UTF-8").alias("bytes"), "cuts")
-    data = lambda c: F.substring("bytes", (c["start"] + 1).cast("int"), (c["windows"] + length - 1).cast("int"))
-    shared = texts.select(F.explode(F.transform("cuts", lambda c: F.struct(c["anchor"], c["piece"], c["windows"], data(c).alias("data")))).alias("c")).select("c.*")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    compared = base.stored(sort_shards(shared.repartition(shards, "anchor"), length), "compared-pieces")
+    for done in (found, often):
+        delete(spark, done.scratch_path)
+    counted = again.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "windows", "lead")).alias("at"))
+    different = base.stored(counted.select(*PIECE, "copies", "at.*"), "different-pieces")
+    with shared.recorded() as made:
+        cuts, more, total = shared_cuts(spark, rows, different, length, hot_bytes)
+        least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+        shards = max(-(-total // shard_bytes), least, 1)
+        compared = base.stored(sort_shards(with_data(rows, cuts, length).repartition(shards, "shard"), length), "compared-pieces")
     longs = lambda c: F.array(c.cast("bigint"))
-    whole = different.where("copies > 1").select("anchor", "piece", longs(F.lit(0)).alias("begins"), longs(F.col("windows") + (length - 1)).alias("ends"))
-    single = compared.join(different.where("copies = 1").select("anchor", "piece"), ["anchor", "piece"])
-    hits = again.join(whole.unionByName(single), ["anchor", "piece"])
+    spans = compared.unionByName(different.where("copies > 1").select(*PIECE, longs(F.lit(0)).alias("begins"), longs(F.col("windows") + (length - 1)).alias("ends")))
+    hits = again.join(spans if more is None else spans.unionByName(more), list(PIECE))
     moved = F.transform(F.arrays_zip("begins", "ends"), lambda s: F.struct((F.col("start") + s["begins"]).alias("begin"), (F.col("start") + s["ends"]).alias("end")))
-    spans = base.stored(hits.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeated-spans")
-    for done in (again, different, compared):
-        delete(spark, done.scratch_path)
-    return spans
+    out = base.stored(hits.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeated-spans")
+    for path in (again.scratch_path, different.scratch_path, *made):
+        delete(spark, path)
+    return out
 
 
 def merge_spans(begins: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -222,33 +329,34 @@ def whole_characters(data: bytes, begins: list[int], ends: list[int]) -> tuple[l
     return out
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", text: bool = False, **bounds) -> DataFrame:
     """Return ``carry``, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept_text`` if ``text``), a row for each input row.
 
     Every byte is removed that a ``length``-byte string covers which also starts anywhere else in the table, the same
     text included; overlaps count, and all strings are judged on the input. Matches never cross texts. A null text
     counts as empty; repeated rows repeat each other; ids may be null; an empty table gives an empty result.
-    ``kept_text`` keeps the characters that a span's ends would cut through.
+    ``kept_text`` keeps the characters that a span's ends would cut through. A carried column that has the name of a
+    result column gives way to it; no other name is reserved.
     """
     base.ship(docs.sparkSession)
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + text]
+    carry = tuple(c for c in carry if c not in own)
     rows = keyed(docs, carry, id_column, text_column)
-    joined = rows.join(repeated_spans(rows, length, gram), ["k1", "k2"], "left")
-    picked = joined.select(*carry, "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
+    joined = rows.join(repeated_spans(rows, length, gram, **bounds), ["k1", "k2"], "left")
+    picked = joined.select("row", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in own]
             for t, b, e in zip(base.text_of(batch).to_pylist(), batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 data = t.encode()
                 b, e = merge_spans(np.array(b), np.array(e)) if b else ([], [])
-                whole = without(data, *whole_characters(data, b, e)).decode() if text else None
+                whole = without(data, *whole_characters(data, b, e)).decode() if b and text else t
                 values = (len(data), sum(e) - sum(b), len(b), hashlib.sha256(without(data, b, e)).hexdigest(), whole)
-                for column, value in zip(out, values, strict=True):
+                for column, value in zip(out, values, strict=False):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)][: 4 + text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *columns], [*carry, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], ["row", *own])
 
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in carry)
-    return picked.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text)
+    schema = f"row {picked.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
+    return picked.mapInArrow(run, schema).select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(carry)], *own)
