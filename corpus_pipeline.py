@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import packing, quality, queries, secrets, simhash, suffix_dedup
 from tidemark.plans import shared
 
+#: Passages of 50 words are to be found: in words of this language family they have 250 bytes or more. Anchors are chosen
+#: among strings of a third of that, so that a window has room for several.
+PASSAGE_BYTES, PASSAGE_GRAM = 250, 80
 _left_over: list[str] = []
 
 
@@ -49,9 +52,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out what strings of 400 bytes cover that start anywhere else; every document stays."""
+    """Cut out what strings of PASSAGE_BYTES cover that start anywhere else; every document stays."""
     columns = docs.columns
-    kept = suffix_dedup.remove_repeats(docs, tuple(c for c in columns if c not in ("text", "n_chars")), text=True)
+    kept = suffix_dedup.remove_repeats(docs, tuple(c for c in columns if c not in ("text", "n_chars")), text=True, length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
