@@ -25,8 +25,8 @@ from . import base, segments
 FAN = 8
 #: Bits of a token id in the key of a pair.
 ID_BITS = 20
-#: Pre-tokens and segments a worker remembers; beyond it the memory starts afresh (results don't depend on it).
-REMEMBERED = 300_000
+#: Pre-tokens in each of the two generations a worker remembers; a full one replaces the older (results don't depend on it).
+REMEMBERED = 400_000
 #: Bytes of pre-tokens that share a queue.
 QUEUED = 1 << 19
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -56,8 +56,10 @@ class Codec:
         for a in range(256):
             for b in range(256):
                 self.byte_pairs[a << 8 | b] = self.ranks.get(bytes([a, b]), -1)
-        self.segments: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.table = pa.array(self.tokens, pa.binary())
+        #: Packed ids of pre-tokens, the younger and the older generation.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of each pre-token, all through one rank queue."""
@@ -69,6 +71,8 @@ class Codec:
         before[starts] = -1
         first = np.flatnonzero(follow >= 0)
         rank_of = self.byte_pairs[data[first].astype(np.int64) << 8 | data[first + 1]]
+        joint = np.full(len(data), -1, np.int64)
+        joint[first] = rank_of
         first, rank_of = first[rank_of >= 0], rank_of[rank_of >= 0]
         order = np.argsort(rank_of, kind="stable")
         first, rank_of = first[order].tolist(), rank_of[order]
@@ -78,8 +82,10 @@ class Codec:
         for r in buckets:
             words[r >> FAN] |= 1 << (r & mask)
             top |= 1 << (r >> FAN)
-        # The part at i has the id ids[i] (-1: part of another by now), the next part follow[i] (-1: the last).
+        # The part at i has the id ids[i] (-1: part of another by now), the next part follow[i] (-1: the last), and with
+        # it the joint rank joint[i] (-1: none); an entry of a bucket whose rank isn't joint[i] any more is stale.
         ids, follow, before, rank_of = self.of_byte[data].tolist(), follow.tolist(), before.tolist(), self.pairs.get
+        joint = joint.tolist()
         while top:
             w = (top & -top).bit_length() - 1
             bits = words[w]
@@ -89,18 +95,20 @@ class Codec:
             if bits == low:
                 top ^= 1 << w
             bucket = buckets.pop(rank)
-            bucket.sort()
+            if len(bucket) > 1:
+                bucket.sort()
+            left_key = rank << ID_BITS
             for k, i in enumerate(bucket):
-                j = follow[i]
-                if j < 0 or ids[i] < 0 or rank_of(ids[i] << ID_BITS | ids[j]) != rank:
+                if joint[i] != rank:
                     continue  # stale
-                ids[i], ids[j] = rank, -1
+                j = follow[i]
+                ids[i], ids[j], joint[j] = rank, -1, -1
                 after = follow[i] = follow[j]
                 least = rank
                 if after >= 0:
                     before[after] = i
-                    r = rank_of(rank << ID_BITS | ids[after])
-                    if r is not None:
+                    r = joint[i] = rank_of(left_key | ids[after], -1)
+                    if r >= 0:
                         if r in buckets:
                             buckets[r].append(i)
                         else:
@@ -109,10 +117,12 @@ class Codec:
                             top |= 1 << (r >> FAN)
                         if r < least:
                             least = r
+                else:
+                    joint[i] = -1
                 b = before[i]
                 if b >= 0:
-                    r = rank_of(ids[b] << ID_BITS | rank)
-                    if r is not None:
+                    r = joint[b] = rank_of(ids[b] << ID_BITS | rank, -1)
+                    if r >= 0:
                         if r in buckets:
                             buckets[r].append(b)
                         else:
@@ -159,29 +169,59 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_batch(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes of the packed ids of each text."""
+        at = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        return joined(self.table.take(pa.array(np.frombuffer(b"".join(packed), "<u4"))), at)
+
+    def packed(self, segs: list[str]) -> list[bytes]:
+        """The packed ids of each of these different segments."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out, wait, wanted = list(map(young.get, segs)), [], set()
+        for k, known in enumerate(out):
+            if known is None:
+                s = segs[k]
+                known = old.get(s)
+                if known is not None:
+                    out[k] = young[s] = known
+                else:
+                    pieces = self.split(s)
+                    wait.append((k, pieces))
+                    wanted.update(pieces)
+        fresh, missing = {}, []
+        for piece in wanted:
+            known = young.get(piece) or old.get(piece)
+            if known:
+                fresh[piece] = known
+            else:
+                missing.append(piece)
+        fresh |= self.learn(missing)
+        for k, pieces in wait:
+            out[k] = fresh[pieces[0]] if len(pieces) == 1 else b"".join([fresh[p] for p in pieces])
+        young.update((p, x) for p, x in fresh.items() if len(p) < 64)
+        return out
+
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
         for rows, offsets, parts in segments.groups(texts):
-            segs = parts.dictionary.to_pylist()
-            if len(self.segments) > REMEMBERED:
-                self.segments.clear()
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            new = {s: self.split(s) for s in segs if s not in self.segments}
-            known, fresh = self.pieces, {}
-            fresh = self.learn(list({p for pieces in new.values() for p in pieces if p not in known}))
-            look = lambda p: known[p] if p in known else fresh[p]
-            made = {s: b"".join(map(look, pieces)) for s, pieces in new.items()}
-            packed = [self.segments[s] if s in self.segments else made[s] for s in segs]
-            codes = np.asarray(parts.indices).tolist()
-            for row, a, b in zip(rows.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                out[row] = b"".join(map(packed.__getitem__, codes[a:b]))
-            self.segments |= {s: x for s, x in made.items() if len(s) < 64}
-            self.pieces |= {p: x for p, x in fresh.items() if len(p) < 64}
+            ids = pa.array(self.packed(parts.dictionary.to_pylist()), pa.binary())
+            for row, x in zip(rows.tolist(), joined(ids.take(parts.indices), offsets), strict=True):
+                out[row] = x
         return out
 
 
+def joined(values: pa.Array, at: np.ndarray) -> list[bytes]:
+    """values[at[i]:at[i + 1]] joined, for each i; the values lie one after the other in one buffer."""
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1] if ends else np.zeros(1, np.int32)
+    view = memoryview(data) if data else memoryview(b"")
+    cuts = ends[at].tolist()
+    return [bytes(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
@@ -232,7 +272,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
         c = codec(path, pattern)
         for batch in base.slices(batches):
             packed = c.encode_batch(base.text_of(batch))
-            decoded = [c.decode(np.frombuffer(b, "<u4").tolist()) for b in packed]
+            decoded = c.decode_batch(packed)
             columns = [batch.column("doc_id"), pa.array([len(b) // 4 for b in packed], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in side]) for side in (packed, decoded))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
