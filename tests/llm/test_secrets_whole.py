@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 from tidemark.llm import secrets
 
@@ -30,3 +31,34 @@ def test_secrets_that_were_hidden(spark):
         at = 4 + (4 if x.startswith("key-") else 0)
         assert got[k] == f"{name}:{at}:{4 + len(x)}", x
     assert [got[k] for k in range(len(shown), len(got))] == [""] * len(hidden)
+
+
+def test_long_runs_are_scanned_in_linear_time(spark):
+    """Runs of 20 to a million characters, with and without equal letters inside, are all reported."""
+    rng = random.Random(5)
+    alphabet = string.ascii_letters + string.digits
+    runs = []
+    for n in (20, 1_000, 50_000, 1_000_000):
+        run = "".join(rng.choice(alphabet) for _ in range(n - 3)) + "aZ7"
+        runs += [run, run[: n // 2] + "aaaa" + run[n // 2 :] if n > 20 else run]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(runs)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.digest(df).collect()}
+    assert [got[i] for i in range(len(runs))] == [f"entropy64:4:{4 + len(x)}" for x in runs]
+    assert time.time() - began < 90
+
+
+def test_many_secrets_in_one_text(spark):
+    """Spans that touch block ends, and thousands of them; every column is kept, whatever its name."""
+    rng = random.Random(6)
+    text, want = [], []
+    for k in range(3_000):
+        plain = "wörds 🎉 " * rng.randint(0, 3 if k % 500 else 2_000)
+        text.append(plain + "AKIA" + "".join(rng.choice(string.ascii_uppercase) for _ in range(rng.randint(16, 40))) + " ")
+        want.append(plain + "[SECRET] ")
+    columns = ("doc_id", "text", "base", "added", "raw", "row", "k1")
+    df = spark.createDataFrame([(1, "".join(text), "b", "a", "r", "w", 3), (2, None, "b", None, "r", "w", 3), (2, "", "b", None, "r", "w", 3)], "doc_id long, text string, base string, added string, raw string, row string, k1 long")
+    got = secrets.redact(df)
+    assert tuple(got.columns) == columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "".join(want), "b", "a", "r", "w", 3), (2, None, "b", None, "r", "w", 3), (2, "", "b", None, "r", "w", 3)], key=str)
+    assert secrets.scan(df, columns).columns == ["doc_id", "text", "raw", "row", "k1", "base", "added"]

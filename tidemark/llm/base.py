@@ -13,7 +13,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.shared import delete, drop_scratch, scratch, shared_root, stored  # noqa: F401
 
@@ -24,8 +25,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever the driver has it; batches are bounded by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Let executors import this package, wherever the driver has it; Arrow batches are bounded by bytes unless they are."""
+    for name, value in (("maxBytesPerBatch", str(BATCH_BYTES)), ("maxRecordsPerBatch", "2000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) in (None, "10000", str((1 << 31) - 1), "-1"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     key = spark.sparkContext.applicationId
     if key in _shipped:
         return
@@ -41,6 +44,24 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def private(taken: Iterable[str], wanted: str) -> str:
+    """A name like ``wanted`` that none of the columns ``taken`` has, in any case."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
+def packed(columns: Iterable[str], docs: DataFrame) -> Column:
+    """The columns as one struct, whose fields are numbered: their names can't clash with anything beside it."""
+    return F.struct(F.lit(None).cast("int").alias("_"), *[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(columns)])
+
+
+def unpacked(columns: Iterable[str], struct: str = "row") -> list[Column]:
+    """The fields of :func:`packed` under their own names."""
+    return [F.col(struct)[f"c{k}"].alias(c) for k, c in enumerate(columns)]
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column without nulls (null: empty)."""
     return pc.fill_null(batch.column(name).cast(pa.string()), "")

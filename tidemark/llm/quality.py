@@ -5,8 +5,8 @@ windows and every window is compressed with both; the bad dictionary shortens ba
 compressed sizes, normalised by length, over all windows of the text are calibrated into a probability by a logistic
 regression fitted on labelled documents that no dictionary has seen.
 
-Training uses a bounded sample (``sample_docs`` documents of each label, chosen by a hash of the id, of each
-``sample_windows`` windows evenly spread over the text); scoring uses every window of every text.
+Training uses a bounded sample of labelled rows (``sample_docs`` documents of each label, chosen by a hash of the id;
+``sample_bytes`` of text for each dictionary), always whole texts; so does scoring.
 """
 
 from __future__ import annotations
@@ -40,13 +40,16 @@ class Model:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the samples themselves as content where there are too few to train on."""
-    if len(samples) >= 64:
-        try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-size:]
+    """A trained dictionary, or the samples themselves as content where the trainer finds them too few."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def cut(text: bytes) -> list[bytes]:
+    """All windows of a text; an empty text is one."""
+    return [text[i : i + WINDOW] for i in range(0, max(len(text), 1), WINDOW)]
 
 
 class Scorer:
@@ -68,7 +71,7 @@ class Scorer:
 
     def features(self, text: bytes) -> list[float]:
         """Normalised size differences (whole, worst, spread) and compressed sizes, from all windows of the text."""
-        windows = [text[i : i + WINDOW] for i in range(0, max(len(text), 1), WINDOW)]
+        windows = cut(text)
         n = np.array([len(w) for w in windows], float)
         good, bad = (np.array([size(w) for w in windows], float) for size in self.sides)
         gap, rate = (good - bad) / (n + 32), good / (n + 32)
@@ -109,47 +112,60 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_windows: int) -> dict[int, list[list[bytes]]]:
-    """Windows of at most ``sample_docs`` documents of each label, in the order of a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_bytes: int) -> list[tuple[int, int, int, bool]]:
+    """(doc_id, hash of the text, label, goes into a dictionary?) of the documents to learn from, in the order of a hash.
 
-    Ids are chosen first, without texts; the chosen few (a bounded number) then meet the table in a broadcast join, and
-    windows are cut before anything travels, so that neither shuffle nor driver ever holds more than the bounds allow.
+    Ids are chosen first, without texts; only sizes of the chosen few are looked at then. Of each label every other
+    document goes into the dictionary, unless it would bring that over ``sample_bytes``.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     known = docs.select("doc_id").join(labels.where("label in (0, 1)").select("doc_id", "label"), "doc_id").distinct().withColumn("at", order)
     chosen = [tuple(r) for label in (0, 1) for r in known.where(F.col("label") == label).orderBy("at", "doc_id").limit(sample_docs).collect()]
-    span = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(WINDOW)))
-    n = F.least(span, F.lit(sample_windows))
-    cut = lambda i: F.substring("bytes", (F.round(i * (span - 1) / F.greatest(n - 1, F.lit(1))) * WINDOW + 1).cast("int"), F.lit(WINDOW))
     few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int, at long"))
-    rows = docs.where("text is not null").join(few, "doc_id").select("label", "at", F.encode("text", "UTF-8").alias("bytes"))
-    rows = rows.select("label", "at", F.xxhash64("bytes").alias("text_at"), F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), cut).alias("windows"))
-    found: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for r in rows.orderBy("at", "text_at").limit(2 * sample_docs).collect():
-        found[r["label"]].append([bytes(w) for w in r["windows"]])
-    return found
+    rows = docs.where("text is not null").join(few, "doc_id").select("at", "doc_id", F.xxhash64("text").alias("h"), "label", F.octet_length("text").alias("n")).distinct()
+    out, held, turn = [], [0, 0], [0, 0]
+    for _, doc_id, h, label, n in rows.orderBy("at", "doc_id", "h", "label").limit(2 * sample_docs).collect():
+        turn[label] += 1
+        into = bool(turn[label] % 2) and held[label] + n <= sample_bytes
+        held[label] += n * into
+        out.append((doc_id, h, label, into))
+    return out
+
+
+def of_sample(docs: DataFrame, chosen: list[tuple[int, int, int, bool]]) -> DataFrame:
+    """(doc_id, h, label, text) of chosen documents, once each; the list is bounded by the sample's parameters."""
+    few = F.broadcast(docs.sparkSession.createDataFrame([c[:3] for c in chosen], "doc_id long, h long, label int"))
+    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.join(few, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"]).select("doc_id", "h", "label", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_windows: int = 12, dictionary_bytes: int = 96 << 10) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_bytes: int = 8 << 20, dictionary_bytes: int = 96 << 10) -> Model:
     """Fit a model to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) covers.
 
     Rows without a label or text are left out. The sample is bounded by the parameters, whatever the tables' size. Of
-    each label, half of the sampled documents go into the dictionary, the other half into the calibration.
+    each label, half of the sampled documents go into the dictionary, the other half, reduced to features by the
+    executors, into the calibration.
     """
-    good, bad, check = [], [], []
-    for label, documents in sample(docs, labels, sample_docs, sample_windows).items():
-        for i, windows in enumerate(documents):
-            if i % 2:
-                check.append((windows, label))
-            elif label:
-                good += windows
-            else:
-                bad += windows
-    model = Model(dictionary(good, dictionary_bytes), dictionary(bad, dictionary_bytes))
-    scorer = Scorer(model)
-    x = np.array([scorer.features(b"".join(w)) for w, _ in check]).reshape(len(check), len(scorer.features(b"")))
-    y = np.array([label for _, label in check], float)
+    base.ship(docs.sparkSession)
+    chosen = sample(docs.select("doc_id", "text"), labels, sample_docs, sample_bytes)
+    place = {(i, h, label): k for k, (i, h, label, _) in enumerate(chosen)}
+    windows: dict[int, list[bytes]] = {0: [], 1: []}
+    into = of_sample(docs, [c for c in chosen if c[3]]).collect()
+    for r in sorted(into, key=lambda r: place[r["doc_id"], r["h"], r["label"]]):
+        windows[r["label"]] += cut(r["text"].encode())
+    model = Model(dictionary(windows[1], dictionary_bytes), dictionary(windows[0], dictionary_bytes))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in base.slices(batches):
+            x = [scorer.features(t.encode()) for t in base.text_of(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "label")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "h", "label", "x"])
+
+    check = of_sample(docs, [c for c in chosen if not c[3]]).mapInArrow(features, "doc_id long, h long, label int, x array<double>").collect()
+    check = sorted(check, key=lambda r: place[r["doc_id"], r["h"], r["label"]])
+    x = np.array([r["x"] for r in check]).reshape(len(check), len(Scorer(model).features(b"")))
+    y = np.array([r["label"] for r in check], float)
     model.means = list(x.mean(0)) if len(x) else [0.0] * x.shape[1]
     model.scales = [s or 1.0 for s in x.std(0)] if len(x) else [1.0] * x.shape[1]
     model.weights = list(fit_logistic(expand((x - model.means) / model.scales), y)) if len(x) else [0.0] * (2 * x.shape[1] + 1)
@@ -167,24 +183,35 @@ def _scorer(model: Model) -> Scorer:
     return _scorers[key]
 
 
+def _scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """(row, score, predicted) of (row, text)."""
+    base.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in base.slices(batches):
+            s = scorer.scores([t.encode() for t in base.text_of(batch).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """Return the columns ``carry``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ``threshold``).
 
     Only the text is an input of the score: equal texts have equal scores. A null text counts as empty, and both get a
-    score from the same formula. Ids may be null or repeated; an empty table gives an empty result.
+    score from the same formula. Ids may be null or repeated; an empty table gives an empty result. A carried column
+    called ``score`` or ``predicted`` gives way to the result's; no other name is reserved.
     """
-    base.ship(docs.sparkSession)
-    picked = docs.select(*[docs[c] for c in carry], docs[text_column].cast("string").alias("__text"))
+    carry = tuple(c for c in carry if c.lower() not in ("score", "predicted"))
+    rows = docs.select(base.packed(carry, docs).alias("row"), docs[text_column].cast("string").alias("text"))
+    return _scored(rows, model, threshold).select(*base.unpacked(carry), "score", "predicted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model)
-        for batch in base.slices(batches, "__text"):
-            s = scorer.scores([t.encode() for t in base.text_of(batch, "__text").to_pylist()])
-            columns = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*carry, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{schema}, score double, predicted int")
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a score of ``threshold`` or more, with all their columns, whatever their names."""
+    rows = docs.select(base.packed(docs.columns, docs).alias("row"), docs[text_column].cast("string").alias("text"))
+    return _scored(rows, model, threshold).where("predicted = 1").select(*base.unpacked(docs.columns))
 
 
 def held_out(id_column: Column, folds: int = 4, fold: int = 2) -> Column:

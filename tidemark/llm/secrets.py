@@ -6,22 +6,34 @@ runs of one character class. A window slides over each; the counts of its charac
 the entering and removing the leaving one, and with them the sum of c*log2(c) from which the entropy follows. A
 candidate is reported if the largest entropy of any window reaches the class's bound and no allow rule holds.
 
-Everything happens within a row: no shuffle, no Python.
+Everything happens within a row: no shuffle, no Python. The steps grow with the text, not with its square: characters
+are split into an array once, counts of a window are packed into a few long numbers, lists grow by chunks, and a
+redacted text is put together from blocks.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import base as common
+
 #: The base patterns, and how many characters of which group a match needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex")
+#: The same matches as those of ACCESS and HEX that are long enough: a shorter match takes up its whole run of
+#: characters, in which no other could be long enough either. What they find needs no further test.
+ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
+HEX_LONG = r"[0-9a-f]{24,}"
+#: Elements by which a list grows within a row, and code points of a block of a text.
+CHUNK = 128
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -61,17 +73,21 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("whole"), bodies.alias("body"))
     struct = "struct<start:int,kind:int,end:int,body:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{struct}>").alias("found"))
+    none = F.array().cast(f"array<{struct}>")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{struct}>>").alias("full"), none.alias("part"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
         one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["body"].alias("body")).cast(struct))
-        good = F.length(x["body"]) >= least  # null after the last match
-        return F.struct(end.alias("at"), F.when(F.coalesce(good, F.lit(False)), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(zipped, start, step, lambda s: s["found"])
-    none = F.array().cast(f"array<{struct}>")
+        good = F.coalesce(F.length(x["body"]) >= least, F.lit(False))  # null after the last match
+        full = F.size(state["part"]) >= CHUNK
+        return F.struct(
+            end.alias("at"), F.when(good & full, F.concat(state["full"], F.array(state["part"]))).otherwise(state["full"]).alias("full"),
+            F.when(~good, state["part"]).when(full, one).otherwise(F.concat(state["part"], one)).alias("part"),
+        )
+
+    found = F.aggregate(zipped, start, step, lambda s: F.flatten(F.concat(s["full"], F.array(s["part"]))))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
 
 
@@ -79,27 +95,37 @@ def largest_entropy(body: Column, c: CharacterClass) -> Column:
     """The largest Shannon entropy (bits a character) of any window of ``body``, by incremental counts.
 
     With counts k of the w characters in a window the entropy is log2(w) - sum(k*log2(k))/w, so the state is the
-    counts, that sum, and the smallest sum met once the window is full.
+    counts, that sum, and the smallest sum met once the window is full. A count takes as many bits as w does; as many
+    of them as fit share a long number.
     """
-    w = c.window
-    size = len(c.alphabet)
-    term = lambda k: F.when(k > 0, k * F.log2(k.cast("double"))).otherwise(F.lit(0.0))
-    place = lambda ch: F.position(ch, F.lit(c.alphabet))  # 1-based
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("k"), F.lit(0.0).cast("double").alias("s"), F.lit(1e9).cast("double").alias("low"))
-
-    def step(state: Column, i: Column) -> Column:
-        enter = place(F.substring(body, i, F.lit(1)))
-        leave = F.when(i > w, place(F.substring(body, i - w, F.lit(1)))).otherwise(F.lit(0))
-        k = state["k"]
-        counts = F.when(enter == leave, k).otherwise(F.transform(k, lambda n, j: n + F.when(j + 1 == enter, 1).otherwise(0) - F.when(j + 1 == leave, 1).otherwise(0)))
-        into, out = F.get(k, enter - 1), F.get(k, leave - 1)
-        grown = term(into + 1) - term(into)
-        shrunk = F.when(leave > 0, term(out - 1) - term(out)).otherwise(F.lit(0.0))
-        s = F.when(enter == leave, state["s"]).otherwise(state["s"] + grown + shrunk)
-        low = F.when(i >= w, F.least(state["low"], s)).otherwise(state["low"])
-        return F.struct(counts.alias("k"), s.alias("s"), low.alias("low"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(body)), start, step, lambda st: F.log2(F.lit(float(w))) - st["low"] / w)
+    w, bits = c.window, c.window.bit_length()
+    per = 63 // bits
+    words = range(-(-len(c.alphabet) // per))
+    term = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 1)])
+    xlogx = lambda n: F.get(term, n.cast("int"))
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % per * bits).cast("int"))
+    word = lambda p: F.floor(p / per)
+    start = F.struct(*[F.lit(0).cast("bigint").alias(f"k{j}") for j in words], F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
+
+    def largest(places: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            enter, leave = F.get(places, i), F.get(places, i - w)  # null while nothing leaves
+
+            def count(p: Column) -> Column:
+                held = F.coalesce(*[F.when(word(p) == j, state[f"k{j}"]) for j in words])
+                return F.call_function("shiftright", held, (p % per * bits).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
+
+            same = F.coalesce(enter == leave, F.lit(False))
+            grown = xlogx(count(enter) + 1) - xlogx(count(enter)) + F.coalesce(xlogx(count(leave) - 1) - xlogx(count(leave)), F.lit(0.0))
+            s = F.when(same, state["s"]).otherwise(state["s"] + grown)
+            now = [state[f"k{j}"] + F.when(word(enter) == j, one(enter)).otherwise(0) - F.when(word(leave) == j, one(leave)).otherwise(0) for j in words]
+            low = F.when(i >= w - 1, F.least(state["low"], s)).otherwise(state["low"])
+            return F.struct(*[x.alias(f"k{j}") for j, x in enumerate(now)], s.alias("s"), low.alias("low"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda st: F.log2(F.lit(float(w))) - st["low"] / w)
+
+    places = F.transform(F.split(body, ""), lambda ch: F.position(ch, F.lit(c.alphabet)) - 1)
+    return F.get(F.transform(F.array(places), largest), F.lit(0))  # the one element makes the array a variable, computed once
 
 
 def _random(c: CharacterClass):
@@ -113,25 +139,31 @@ def joined(array: Column, names: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _scanned(rows: DataFrame, text: str, base: str, added: str, classes: tuple[CharacterClass, ...], allow: str) -> DataFrame:
+    """``rows`` with the columns ``base`` and ``added`` for their column ``text``."""
+    t = F.col(text)
+    patterns = ((ASSIGN, 2), (ACCESS_LONG, 0), (HEX_LONG, 0))
+    found = rows.withColumn(base, F.concat(*[spans(t, p, k, group=g, least=LEAST[KINDS[k]]) for k, (p, g) in enumerate(patterns)]))
+    parts = []
+    for k, c in enumerate(classes):
+        candidates = spans(t, c.pattern, len(KINDS) + k, least=c.least)
+        free = F.filter(candidates, lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        wanted = F.filter(free, lambda x: ~F.rlike(x["body"], F.lit(allow)))
+        parts.append(F.filter(wanted, _random(c)))
+    return found.withColumn(added, F.concat(*parts))
+
+
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
     """Return ``carry``, ``base`` and ``added``: arrays of spans (start, kind, end, body), offsets in code points.
 
     ``base`` are the three patterns' matches (kind 0 to 2), each kind leftmost and non-overlapping, never suppressed;
     ``added`` are high-entropy candidates (kind 3 on) that overlap no base span and no allow rule holds for. A null
-    text counts as empty and has neither; ids may be null or repeated; an empty table gives an empty result.
+    text counts as empty and has neither; ids may be null or repeated; an empty table gives an empty result. A carried
+    column called ``base`` or ``added`` gives way to the result's; no other name is reserved.
     """
-    text = F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("__text")
-    rows = docs.select(*[docs[c] for c in carry], text)
-    t = F.col("__text")
-    patterns = ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))
-    found = rows.withColumn("base", F.concat(*[spans(t, p, k, group=g, least=LEAST[KINDS[k]]) for k, (p, g) in enumerate(patterns)]))
-    parts = []
-    for k, c in enumerate(classes):
-        candidates = spans(t, c.pattern, len(KINDS) + k, least=c.least)
-        free = F.filter(candidates, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        wanted = F.filter(free, lambda x: ~F.rlike(x["body"], F.lit(allow)))
-        parts.append(F.filter(wanted, _random(c)))
-    return found.withColumn("added", F.concat(*parts)).drop("__text")
+    carry = tuple(c for c in carry if c.lower() not in ("base", "added"))
+    rows = docs.select(common.packed(carry, docs).alias("row"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    return _scanned(rows, "text", "base", "added", classes, allow).select(*common.unpacked(carry), "base", "added")
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -148,21 +180,43 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans are replaced as one.
 
-    All columns are kept. A null text stays null.
+    All columns are kept, whatever their names. A null text stays null; repeated rows repeat each other; an empty table
+    gives an empty result.
     """
     names = docs.columns
-    rows = docs.select("*", F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("__scan"))
-    s = scan(rows, tuple(names), "__scan")
-    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"], x["end"])))
-    t = F.col(text_column)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = F.greatest(state["at"], x["start"])
-        kept = F.substring(t, state["at"] + 1, begin - state["at"])
-        new = x["end"] > state["at"]
-        fresh = x["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(new, F.concat(state["out"], kept, F.when(fresh, F.lit(mark)).otherwise(F.lit("")))).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate(ordered, start, step, lambda st: F.concat(st["out"], F.substring(t, st["at"] + 1, F.length(t))))
-    return s.withColumn(text_column, F.when(F.size(ordered) > 0, clean).otherwise(t)).select(*names)
+    rows = docs.select(common.packed(names, docs).alias("row"), docs[text_column].cast("string").alias("raw"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    s = _scanned(rows, "text", "base", "added", CLASSES, ALLOW)
+    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    span = "struct<start:int,end:int>"
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<array<{span}>>").alias("full"), F.array().cast(f"array<{span}>").alias("part"))
+
+    def gap(state: Column, x: Column) -> Column:
+        """Collect what lies between the spans: from the largest end so far to this start."""
+        fresh, full = x["start"] >= state["at"], F.size(state["part"]) >= CHUNK
+        one = F.array(F.struct(F.greatest(state["at"], F.lit(0)).alias("start"), x["start"].alias("end")))
+        return F.struct(
+            F.greatest(state["at"], x["end"]).alias("at"),
+            F.when(fresh & full, F.concat(state["full"], F.array(state["part"]))).otherwise(state["full"]).alias("full"),
+            F.when(~fresh, state["part"]).when(full, one).otherwise(F.concat(state["part"], one)).alias("part"),
+        )
+
+    def last(state: Column) -> Column:
+        end = F.array(F.struct(state["at"].alias("start"), F.length("text").alias("end")))
+        return F.flatten(F.concat(state["full"], F.array(state["part"]), F.array(end)))
+
+    def put_together(blocks: Column) -> Column:
+        """The gaps' texts with marks between them, each from the blocks it touches."""
+
+        def kept(x: Column) -> Column:
+            a, b = F.floor(x["start"] / BLOCK).cast("int"), F.floor(x["end"] / BLOCK).cast("int")
+            inside = F.substring(F.get(blocks, a), x["start"] % BLOCK + 1, x["end"] - x["start"])
+            head, tail = F.substring(F.get(blocks, a), x["start"] % BLOCK + 1, F.lit(BLOCK)), F.substring(F.coalesce(F.get(blocks, b), F.lit("")), F.lit(1), x["end"] % BLOCK)
+            between = F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+            return F.when(x["start"] == x["end"], "").when(a == b, inside).otherwise(F.concat(head, between, tail))
+
+        return F.array_join(F.transform(F.aggregate(ordered, start, gap, last), kept), mark)
+
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    clean = F.get(F.transform(F.array(blocks), put_together), F.lit(0))
+    result = s.withColumn("text", F.when(F.size(F.concat("base", "added")) > 0, clean).otherwise(F.col("raw")))
+    return result.select(*[F.col("text").alias(c) if c == text_column else x for c, x in zip(names, common.unpacked(names), strict=True)])

@@ -7,8 +7,8 @@ the coordinates (16 of them) at most 1 apart. A half is a grid cell: every finge
 half, and is looked up in that cell and in those one step away in one coordinate. What meets in a cell is verified
 exactly within the join, so that only true links leave it.
 
-Equal fingerprints are merged before the join, so copies cost one row; a cell many different fingerprints share is an
-ordinary skewed join key, which adaptive execution splits.
+Equal fingerprints are merged before the join, so copies cost one row; a cell many different fingerprints share is a
+skewed join key of a plain join, which adaptive execution splits, as it does for a component of many fingerprints.
 """
 
 from __future__ import annotations
@@ -43,16 +43,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; a null text counts as empty."""
+    """(doc_id, h, fp) of each row: its id, a hash of its text and its fingerprint; a null text counts as empty."""
     base.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
             fps = [fingerprint(t.encode()) for t in base.text_of(batch).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps, pa.int64())], ["doc_id", "h", "fp"])
 
-    picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(docs[id_column].cast("long").alias("doc_id"), text_hash(docs[text_column]).alias("h"), docs[text_column].cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def embedding(half: Column) -> Column:
@@ -83,6 +87,25 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return probe.join(build, (probe["cell"] == build["cell"]) & near).select("a", "b")
 
 
+def components(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``fingerprints``: (fp, label), the component of each fingerprint that has links, and (fp, first), for each the
+    first row with it.
+
+    A row's rank is the struct (without id?, id, fingerprint, hash of the text).
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "fp", "h")
+    distinct = base.stored(fps.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
+    return base.stored(connected_components(links(distinct), "a", "b", "fp", "label"), "labels"), distinct
+
+
+def firsts(labels: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Stored (label, first): the first row of each component of several fingerprints.
+
+    It is stored before it meets the labels, so that the join can be split where many fingerprints share a label.
+    """
+    return base.stored(labels.join(distinct, "fp").groupBy("label").agg(F.min("first").alias("first")), "first-rows")
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Return id, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable over links, itself included).
 
@@ -91,11 +114,10 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     read; an empty table gives an empty result.
     """
     fps = base.stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    distinct = base.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    labels = connected_components(links(distinct), "a", "b", "fp", "label")
-    labels = base.stored(labels, "labels")
-    smallest = labels.join(distinct, "fp").groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_fp = distinct.join(labels, "fp", "left").join(smallest, "label", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    labels, distinct = components(fps)
+    linked = labels.join(firsts(labels, distinct), "label").select("fp", F.col("first.doc_id").alias("component_id"))
+    alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("first.doc_id").alias("component_id"))
+    of_fp = base.stored(linked.unionByName(alone), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(of_fp, "fp").select(F.col("doc_id").alias(id_column), hexed.alias("fingerprint"), "component_id")
 
@@ -103,8 +125,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id. All columns are kept.
 
-    Of rows with equal ids one stays. Rows without an id are no group's first; of those with equal texts one stays.
+    A group is one of texts, so rows with equal ids and different texts all stay unless their texts are near-duplicates;
+    of equal rows one stays. A row without an id stays only where its whole group has none. A null text counts as
+    empty; all empty texts are one group; an empty table gives an empty result. No column name is reserved.
     """
-    first = groups(docs, id_column, text_column).where(F.col(id_column) == F.col("component_id")).select(id_column)
-    named = docs.join(first, id_column, "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.where(docs[id_column].isNull()).dropDuplicates([text_column]))
+    labels, distinct = components(fingerprints(docs, id_column, text_column))
+    alone = distinct.join(labels, "fp", "left_anti").select("first")
+    kept = firsts(labels, distinct).select("first").unionByName(alone).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
+    rows = docs.select(base.packed(docs.columns, docs).alias("row"), docs[id_column].cast("long").alias("id"), text_hash(docs[text_column]).alias("h"))
+    first = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return first.dropDuplicates(["id", "h"]).select(*base.unpacked(docs.columns))

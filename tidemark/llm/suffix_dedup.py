@@ -122,8 +122,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...], id_column: str, text_column:
     Rows with equal keys have equal results.
     """
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
-    row = F.struct(F.lit(None).cast("int").alias("_"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry)])
-    rows = docs.select(row.alias("row"), F.coalesce(docs[id_column].cast("long"), F.lit(_NO_ID)).alias("k1"), text.alias("text"))
+    rows = docs.select(base.packed(carry, docs).alias("row"), F.coalesce(docs[id_column].cast("long"), F.lit(_NO_ID)).alias("k1"), text.alias("text"))
     return rows.withColumn("k2", F.xxhash64("text"))
 
 
@@ -338,16 +337,30 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length
     ``kept_text`` keeps the characters that a span's ends would cut through. A carried column that has the name of a
     result column gives way to it; no other name is reserved.
     """
-    base.ship(docs.sparkSession)
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + text]
-    carry = tuple(c for c in carry if c not in own)
+    carry = tuple(c for c in carry if c.lower() not in own)
+    return _cut(docs, carry, length, gram, id_column, text_column, text, bounds).select(*base.unpacked(carry), *own)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", **bounds) -> DataFrame:
+    """``docs`` with what :func:`remove_repeats` keeps of each text: all rows, all columns, whatever their names.
+
+    A null text stays null; a text that is removed as a whole becomes empty.
+    """
+    cut = _cut(docs, tuple(docs.columns), length, gram, id_column, text_column, True, bounds)
+    return cut.select(*[F.when(x.isNotNull(), F.col("kept_text")).alias(c) if c == text_column else x for c, x in zip(docs.columns, base.unpacked(docs.columns), strict=True)])
+
+
+def _cut(docs: DataFrame, carry: tuple[str, ...], length: int, gram: int, id_column: str, text_column: str, text: bool, bounds: dict) -> DataFrame:
+    """The packed columns ``carry`` as ``row``, and the results."""
+    base.ship(docs.sparkSession)
     rows = keyed(docs, carry, id_column, text_column)
     joined = rows.join(repeated_spans(rows, length, gram, **bounds), ["k1", "k2"], "left")
     picked = joined.select("row", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
-            out: list[list] = [[] for _ in own]
+            out: list[list] = [[] for _ in names]
             for t, b, e in zip(base.text_of(batch).to_pylist(), batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 data = t.encode()
                 b, e = merge_spans(np.array(b), np.array(e)) if b else ([], [])
@@ -356,7 +369,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length
                 for column, value in zip(out, values, strict=False):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], ["row", *own])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], ["row", *names])
 
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + text]
     schema = f"row {picked.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
-    return picked.mapInArrow(run, schema).select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(carry)], *own)
+    return picked.mapInArrow(run, schema)
