@@ -41,7 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keep the documents that the compression classifier accepts (score 0.7 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = quality.train(docs.where(~quality.held_out(docs["doc_id"])), labels)
-    return quality.score(docs, model, carry=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 @_stage
@@ -53,15 +53,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out what strings of PASSAGE_BYTES cover that start anywhere else; every document stays."""
-    columns = docs.columns
-    kept = suffix_dedup.remove_repeats(docs, tuple(c for c in columns if c not in ("text", "n_chars")), text=True, length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
-    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @_stage
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets; every document stays."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @_stage

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps, each a pair of aggregate and join.
 
 Every vertex ends up pointing at the smallest vertex of its component. A step never gathers a vertex's neighbours in
-one task: minima are aggregated on the map side first, and the join back is an ordinary equi-join that adaptive
-execution may split where a vertex is hot. Each round is written to the shared folder, so that lineage stays short and
+one task: minima are aggregated on the map side first and stored, so that the join back is one of two plain shuffles
+(or a broadcast), which adaptive execution can split where a vertex is hot; a join that shared its shuffle with the
+aggregate could not be split. Each round is written to the shared folder, so that lineage stays short and
 a lost executor costs one round at most; nothing but two numbers a round reaches the driver.
 """
 
@@ -27,18 +28,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", vertex: s
     seen, path = None, None
     while True:
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        made = [low.scratch_path]
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        made += [large.scratch_path, low.scratch_path]
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # A vertex above several lower ones keeps its own link to the smallest of them.
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, "small-star")
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        delete(spark, large.scratch_path)
-        if path:
-            delete(spark, path)
+        for done in made + [path] * bool(path):
+            delete(spark, done)
         state, path = small, small.scratch_path
         if now == seen:
             break
