@@ -199,6 +199,39 @@ def test_dominance_keeps_an_optimum():
         assert got == counts
 
 
+def test_dominance_fixes_sets_of_three_and_any_length():
+    """Of 7 + 3 + 2 beside 6 + 5 in 13: the pair 3 + 2 fills what is left beside 7 best, though 6 isn't fixed."""
+    rng, sizes_of_sets, below = random.Random(9), set(), 0
+    for _ in range(400):
+        capacity = rng.randint(10, 40)
+        counts = [0] * (capacity + 1)
+        for _ in range(rng.randint(3, 10)):
+            counts[rng.randint(2, capacity)] += rng.randint(1, 3)
+        fixed, left = packing.reduce_instance(counts, capacity)
+        sizes_of_sets |= {sum(c for _, c in items) for _, items in fixed}
+        longest = max((s for s in range(capacity + 1) if left[s]), default=0)
+        below += any(items[0][0] < longest for _, items in fixed)
+        assert all(packing.dominating(left, s, capacity - s) is None for s in range(1, capacity + 1) if left[s])
+    assert sizes_of_sets == {1, 2, 3} and below
+
+
+def test_encoder_of_other_files(tmp_path):
+    """A file whose ids don't follow its merges is used through its own library."""
+    import json
+
+    spec = json.load(open(JSON, encoding="utf-8"))
+    tok = library()
+    a, b = "Ġthe", "Ġand"
+    vocab = spec["model"]["vocab"]
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    text = "cat and the dog and the end"
+    assert packing.encoder(JSON)(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    swapped = {vocab[a]: vocab[b], vocab[b]: vocab[a]}
+    assert packing.encoder(str(path))(text).tolist() == [swapped.get(i, i) for i in tok.encode(text, add_special_tokens=False).ids]
+
+
 def plain_best_fit(sizes, capacity):
     rooms = []
     for s in sizes:

@@ -1,8 +1,10 @@
 """Media columns: content-addressed payloads in tar shards, referenced by digest, offset and length.
 
 A text's bytes, padded with 255 to rows of 576 samples, become an 8-bit greyscale PNG (lossless). Each task appends
-its images to a tar shard of its own in the shared folder, equal images once a shard, and emits references. Metadata
-columns are filled from range reads of the first bytes alone; features from the whole payload, read back by range.
+its images to a tar shard of its own in the shared folder, equal images once a shard, and emits references. A digest's
+address, for the whole table, is the first of its members (by shard and offset): all rows with equal texts refer to
+that one, whichever tasks met them, and only that one is ever read. Metadata columns are filled from range reads of the
+first bytes alone; features from the whole payload, read back by range, once for each digest.
 
 A retried task writes a shard under a new name, so references never point into a half-written file; references are
 stored before anything reads them, and every later step can be repeated from them.
@@ -22,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import base
 
 ROW = 576
 FILLER = 255
+#: Of compression: 6 takes a sixth less room than 1.
+LEVEL = 6
 #: A shard is closed once it has this many bytes.
 SHARD_BYTES = 256 << 20
 #: Fixed values of the PNG format: signature, and how many bytes hold it and the header chunk.
@@ -50,7 +55,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line begins with filter type 0: none
     lines[:, 1:] = rows
     header = struct.pack(">IIBBBBB", ROW, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -95,7 +100,7 @@ class ShardWriter:
         self.files.create_dir(self.root, recursive=True)
         self.most, self.out, self.at, self.known = most, None, 0, {}
 
-    def add(self, digest: str, data: bytes) -> tuple[str, int]:
+    def add(self, digest: bytes, data: bytes) -> tuple[str, int]:
         """(shard, offset) of the member."""
         if digest in self.known:
             return self.name, self.known[digest]
@@ -103,7 +108,7 @@ class ShardWriter:
             self.close()
             self.name = f"shard-{uuid.uuid4().hex}.tar"
             self.out, self.at, self.known = self.files.open_output_stream(f"{self.root}/{self.name}"), 0, {}
-        info = tarfile.TarInfo(f"{digest}.png")
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(data)
         head = info.tobuf(tarfile.GNU_FORMAT)
         self.known[digest] = self.at + len(head)
@@ -121,8 +126,9 @@ class ShardWriter:
 def write(docs: DataFrame, root: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Store each text's payload under ``root`` and return stored references.
 
-    Columns: doc_id, n_bytes, digest (sha256 of the stored form), shard, offset, length. A null text counts as empty;
-    null ids and repeated rows each give a reference (to the same member where texts are equal within a shard).
+    Columns: doc_id, n_bytes, digest (sha256 of the stored form, 32 bytes), shard, offset, length. A null text counts
+    as empty; null ids and repeated rows each give a reference; an empty table gives none. Equal texts of one task refer
+    to one member; :func:`addresses` chooses one for all.
     """
     base.ship(docs.sparkSession)
 
@@ -138,23 +144,29 @@ def write(docs: DataFrame, root: str, id_column: str = "doc_id", text_column: st
                         digest, shard, offset, length = by_text[key]
                     else:
                         media = to_png(padded(data))
-                        digest, length = hashlib.sha256(media).hexdigest(), len(media)
+                        digest, length = hashlib.sha256(media).digest(), len(media)
                         before = getattr(shards, "name", None)
                         shard, offset = shards.add(digest, media)
                         if shard != before:
                             by_text.clear()
                         by_text[key] = (digest, shard, offset, length)
                     rows.append((doc_id, len(data), digest, shard, offset, length))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         finally:
             shards.close()
 
     picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    out = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+    out = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
     return base.stored(picked.mapInArrow(run, out), "media-references")
 
 
+def addresses(references: DataFrame) -> DataFrame:
+    """Stored (digest, shard, offset, length): one member for each digest, those of a shard together and in its order."""
+    first = references.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return base.stored(first.repartition("shard").sortWithinPartitions("shard", "offset"), "media-addresses")
+
+
 class ShardReader:
     """Range reads from shards; keeps the last one open."""
 
@@ -177,7 +189,10 @@ class ShardReader:
 
 
 def probe(references: DataFrame, root: str) -> DataFrame:
-    """References with ``width``, ``height`` and ``bit_depth``, each from a range read of the first bytes alone."""
+    """References with ``width``, ``height`` and ``bit_depth``, each from a range read of the first bytes alone.
+
+    A row for each row; a damaged or missing header is an error; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = ShardReader(root)
@@ -192,7 +207,11 @@ def probe(references: DataFrame, root: str) -> DataFrame:
 
 
 def read_features(references: DataFrame, root: str) -> DataFrame:
-    """References with digests and features of the payloads, all computed from the stored bytes."""
+    """References with digests and features of the payloads, all computed from the stored bytes.
+
+    A row for each row, equal references equal values; a damaged payload is an error; an empty table gives an empty
+    result.
+    """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def look(media: bytes) -> tuple:
@@ -222,13 +241,14 @@ def media_columns(docs: DataFrame, root: str | None = None, id_column: str = "do
     """Store every text as media and return what its stored bytes show.
 
     Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, shard, offset,
-    length, width, height, bit_depth. Equal texts have equal values, but for shard and offset. Without ``root`` the
-    shards are scratch in the shared folder.
+    length, width, height, bit_depth. Equal texts have equal values, shard and offset included; null texts count as
+    empty. Without ``root`` the shards are scratch in the shared folder.
     """
     root = root or base.scratch(docs.sparkSession, "media")
-    found = read_features(probe(write(docs, root, id_column, text_column), root), root)
+    references = write(docs, root, id_column, text_column)
+    found = base.stored(read_features(probe(addresses(references), root), root), "media-features")
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bit_depth")
-    return found.select(found["doc_id"].alias(id_column), *names)
+    return references.select("doc_id", "n_bytes", "digest").join(found, "digest").select(F.col("doc_id").alias(id_column), *names)
 
 
 def members(shard: bytes) -> dict[str, bytes]:

@@ -1,14 +1,14 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 Shingles of ``K`` words are numbered by occurrence, so that repeats count. A hash of (shingle, occurrence) deals each
-into one of ``2 * TUPLES`` bins and ranks it there; a bin selects its minimal one. Two neighbouring bins make a tuple:
-their selections in the order in which they stand in the text, hashed together. A moved, inserted or swapped passage
-thus changes tuples even where the set of shingles stays the same, which makes the signature sensitive to edit
-distance. (Dealing into bins is one-permutation hashing: one hash a shingle instead of one for each tuple.)
+into one of ``TUPLES`` bins and orders it there (one-permutation hashing: one hash a shingle instead of one for each
+tuple). A bin's ``LEAST`` minimal shingles, in the order in which they stand in the text, make its tuple, hashed
+together. A moved, inserted or swapped passage thus changes tuples even where the set of shingles stays the same, which
+makes the signature sensitive to edit distance. A bin without shingles borrows the tuple of the next one that has some,
+hashed with the distance (rotation densification).
 
 All of it stays in the stage that reads the documents once they are dealt out by id: explode, a running count over
-(document, shingle), and two aggregates, each of which a partitioning by id already satisfies. Selected values are
-packed into a long, hash above position, so that plain ``min`` works within generated code.
+(document, shingle), and two aggregates, each of which a partitioning by id already satisfies.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from ..plans.shared import stored
 
 K = 5
 TUPLES = 32
+#: Minimal shingles that make a tuple.
+LEAST = 3
 #: Low bits of a packed selection that hold the position.
 POSITION = (1 << 28) - 1
 #: The key of a row without an id: the smallest number.
 NO_ID = -(1 << 63)
 SPACE = " \t\n\x0b\x0c\r"
-#: What stands for a tuple without any selection: other characters than a hash has.
+#: What stands for each tuple of a text without shingles: other characters than a hash has.
 NONE = "------"
 
 
@@ -104,33 +106,40 @@ def signatures(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     count = lambda side: F.sum(F.when(F.col("side").isin(0, side), 1).otherwise(0)).over(running)
     each = each.withColumn("g", F.xxhash64("h", F.when(F.col("side") < 2, count(1)).otherwise(count(2))))
     packed = F.col("g").bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.col("at").cast("long").bitwiseAND(F.lit(POSITION)))
-    bin_ = F.when(F.col("h").isNull(), F.lit(-2)).otherwise(F.col("g").bitwiseAND(F.lit(2 * TUPLES - 1)).cast("int"))
-    each = each.select("key", "row", "facts", "side", bin_.alias("bin"), packed.alias("p"))
-    chosen = lambda odd, side: F.min(F.when((F.col("bin") % 2 == odd) & F.col("side").isin(0, side), F.col("p")))
-    tuples = each.groupBy("key", "row", "facts", F.shiftright("bin", 1).alias("t")).agg(
-        chosen(0, 1).alias("a1"), chosen(1, 1).alias("b1"), chosen(0, 2).alias("a2"), chosen(1, 2).alias("b2"))
-
-    def signed(a: str, b: str) -> Column:
-        x, y = F.shiftright(F.col(a), 28), F.shiftright(F.col(b), 28)
-        forward = F.col(a).bitwiseAND(F.lit(POSITION)) <= F.col(b).bitwiseAND(F.lit(POSITION))
-        digits = lambda *v: F.lower(F.lpad(F.hex(F.xxhash64(*v).bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
-        both = F.when(forward, digits(F.lit(1), x, y)).otherwise(digits(F.lit(2), y, x))
-        return F.when(F.col(a).isNull() & F.col(b).isNull(), NONE).when(F.col(b).isNull(), digits(F.lit(3), x)).when(F.col(a).isNull(), digits(F.lit(4), y)).otherwise(both)
-
-    real = F.when(F.col("t") >= 0, F.struct("t", signed("a1", "b1").alias("s1"), signed("a2", "b2").alias("s2")))
+    bin_ = F.when(F.col("h").isNull(), F.lit(-1)).otherwise(F.col("g").bitwiseAND(F.lit(TUPLES - 1)).cast("int"))
+    each = each.select("key", "row", "facts", "side", bin_.alias("t"), packed.alias("p"))
+    of = lambda side: F.collect_list(F.when(F.col("side").isin(0, side), F.col("p")))
+    tuples = each.groupBy("key", "row", "facts", "t").agg(of(1).alias("own"), of(2).alias("edited"))
+
+    def signed(listed: str) -> Column:
+        """Hash of the ranks of a bin's minimal shingles in text order; null for none."""
+        least = F.slice(F.sort_array(listed), 1, LEAST)
+        in_order = F.sort_array(F.transform(least, lambda p: F.shiftleft(p.bitwiseAND(F.lit(POSITION)), 36).bitwiseOR(F.shiftrightunsigned(p, 28))))
+        return F.when(F.size(listed) > 0, F.xxhash64(F.transform(in_order, lambda p: p.bitwiseAND(F.lit((1 << 36) - 1)))))
+
+    real = F.when(F.col("t") >= 0, F.struct("t", signed("own").alias("s1"), signed("edited").alias("s2")))
     listed = tuples.select("key", "row", "facts", real.alias("x"))
     gathered = listed.groupBy("key", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("facts", ignorenulls=True).alias("facts"))
 
     def line(field: str) -> Column:
-        given = lambda t: F.transform(F.filter("xs", lambda x: x["t"] == t), lambda x: x[field])
-        filled = F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), lambda t: F.coalesce(F.get(given(t), F.lit(0)), F.lit(NONE)))
-        return F.array_join(F.when(F.size("xs") == TUPLES, F.transform("xs", lambda x: x[field])).otherwise(filled), "")
+        digits = lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
+        given = F.filter("xs", lambda x: x[field].isNotNull())
+
+        def dense(have: Column) -> Column:
+            ahead = lambda x, t: (x["t"] - t + TUPLES) % TUPLES
+            nearest = lambda t: F.array_min(F.transform(have, lambda x: F.struct(ahead(x, t).alias("d"), x[field].alias("v"))))
+            borrowed = lambda n: F.when(n["d"] == 0, digits(n["v"])).otherwise(digits(F.xxhash64(n["v"], n["d"])))
+            return F.transform(F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), nearest), borrowed)
+
+        filled = F.get(F.transform(F.array(given), dense), F.lit(0))
+        values = F.when(F.size(given) == TUPLES, F.transform(given, lambda x: digits(x[field]))).when(F.size(given) > 0, filled)
+        return F.array_join(F.coalesce(values, F.array_repeat(F.lit(NONE), TUPLES)), "")
 
     return gathered.select("key", "facts.*", line("s1").alias("fingerprint"), line("s2").alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal tuples among those that either fingerprint has; 1 for two fingerprints without any."""
+    """The share of equal tuples; 1 for two fingerprints without any, 0 where only one has none."""
     step = len(NONE)
     part = lambda f, i: F.substring(f, i * step + 1, F.lit(step))
     pairs = [(part(a, F.lit(i)), part(b, F.lit(i))) for i in range(TUPLES)]

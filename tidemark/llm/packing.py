@@ -6,9 +6,8 @@ of equal pieces, and the plan comes back as ranges: of the pieces of length s, t
 such sequences at such an offset. Pieces are numbered within their length by the task that cut them plus a prefix sum
 over tasks, so no task ever gathers all pieces of one length.
 
-The plan: Martello and Toth's dominance criterion permanently fixes single pieces and pairs that dominate all
-alternatives (:func:`reduce_instance`; sets of three are not fixed, and the first largest piece that nothing dominates
-beside ends it), and best-fit decreasing packs the rest (:func:`best_fit`).
+The plan: Martello and Toth's reduction permanently fixes sets of up to three pieces that dominate all alternatives,
+for pieces of any length (:func:`reduce_instance`), and best-fit decreasing packs the rest (:func:`best_fit`).
 """
 
 from __future__ import annotations
@@ -16,72 +15,85 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import base, segments
+from . import base, segments, token_counts
 
 #: A group of equal sequences: how many, and (length, copies) of the pieces in each, in the order they lie there.
 Group = tuple[int, tuple[tuple[int, int], ...]]
 
 
 def reduce_instance(counts: list[int], capacity: int) -> tuple[list[Group], list[int]]:
-    """Fix dominating sets while there are any; return them and the counts that are left.
-
-    For the largest piece j with room R = capacity - j left beside it, a feasible set dominates all others if every
-    other set that holds j can be rearranged into it. Applied, to all equal pieces at once:
-    - a piece of length R exists: it fills the sequence and outweighs whatever else could stand there;
-    - not even the smallest other piece fits: j stands alone;
-    - the two smallest others don't fit together: the largest that fits dominates;
-    - the three smallest don't fit together: a single piece at least as long as the best pair dominates.
+    """Fix dominating sets until no piece has one; return them and the counts that are left.
+
+    What :func:`dominating` finds stays right while copies of it are taken out (the rest only gets smaller), so a set is
+    fixed as often as its pieces last. Passes go from the longest pieces to the shortest, until one changes nothing.
     """
-    left, fixed = list(counts), []
-    for j in range(capacity, 0, -1):
-        other = capacity - j
-        if other == 0 and left[j]:
-            fixed.append((left[j], ((j, 1),)))
-            left[j] = 0
-        elif other == j and left[j] > 1:
-            fixed.append((left[j] // 2, ((j, 2),)))
-            left[j] %= 2
-        elif j > other > 0 and (m := min(left[j], left[other])):
-            fixed.append((m, ((j, 1), (other, 1))))
-            left[j] -= m
-            left[other] -= m
-    for j in range(capacity, 0, -1):
-        while left[j]:
-            left[j] -= 1
-            room, small = capacity - j, _smallest(left, 3)
-            best = next((s for s in range(min(room, j), 0, -1) if left[s]), 0)
-            if not best:
-                if any(left[1 : room + 1]):
-                    left[j] += 1
-                    break  # only larger pieces fit beside it: not the largest any more
-                fixed.append((left[j] + 1, ((j, 1),)))
-                left[j] = 0
-                break
-            fits = sum(1 for total in np.cumsum(small) if total <= room)
-            if fits == 1 or (fits == 2 and best >= _best_pair(left, room)):
-                fixed.append((1, ((j, 1), (best, 1))))
-                left[best] -= 1
-            else:
-                left[j] += 1
-                break
-        if left[j]:
-            break  # the criterion is for the largest piece
+    left, fixed, changed = list(counts), [], True
+    while changed:
+        changed = False
+        for j in range(capacity, 0, -1):
+            while left[j] and (others := dominating(left, j, capacity - j)) is not None:
+                need = Counter((j, *others))
+                times = min(left[s] // n for s, n in need.items())
+                fixed.append((times, tuple(sorted(need.items(), reverse=True))))
+                for s, n in need.items():
+                    left[s] -= times * n
+                changed = True
     return fixed, left
 
 
-def _smallest(left: list[int], n: int) -> list[int]:
+def dominating(counts: list[int], j: int, room: int) -> tuple[int, ...] | None:
+    """The pieces beside one of length j that dominate whatever else could stand there; None if none are known to.
+
+    A set dominates another if the other's pieces can be dealt out to its own, each of which is as long as what it gets:
+    they can then change places in any packing. With k the most others that fit beside j:
+    - k = 0: j stands alone;
+    - the longest that fits fills the room, or k = 1: that one dominates;
+    - k = 2 and the longest that fits is as long as the best pair: it dominates;
+    - k = 2, the best pair has the longest that fits, and no two pieces longer than its second fit: the pair dominates.
+    """
+    left = list(counts)
+    left[j] -= 1
+    small = _smallest(left, 3)
+    if not small or small[0] > room:
+        return ()
+    first = _longest(left, room)
+    k = sum(1 for total in accumulate(small) if total <= room)
+    if k == 1 or first == room:
+        return (first,)
+    if k > 2:
+        return None
+    best = _best_pair(left, room)
+    if first >= best:
+        return (first,)
+    left[first] -= 1
+    second = _longest(left, room - first)
+    if first + second == best:
+        longer = _smallest(left, 2, second + 1)
+        if len(longer) < 2 or sum(longer) > room:
+            return first, second
+    return None
+
+
+def _longest(left: list[int], room: int) -> int:
+    return next((s for s in range(min(room, len(left) - 1), 0, -1) if left[s]), 0)
+
+
+def _smallest(left: list[int], n: int, least: int = 1) -> list[int]:
     out: list[int] = []
-    for s in range(1, len(left)):
-        out += [s] * min(left[s], n - len(out))
-        if len(out) == n:
-            break
+    for s in range(least, len(left)):
+        if left[s]:
+            out += [s] * min(left[s], n - len(out))
+            if len(out) == n:
+                break
     return out
 
 
@@ -157,30 +169,45 @@ def ranges(groups: list[Group]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
-def encoder(json_path: str):
-    """An encoder with the vocabulary, merges and special tokens of a byte-level ``tokenizers`` file.
+def encoder(json_path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text by a ``tokenizers`` file, without added special tokens.
 
-    Built on tiktoken, which yields the same ids several times as fast (tests hold them against the file's own
-    library); the merge order gives the ranks.
+    Where the file is plain byte-level BPE whose ids follow the order of its merges, tiktoken is built from its
+    vocabulary: it yields the same ids several times as fast (tests hold them against the file's own library). Any other
+    file is used through its own library.
     """
     if json_path not in _encoders:
         import json
 
-        import tiktoken
-
         with open(json_path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte_of = _byte_letters()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _encoders[json_path] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        if token_counts.splits_safely(json_path) and ids_follow_merges(spec["model"]):
+            import tiktoken
+
+            byte_of = _byte_letters()
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+            pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: what ByteLevel splits by
+            enc = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            _encoders[json_path] = lambda text: enc.encode_to_numpy(text, allowed_special="all")
+        else:
+            tok = token_counts.load(json_path)
+            _encoders[json_path] = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.int64)
     return _encoders[json_path]
 
 
+def ids_follow_merges(model: dict) -> bool:
+    """Whether later merges make larger ids, and all tokens but the bytes come from merges, so that an id is a rank."""
+    vocab = model.get("vocab") or {}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
+    made = [vocab.get("".join(m), -1) for m in merges]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and all(len(m) == 2 for m in merges) and all(a < b for a, b in zip([-1, *made], made, strict=False)) and sum(len(t) > 1 for t in vocab) <= len(made) + 64
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself where printable, else from 256 up."""
     shown = {b for lo, hi in ((33, 126), (161, 172), (174, 255)) for b in range(lo, hi + 1)}
@@ -188,11 +215,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def token_ids(enc, text: str, longest: int = 1 << 20) -> np.ndarray:
-    """The ids of a text; one longer than ``longest`` is encoded in runs that end where a token must."""
-    if len(text) <= longest:
-        return enc.encode_to_numpy(text, allowed_special="all")
-    return np.concatenate([enc.encode_to_numpy("".join(run), allowed_special="all") for run in segments.chunks(segments.cut(text), longest)])
+def token_ids(enc: Callable[[str], np.ndarray], text: str, longest: int = 1 << 20, cut: bool = True) -> np.ndarray:
+    """The ids of a text; one longer than ``longest`` is encoded in runs that end where a token must (if ``cut``)."""
+    if len(text) <= longest or not cut:
+        return enc(text)
+    items = segments.cut(text)
+    return np.concatenate([enc("".join(run)) for run in segments.chunks(items, segments.sizes_of(items), longest)])
 
 
 def pieces(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -203,6 +231,7 @@ def pieces(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int =
     """
     base.ship(docs.sparkSession)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    safe = token_counts.splits_safely(json_path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -211,7 +240,7 @@ def pieces(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int =
         for batch in base.slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), base.text_of(batch).to_pylist(), strict=True):
-                ids = np.append(token_ids(enc, text), end_id).astype("<u4")
+                ids = np.append(token_ids(enc, text, cut=safe), end_id).astype("<u4")
                 at = 0
                 for k, end in enumerate(range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)):
                     rows.append((doc_id, k, at, end - at, zlib.crc32(ids[at:end].tobytes()), task, int(seen[end - at])))
@@ -239,7 +268,8 @@ def pack(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int = 0,
     for length, n in shifts.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
         counts[length] = n
     table = spark.createDataFrame([(s, *rest) for s, *rest in ranges(plan(counts, capacity))], "length long, first long, end long, sequence long, copies long, at long")
-    numbered = cut.join(shifts.select("length", "task", "shift"), ["length", "task"]).withColumn("k", F.col("number") + F.col("shift"))
+    # The shifts grow with the tasks, so they are not broadcast; the keys spread even the most common length.
+    numbered = cut.join(shifts.select("length", "task", "shift").hint("merge"), ["length", "task"]).withColumn("k", F.col("number") + F.col("shift"))
     # The plan's size is bounded by the capacity, not by the corpus: a few rows for each length.
     placed = numbered.join(F.broadcast(table), (numbered["length"] == table["length"]) & (numbered["k"] >= table["first"]) & (numbered["k"] < table["end"]))
     nth = F.col("k") - F.col("first")

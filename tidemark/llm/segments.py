@@ -39,13 +39,16 @@ def groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Diction
         yield rows, offsets, pa.array([s for p in parts for s in p], pa.string()).dictionary_encode()
 
 
-def chunks(items: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of about equally many characters, each at most ``most`` unless a single item is longer."""
-    start = held = 0
-    for i, s in enumerate(items):
-        if i > start and held + len(s) > most:
-            yield items[start:i]
-            start, held = i, 0
-        held += len(s)
-    if start < len(items):
-        yield items[start:]
+def chunks(items: list[str], sizes: np.ndarray, most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of about equally many bytes, each at most ``most`` unless a single item is longer; ``sizes``: bytes of each."""
+    ends = np.cumsum(sizes)
+    start, n = 0, len(items)
+    while start < n:
+        before = ends[start - 1] if start else 0
+        end = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+        yield items[start:end]
+        start = end
+
+
+def sizes_of(items: list[str]) -> np.ndarray:
+    return np.asarray(pc.binary_length(pa.array(items, pa.string())))

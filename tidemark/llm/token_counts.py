@@ -1,7 +1,7 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are cut at boundaries no token crosses (see :mod:`.segments`), equal segments of a slice are encoded once, and
-encoding batches are balanced by size. Nothing is shuffled; memory is bounded by the slice (8 MB of text).
+encoding batches are balanced by their bytes. Nothing is shuffled; memory is bounded by the slice (8 MB of text).
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def lengths(path: str, texts: pa.Array, byte_level: bool) -> np.ndarray:
         for i, t in enumerate(texts.to_pylist()):
             out[i] = len(tok.encode(t, num_threads=1))
         return out
-    encode = lambda items: [len(e) for c in segments.chunks(items) for e in tok.encode_batch_fast(c, add_special_tokens=False)]
+    encode = lambda items: [len(e) for c in segments.chunks(items, segments.sizes_of(items)) for e in tok.encode_batch_fast(c, add_special_tokens=False)]
     if not byte_level:
         out[:] = encode(texts.to_pylist())
         return out
