@@ -53,7 +53,7 @@ class Store:
         f, path = tempfile.mkstemp(dir=self.folder)
         os.close(f)
         try:
-            return np.memmap(path, kind, "w+", shape=(n,))
+            return np.asarray(np.memmap(path, kind, "w+", shape=(n,)))
         finally:
             os.remove(path)  # the mapping keeps the data
 
@@ -90,11 +90,25 @@ def index_kind(n: int):
     return np.int32 if n < (1 << 31) - 8 else np.int64
 
 
+class Run:
+    """Columns sorted by bucket, in memory or in a spool."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns, self.spool, self.placed = columns, None, None
+
+    def send(self, spool: Spool) -> None:
+        self.spool, self.placed, self.columns = spool, spool.put(self.columns), None
+
+    def get(self, a: int, b: int) -> list[np.ndarray]:
+        return [c[a:b] for c in self.columns] if self.columns is not None else self.spool.get(self.placed, a, b)
+
+
 class BucketQueue:
     """A disk-backed priority queue of (key, position[, prefix]) tuples; equal keys leave in order of arrival.
 
     Buckets are ranges of keys. The *open* bucket is the one that entries are taken from; its own arrivals join it at
-    once, all others wait in memory, and go to the spool, sorted by bucket, once they are many or a bucket is opened.
+    once, all others wait until they are many or a bucket is opened, make a run sorted by bucket, and go to the spool
+    once the runs in memory have ``held`` entries.
     """
 
     def __init__(self, store: Store, low: int, high: int):
@@ -104,7 +118,9 @@ class BucketQueue:
         self.fresh: list[list[np.ndarray]] = []
         self.n_fresh, self.open = 0, -1
         self.spool = store.spool()
-        #: bucket -> slices (columns in the spool, begin, end), in order of arrival.
+        self.runs: list[Run] = []
+        self.n_runs = 0
+        #: bucket -> slices (run, begin, end), in order of arrival.
         self.slices: dict[int, deque] = {}
         self.front: list[np.ndarray] | None = None
         self.late: list[list[np.ndarray]] = []
@@ -138,7 +154,9 @@ class BucketQueue:
         self.n_late += len(columns[0])
         if self.width == 1 and self.n_late >= self.store.held:
             rows = [np.concatenate(c) for c in zip(*self.late, strict=True)]
-            self.slices.setdefault(self.open, deque()).append((self.spool.put(rows), 0, len(rows[0])))
+            run = Run(rows)
+            run.send(self.spool)
+            self.slices.setdefault(self.open, deque()).append((run, 0, len(rows[0])))
             self.late, self.n_late = [], 0
         elif self.width > 1 and self.n_late + (len(self.front[0]) if self.front else 0) > 2 * self.store.held:
             self._merge_late()
@@ -153,7 +171,7 @@ class BucketQueue:
             self.child.push(rows)
 
     def _settle(self) -> None:
-        """Send what waits to the spool, sorted by bucket."""
+        """Make a run of what waits."""
         if not self.n_fresh:
             return
         rows = [np.concatenate(c) for c in zip(*self.fresh, strict=True)]
@@ -161,20 +179,26 @@ class BucketQueue:
         bucket = (rows[0] - self.low) // self.width
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
-        placed = self.spool.put([c[order] for c in rows])
+        run = Run([c[order] for c in rows])
+        self.runs.append(run)
+        self.n_runs += len(order)
+        if self.n_runs >= self.store.held:
+            for r in self.runs:
+                r.send(self.spool)
+            self.runs, self.n_runs = [], 0
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for b, i, j in zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
-            self.slices.setdefault(b, deque()).append((placed, i, j))
+            self.slices.setdefault(b, deque()).append((run, i, j))
 
     def _read(self, most: int) -> list[np.ndarray] | None:
         """The next ``most`` entries (or a few more) of the open bucket's slices."""
         waiting, parts, n = self.slices.get(self.open, ()), [], 0
         while waiting and n < most:
-            placed, a, b = waiting.popleft()
+            run, a, b = waiting.popleft()
             cut = min(b, a + self.store.held)
             if cut < b:
-                waiting.appendleft((placed, cut, b))
-            parts.append(self.spool.get(placed, a, cut))
+                waiting.appendleft((run, cut, b))
+            parts.append(run.get(a, cut))
             n += cut - a
         return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
 
@@ -296,11 +320,21 @@ class Kept:
 
     def __init__(self, store: Store, top: int):
         self.spool, self.parts, self.top, self.after = store.spool(), [], top, 0
+        self.wait: list[list[np.ndarray]] = []
+        self.n_wait, self.most = 0, min(store.held, 1 << 15)
 
     def put(self, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-        if len(keys):
+        self.wait.append([*columns, keys])
+        self.n_wait += len(keys)
+        if self.n_wait >= self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.n_wait:
+            *columns, keys = (np.concatenate(c) for c in zip(*self.wait, strict=True))
             single = keys[0] == keys[-1]
             self.parts.append((int(keys[0]) if single else None, len(keys), self.spool.put(columns if single else [*columns, keys])))
+            self.wait, self.n_wait = [], 0
 
     def read(self) -> list[np.ndarray] | None:
         if not self.parts:
@@ -687,6 +721,7 @@ def induced(text: np.ndarray, depth: int, store: Store, small: int = SMALL, pref
     for keys, positions, x, own in scan(text, lambda c: c.astype(np.int64), queue, Sequence(stars), depth, carry):
         if own.any():
             kept.put(keys[own], [positions[own], *([x[own].astype(prefix_kind)] if prefixes else [])])
+    kept.settle()
     del queue, star
     # Going down: type S, from the largest suffix. Prefixes now belong to the pair (entry, the one above it).
     queue, carry = BucketQueue(store, 0, top), Carry(depth) if prefixes else None
@@ -696,7 +731,7 @@ def induced(text: np.ndarray, depth: int, store: Store, small: int = SMALL, pref
 
 def repeated(text: np.ndarray, depth: int, folder: str, small: int = SMALL, held: int = HELD) -> np.ndarray:
     """Whether each position's suffix shares ``depth`` characters with another one: its neighbours in the order decide."""
-    store = Store(folder, held)
+    store, text = Store(folder, held), np.asarray(text)
     flags, above = store.array(len(text), bool), 0
     for positions, prefixes in induced(text, depth, store, small):
         same = np.flatnonzero(prefixes >= depth)

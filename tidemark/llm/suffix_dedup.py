@@ -42,7 +42,7 @@ LENGTH = 400
 GRAM = 128
 #: Bytes of pieces a shard is meant to hold, and of different pieces under one anchor before it is split.
 SHARD_BYTES = 8 << 20
-HOT_BYTES = 4 << 20
+HOT_BYTES = 1 << 20
 #: Places of the anchor in a window that make a block when an anchor is split.
 SPLIT = 32
 #: Window starts of a text that are handled at a time.
