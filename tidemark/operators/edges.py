@@ -31,6 +31,10 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("nth", F.row_number().over(best))
 
 
+#: How the alternatives begin that name another cause than influence along the edge.
+STRUCTURAL = ("common cause", "same origin", "possibly indirect", "shared upstream")
+
+
 def downgrade(confidence: Column) -> Column:
     return F.when(confidence == "strong", "moderate").otherwise("weak")
 
@@ -53,7 +57,7 @@ def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("support"), F.min("src_ts").alias("first_ts"), F.max("dst_ts").alias("last_ts"), F.median("dt_minutes").alias("dt_median"),
         F.avg(F.when(top, F.col("same_origin").isNotNull().cast("double"))).alias("origin_share"),
         F.min_by("same_origin", F.when(F.col("same_origin").isNotNull(), F.col("nth"))).alias("origin"),
-        evidence.alias("evidence_pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared_resources")))).alias("shared_resources"),
+        evidence.alias("evidence_pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("shared_resources")))).alias("shared_resources"),
         F.max(F.when(F.col("nth") == 1, F.struct("common_cause", "common_cause_actors"))).alias("best"),
     ).where(F.col("mean") >= cfg.min_edge_score)
     # Whoever reaches src by address or resource is upstream of it, and no confounder.
@@ -69,12 +73,12 @@ def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     level = level - F.when((n > 0) | has_origin, 1).otherwise(0)
     rooms = (F.size("shared_resources") > 0) & F.forall("shared_resources", lambda r: r.startswith("room:"))
     clauses = [
-        F.when(n > 0, F.concat(F.lit("common cause: "), n.cast("string"), F.lit(" earlier third-party event(s) resemble both sides ("), F.array_join(F.slice("common_cause_events", 1, 2), ", "), F.lit(")"))),
-        F.when((c("direct") == 0) & (c("resource") == 0), F.lit("semantic similarity alone: both agents may be following the same goal or prompt")),
-        F.when(rooms, F.lit("shared broadcast room: co-presence rather than targeted influence")),
-        F.when(has_origin, F.concat(F.lit("same origin ("), "origin", F.lit(") on both sides: possibly one operator under two identities (self-propagation, not cross-agent influence)"))),
-        F.when(c("goal") > 0, F.lit("shared assigned goal: both agents were given the same individual goal (common cause)")),
-        F.when(c("dt_median") < 2, F.lit("near-simultaneous: could be a shared trigger rather than A→B")),
+        F.when(n > 0, F.concat(F.lit("common cause: "), n.cast("string"), F.lit(" message(s) of somebody else came first and read like both ("), F.array_join(F.slice("common_cause_events", 1, 2), ", "), F.lit(")"))),
+        F.when((c("direct") == 0) & (c("resource") == 0), F.lit("wording only: a common task or instruction would look the same")),
+        F.when(rooms, F.lit("same room only: being there together is no exchange")),
+        F.when(has_origin, F.concat(F.lit("same origin ("), "origin", F.lit("): the two names may belong to one operator"))),
+        F.when(c("goal") > 0, F.lit("assigned goal: both were set the same one")),
+        F.when(c("dt_median") < 2, F.lit("under two minutes apart: one event may have set off both")),
     ]
     return edges.select(
         *KEY, "score", *COMPONENTS, "support", "first_ts", "last_ts", "dt_median", "evidence_pairs", "shared_resources",
@@ -87,15 +91,15 @@ def explanation(src: Column, dst: Column) -> Column:
     """One sentence: who acted after whom, and the signals that link them."""
     c = F.col
     parts = F.array(
-        F.when(c("direct") > 0, F.concat(src, F.lit(" and "), dst, F.lit(" addressed each other directly"))),
-        F.when((c("resource") > 0) & (F.size("shared_resources") > 0), F.concat(F.lit("both touched "), F.array_join(F.slice("shared_resources", 1, 2), ", "))),
-        F.when(c("semantic") > 0, F.concat(dst, F.lit("'s later content is semantically similar to "), src, F.lit("'s (cos≈"), F.format_string("%.2f", c("semantic")), F.lit(")"))),
-        F.when(c("goal") > 0, F.lit("goal overlap / goal transition after exposure")),
-        F.when(c("action") >= 0.6, F.lit("same action/tool type")),
+        F.when(c("direct") > 0, F.concat(src, F.lit(" and "), dst, F.lit(" are in direct exchange"))),
+        F.when((c("resource") > 0) & (F.size("shared_resources") > 0), F.concat(F.lit("shared use of "), F.array_join(F.slice("shared_resources", 1, 2), ", "))),
+        F.when(c("semantic") > 0, F.concat(F.lit("what "), dst, F.lit(" wrote reads like what "), src, F.lit(" wrote ("), F.format_string("%.2f", c("semantic")), F.lit(")"))),
+        F.when(c("goal") > 0, F.lit("a goal in common")),
+        F.when(c("action") >= 0.6, F.lit("the same kind of action")),
     )
     body = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "; ")
-    body = F.when(body == "", F.lit("temporal co-occurrence only")).otherwise(body)
-    return F.concat(dst, F.lit(" acted after "), src, F.format_string(" (median lag %.0f min, %d supporting event pair(s)): ", c("dt_median"), c("support")), body, F.lit("."))
+    body = F.when(body == "", F.lit("nothing but their order in time")).otherwise(body)
+    return F.concat(src, F.lit(" came before "), dst, F.format_string(" (%d pairs, half of them within %.0f minutes): ", c("support"), c("dt_median")), body, F.lit("."))
 
 
 def indirect(edges: DataFrame) -> DataFrame:
@@ -121,8 +125,8 @@ def mark_indirect(edges: DataFrame) -> DataFrame:
     """Edges with structural alternatives: an indirect path, else a shared upstream; either lowers the confidence."""
     both = edges.join(indirect(edges), KEY, "left").join(siblings(edges), KEY, "left")
     c = F.col
-    note = F.when(c("via").isNotNull(), F.concat(F.lit("possibly indirect: explained by "), F.concat_ws("→", "src", "via", "dst")))
-    note = note.when(c("upstream").isNotNull(), F.concat(F.lit("shared upstream: "), "upstream", F.lit(" reached both "), "src", F.lit(" and "), "dst"))
+    note = F.when(c("via").isNotNull(), F.concat(F.lit("possibly indirect: by way of "), F.concat_ws("→", "src", "via", "dst")))
+    note = note.when(c("upstream").isNotNull(), F.concat(F.lit("shared upstream: "), "upstream", F.lit(" leads to "), "src", F.lit(" and "), "dst"))
     out = both.withColumn("alternatives", F.when(note.isNotNull(), F.concat("alternatives", F.array(note))).otherwise(c("alternatives")))
     return out.withColumn("confidence", F.when(note.isNotNull(), downgrade(c("confidence"))).otherwise(c("confidence"))).drop("via", "upstream")
 

@@ -1,9 +1,9 @@
 """Candidate pairs of events and their scores.
 
 Three generators propose earlier events for each later one: shared resources (the last 50 of each), direct addressing
-(reply and inbox), and nearest vectors. All are equi-joins: time is cut into buckets of the look-back window, an
-earlier event enters its own bucket and the next, and the exact bounds are residual conditions. Text and vectors stay
-out of the joins until the candidates are known.
+(reply and inbox), and nearest vectors. All are equi-joins: time is cut into buckets of the look-back window and rows into
+blocks of the most a window may hold, an earlier event enters its own and the next of either, and the exact bounds are
+residual conditions; touches of a resource are numbered and meet in blocks of the last 50.
 """
 
 from __future__ import annotations
@@ -27,11 +27,20 @@ def with_text_flag(ev: DataFrame, cfg: PairConfig) -> DataFrame:
 
 
 def _sides(ev: DataFrame, cfg: PairConfig, src: list, dst: list) -> tuple[DataFrame, DataFrame]:
-    """Earlier side in its two buckets and later side in its one; ``src`` and ``dst``: further columns of either."""
-    b = F.floor(F.col("us") / cfg.window_us)
-    earlier = ev.select(F.col("rn").alias("i"), F.col("us").alias("us_i"), F.explode(F.array(b, b + 1)).alias("bucket"), *src)
-    later = ev.where(F.col("actor_type").isin(*cfg.actor_types)).select(F.col("rn").alias("j"), F.col("us").alias("us_j"), b.alias("bucket"), *dst)
-    return earlier, later
+    """Earlier side in its own and the next bucket and row block, later side in its own; ``src``, ``dst``: more columns.
+
+    A bucket is one look-back window of time, a block ``max_window_events`` rows: what meets in both is bounded by
+    either, however busy a time is. Of two rows in reach exactly one combination meets.
+    """
+    b, k = F.floor(F.col("us") / cfg.window_us), F.floor(F.col("rn") / cfg.max_window_events)
+    cell = lambda x, y: F.named_struct(F.lit("bucket"), x, F.lit("block"), y)
+    earlier = ev.select(F.col("rn").alias("i"), F.col("us").alias("us_i"), F.explode(F.array(cell(b, k), cell(b, k + 1), cell(b + 1, k), cell(b + 1, k + 1))).alias("cell"), *src)
+    later = ev.where(F.col("actor_type").isin(*cfg.actor_types)).select(F.col("rn").alias("j"), F.col("us").alias("us_j"), b.alias("bucket"), k.alias("block"), *dst)
+    return earlier.select("i", "us_i", "cell.bucket", "cell.block", *[c for c in earlier.columns if c not in ("i", "us_i", "cell")]), later
+
+
+def _met(earlier: DataFrame, later: DataFrame) -> Column:
+    return (earlier["bucket"] == later["bucket"]) & (earlier["block"] == later["block"])
 
 
 def _within(cfg: PairConfig) -> Column:
@@ -41,15 +50,30 @@ def _within(cfg: PairConfig) -> Column:
 def band_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     """(i, j): each eligible event with all rows before it in its window."""
     earlier, later = _sides(ev, cfg, [], [])
-    return earlier.join(later, (earlier["bucket"] == later["bucket"]) & _within(cfg)).select("i", "j")
+    return earlier.join(later, _met(earlier, later) & _within(cfg)).select("i", "j")
 
 
 def resource_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     """(i, j, resource): for each resource of j the last ``last_per_resource`` events of the window that touch it."""
-    earlier, later = _sides(ev, cfg, [F.explode("res").alias("r")], [F.explode("res").alias("resource")])
-    joined = earlier.join(later, (earlier["bucket"] == later["bucket"]) & (earlier["r"] == later["resource"]) & _within(cfg))
-    last = Window.partitionBy("j", "resource").orderBy(F.desc("i"))
-    return joined.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= cfg.last_per_resource).select("i", "j", "resource")
+    touches = numbered_touches(ev, cfg)
+    block = F.floor(F.col("q") / cfg.last_per_resource)
+    earlier = touches.select(F.col("rn").alias("i"), F.col("us").alias("us_i"), F.col("q").alias("q_i"), "resource", F.explode(F.array(block, block + 1)).alias("block"))
+    later = touches.where(F.col("actor_type").isin(*cfg.actor_types)).select(F.col("rn").alias("j"), F.col("us").alias("us_j"), F.col("q").alias("q_j"), "resource", block.alias("block"))
+    near = (F.col("q_j") - F.col("q_i")).between(1, cfg.last_per_resource)
+    return earlier.join(later, ["resource", "block"]).where(near & _within(cfg)).select("i", "j", "resource")
+
+
+def numbered_touches(ev: DataFrame, cfg: PairConfig) -> DataFrame:
+    """(rn, us, actor_type, resource, q): q numbers the touches of a resource by row.
+
+    Rows are numbered within a resource's row block, and blocks by what came before, so that no task sorts all touches
+    of a busy resource.
+    """
+    touch = ev.select("rn", "us", "actor_type", F.explode("res").alias("resource"), F.floor(F.col("rn") / cfg.max_window_events).alias("part"))
+    inside = Window.partitionBy("resource", "part").orderBy("rn")
+    before = Window.partitionBy("resource").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = touch.groupBy("resource", "part").agg(F.count(F.lit(1)).alias("n")).select("resource", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return touch.withColumn("nth", F.row_number().over(inside)).join(sizes, ["resource", "part"]).select("rn", "us", "actor_type", "resource", (F.col("base") + F.col("nth")).alias("q"))
 
 
 def reply_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
@@ -57,7 +81,7 @@ def reply_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     eligible = ev.where(F.col("actor_type").isin(*cfg.actor_types))
     earlier, _ = _sides(eligible, cfg, [F.col("actor_id").alias("who")], [])
     _, later = _sides(ev, cfg, [], [F.explode(F.array_distinct("mentions")).alias("mention")])
-    joined = earlier.join(later, (earlier["bucket"] == later["bucket"]) & (F.col("who") == F.col("mention")) & _within(cfg))
+    joined = earlier.join(later, _met(earlier, later) & (F.col("who") == F.col("mention")) & _within(cfg))
     return joined.groupBy("j", "mention").agg(F.max("i").alias("i")).select("i", "j")
 
 
@@ -67,7 +91,7 @@ def inbox_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     eligible = ev.where(F.col("actor_type").isin(*cfg.actor_types)).withColumn("prev", F.coalesce(F.lag("rn").over(mine), F.lit(-1)))
     earlier, _ = _sides(ev, cfg, [F.explode(F.array_distinct("mentions")).alias("mention")], [])
     _, later = _sides(eligible, cfg, [], [F.col("actor_id").alias("who"), "prev"])
-    on = (earlier["bucket"] == later["bucket"]) & (F.col("who") == F.col("mention")) & _within(cfg)
+    on = _met(earlier, later) & (F.col("who") == F.col("mention")) & _within(cfg)
     return earlier.join(later, on & (F.col("i") > F.col("prev")) & (F.col("j") - F.col("i") <= cfg.inbox_rows)).select("i", "j")
 
 
@@ -79,7 +103,7 @@ def semantic_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     extra = lambda s: [F.col("emb").alias(f"emb_{s}"), F.col("actor_id").alias(f"actor_{s}")]
     earlier, _ = _sides(ev, cfg, extra("i"), [])
     _, later = _sides(ev.where("has_text"), cfg, [], extra("j"))
-    joined = earlier.join(later, (earlier["bucket"] == later["bucket"]) & _within(cfg))
+    joined = earlier.join(later, _met(earlier, later) & _within(cfg))
     near = joined.select("i", "j", dot(F.col("emb_i"), F.col("emb_j")).alias("sim"), (F.col("actor_i") != F.col("actor_j")).alias("other"))
     best = Window.partitionBy("j").orderBy(F.desc("sim"), "i")
     near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 3 * cfg.semantic_top_k)

@@ -85,12 +85,10 @@ def canonical(raw: DataFrame, order: str | None = None) -> DataFrame:
     return numbered(kept).withColumn("res", touched(F.col("target_type"), F.col("target_id"), F.col("resources")))
 
 
-def from_events(spark: SparkSession, sf_dir: str, with_embeddings: bool = True) -> DataFrame:
-    """The driver's ``events`` table (with embeddings and document texts) as a canonical frame."""
+def from_events(spark: SparkSession, sf_dir: str, with_embeddings: bool = True, with_content: bool = True) -> DataFrame:
+    """The driver's ``events`` table as a canonical frame; vectors and document texts are only joined if asked for."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n_docs = docs.count()
     kinds = {"error": "message", "purchase": "edit", "signup": "create", "click": "tool_use", "view": "visit"}
     action = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
     none = F.lit(None).cast("string")
@@ -102,12 +100,14 @@ def from_events(spark: SparkSession, sf_dir: str, with_embeddings: bool = True)
         F.when(action == "message", F.array(F.concat(F.lit("u"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("mentions"),
         F.array(F.concat(F.lit("k"), k.cast("string"))).alias("resources"), none.alias("reply_to"),
         F.concat(F.lit("o"), (F.col("user_id") % 20).cast("string")).alias("origin"), F.concat(F.lit("g"), (F.col("user_id") % 7).cast("string")).alias("goal_key"),
-        (F.col("event_id") % n_docs).alias("__doc"), k.alias("__k"), F.col("user_id").alias("__user"),
+        F.col("event_id").alias("__event"), k.alias("__k"), F.col("user_id").alias("__user"),
     )
-    texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("content"))
-    ev = ev.join(texts, "__doc", "left").drop("__doc")
+    if with_content:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("content"))
+        ev = ev.withColumn("__doc", F.col("__event") % docs.count()).join(texts, "__doc", "left").drop("__doc")
     if with_embeddings:
         vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("emb"))
         n = vectors.count()
         ev = ev.withColumn("vec_id", (F.col("__k") * 7 + F.col("__user")) % n).join(vectors, "vec_id", "left").drop("vec_id")
-    return canonical(ev.drop("__k", "__user"))
+    return canonical(ev.drop("__event", "__k", "__user"))

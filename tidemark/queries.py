@@ -12,6 +12,7 @@ from .operators import detect, edges, episodes, intervene, pairs, reach
 from .operators.components import connected_components
 from .plans.frame import COMPONENTS, PairConfig, from_events
 from .plans.shared import stored
+from .sources.tables import exists
 
 #: The tables' events are spread thin: with the default thresholds hardly a pair would be left to look at.
 PLAIN = PairConfig(min_pair_score=0.12, min_edge_score=0.15)
@@ -38,13 +39,25 @@ def query(sql: str | None = None):
     return add
 
 
+#: Frames that this process has stored, by application, kind and folder.
+_frames: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def frame(spark: SparkSession, sf_dir: str, kind: str, **parts) -> DataFrame:
+    """A stored frame, made once a session and folder: nearly every query starts from it and reads it several times."""
+    key = (spark.sparkContext.applicationId, kind, sf_dir)
+    if key not in _frames or not exists(spark, _frames[key].scratch_path):
+        _frames[key] = stored(from_events(spark, sf_dir, **parts), kind)
+    return _frames[key]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frame without texts and vectors, numbered once and stored: every query reads it several times."""
-    return stored(from_events(spark, sf_dir, with_embeddings=False).drop("content"), "events")
+    """The frame without texts and vectors."""
+    return frame(spark, sf_dir, "events", with_embeddings=False, with_content=False)
 
 
 def full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(from_events(spark, sf_dir), "full-events")
+    return frame(spark, sf_dir, "full-events")
 
 
 def micros(name: str):
