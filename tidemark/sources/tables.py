@@ -81,3 +81,63 @@ def changelog(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"(?ms)^## (\d{4}-\d{2}-\d{2})[^\n]*\n(.*?)(?=^## |\z)"
     pair = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("d"), F.regexp_extract_all("value", F.lit(pattern), F.lit(2)).alias("b"))
     return whole.select(F.explode(pair).alias("x")).select(F.to_date("x.d").alias("day"), F.substring(F.trim(F.regexp_replace("x.b", r"\s+", " ")), 1, 300).alias("body"))
+
+
+def first_rows(df: DataFrame, inside: Column, most: int) -> DataFrame:
+    """Rows of a window, three times ``most`` at the most: a scan for a preview may stop there. Which rows is left open."""
+    return df.where(inside).limit(3 * most)
+
+
+def tables_of(spark: SparkSession, folder: str, stems: list[str]) -> DataFrame:
+    """(stem, path): which table lies where; a null path where none does."""
+    return spark.createDataFrame([(s, find(spark, folder, s)) for s in stems], "stem string, path string")
+
+
+def coverage(rows: DataFrame, gap: Column, most: int = 5) -> DataFrame:
+    """(rows, gaps, examples): how many rows a table has, for how many ``gap`` holds, and the first of its values."""
+    gaps = rows.where(gap).agg(F.count(F.lit(1)).alias("gaps"))
+    named = rows.where(gap).select(F.col(rows.columns[0]).cast("string").alias("x")).orderBy("x").limit(most).agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    return rows.agg(F.count(F.lit(1)).alias("rows")).crossJoin(gaps).crossJoin(named)  # one row each
+
+
+def cached_turns(turns: DataFrame, sessions: DataFrame, path: str) -> DataFrame:
+    """Turns of the wanted sessions by time, from a cache of whole sessions; what it lacks is read and added.
+
+    A session without turns is looked for again each time. The cache is a table partitioned by session.
+    """
+    spark = turns.sparkSession
+    wanted = sessions.select("session_id").distinct()
+    if exists(spark, path):
+        wanted = wanted.join(spark.read.schema(turns.schema).parquet(path).select("session_id").distinct(), "session_id", "left_anti")
+    turns.join(wanted, "session_id", "left_semi").write.mode("append").partitionBy("session_id").parquet(path)
+    return drill_down(spark.read.schema(turns.schema).parquet(path), sessions).select(*turns.columns)
+
+
+def cached_vectors(texts: DataFrame, path: str, make) -> DataFrame:
+    """(text, emb) of the different texts (null ones have none), from a cache by SHA-1; ``make`` turns (key, text) that it
+    lacks into (key, emb), which are added."""
+    spark = texts.sparkSession
+    texts = texts.where("text is not null").select("text").distinct()
+    known = spark.read.schema("key string, emb array<float>").parquet(path) if exists(spark, path) else spark.createDataFrame([], "key string, emb array<float>")
+    make(missing_vectors(texts, known)).select("key", F.col("emb").cast("array<float>").alias("emb")).write.mode("append").parquet(path)
+    return texts.withColumn("key", F.sha1("text")).join(spark.read.schema("key string, emb array<float>").parquet(path), "key").select("text", "emb")
+
+
+def profile_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, type, n): every path of JSON lines, nested ones too, with how often each type stands there.
+
+    Elements of an array have the path with ``[]``. The levels are as many as the deepest value has.
+    """
+    level = spark.read.text(path).where("trim(value) <> ''").select(F.lit("").alias("path"), F.try_parse_json("value").alias("v"))
+    out = []
+    while True:
+        kind = F.schema_of_variant("v")
+        # What isn't there at all has no row; JSON null is of type VOID.
+        typed = level.where("v is not null").withColumn("k", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").otherwise("float"))
+        out.append(typed.where("path <> ''").groupBy("path", F.col("k").alias("type")).agg(F.count(F.lit(1)).alias("n")))
+        inner = typed.where("k in ('object', 'array')")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, out).groupBy("path", "type").agg(F.sum("n").alias("n"))
+        inner.createOrReplaceTempView("tidemark_level")
+        level = spark.sql("""SELECT CASE WHEN k = 'array' THEN concat(path, '[]') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path, e.value AS v
+            FROM tidemark_level, LATERAL variant_explode_outer(v) AS e WHERE e.value IS NOT NULL""")
