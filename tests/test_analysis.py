@@ -173,3 +173,21 @@ def test_sessions_drill_down(spark, tmp_path):
 def test_first_rows_of_a_window(spark):
     df = spark.createDataFrame([(k, k) for k in range(100)], "id long, ts long")
     assert tables.first_rows(df, F.col("ts") >= 90, 3).count() == 9 and tables.first_rows(df, F.col("ts") >= 98, 3).count() == 2
+
+
+def test_streaming_windows_and_state(spark, tmp_path):
+    from tidemark.streaming import windows
+
+    ev = frame(spark, [(f"e{k}", m, who, "x", {"resources": ["d"], "action": act}) for k, (m, who, act) in enumerate([(0, "A", "edit"), (5, "A", "edit"), (10, "B", "visit"), (20, "B", "edit"), (70, "A", "visit"), (75, "C", "edit"), (300, "C", "edit")])])
+    path = f"file://{tmp_path}/events"
+    ev.select("event_id", "timestamp", "actor_id", "action_type", "source", "res").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def run(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    slid = {r.start.minute + 60 * r.start.hour: (r.n_events, r.n_agents) for r in run(windows.sliding_activity(stream, "1 hour", "30 minutes"), "slid")}
+    first = min(slid)
+    assert slid[first + 30] == (4, 2) and slid[first] == (4, 2)
+    assert {tuple(r)[1:] for r in run(windows.last_writers(stream), "writers")} == {("A", "B", "e1", "e2"), ("A", "B", "e1", "e3"), ("B", "A", "e3", "e4"), ("B", "C", "e3", "e5"), ("B", "C", "e3", "e6")}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import detect, edges, episodes, intervene, pairs, reach
+from .operators import detect, edges, episodes, intervene, labels, pairs, reach, shape
 from .operators.components import connected_components
+from .plans import analysis
 from .plans.frame import COMPONENTS, PairConfig, from_events
 from .plans.shared import stored
 from .sources.tables import exists
@@ -379,7 +380,8 @@ def ranked_episodes(spark, sf_dir):
 @query()
 def detections(spark, sf_dir):
     ev, scored, found = found_episodes(spark, sf_dir)
-    return detect.run_all(ev.withColumn("content", F.lit("")), scored, found)
+    texts = full_events(spark, sf_dir).drop("emb")
+    return shape.affected({k: stored(df, f"found-{k}") for k, df in found.items()}, detect.run_all(texts, scored, found)).withColumns({c: F.array_join(c, ",") for c in ("affected_agents", "affected_resources", "evidence_event_ids")})
 
 
 # Reachability
@@ -566,3 +568,165 @@ def graph_components_whole(spark, sf_dir):
     """Every customer, with keys as they are; the twin of ``graph_components`` fixes a third of them, folded to 500."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("b")))
+
+
+@query(f"{BASE} SELECT a.r AS resource, a.actor_id AS a, b.actor_id AS b FROM (SELECT DISTINCT 'resource:k' || k || '/' || (eid % 97) AS r, actor_id FROM ev WHERE actor_type = 'agent') a JOIN (SELECT DISTINCT 'resource:k' || k || '/' || (eid % 97) AS r, actor_id FROM ev WHERE actor_type = 'agent') b ON a.r = b.r AND a.actor_id < b.actor_id WHERE a.r IN (SELECT 'resource:k' || k || '/' || (eid % 97) FROM ev WHERE actor_type = 'agent' GROUP BY 1 HAVING count(DISTINCT actor_id) BETWEEN 2 AND 12)")
+def page_share_edges(spark, sf_dir):
+    """Agents that share a page with few others; each resource has 97 pages here."""
+    from .operators.graph import share_edges
+
+    page = F.transform("res", lambda r: F.concat(r, F.lit("/"), (F.col("event_id").cast("long") % 97).cast("string")))
+    return share_edges(events(spark, sf_dir).withColumn("res", page)).select("resource", "a", "b")
+
+
+# Words
+
+
+@query(r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), t AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 20000),
+x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n) SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM x""".replace("\\\\", "\\"))
+def tfidf_terms(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return labels.tfidf(docs, id_column="doc_id", stop=()).withColumn("weight", F.round("weight", 6))
+
+
+@query(r"""WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings) SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS first, round(CAST(embedding[2] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS second FROM v""")
+def unit_vectors(spark, sf_dir):
+    v = labels.normalised(F.col("embedding"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(1)), 6).alias("second"))
+
+
+@query(r"""SELECT md5(t) AS text_md5, count(DISTINCT source) AS posters FROM (SELECT source, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM documents) WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 3""")
+def template_texts(spark, sf_dir):
+    """Texts that three or more sources posted: what the template rule leaves out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("content"), F.col("source").alias("actor_id"))
+    flagged = pairs.with_text_flag(docs, PairConfig()).withColumn("t", F.lower(F.trim(F.regexp_replace("content", r"\s+", " "))))
+    return flagged.where("not has_text and t <> ''").groupBy(F.md5("t").alias("text_md5")).agg(F.count_distinct("actor_id").alias("posters"))
+
+
+@query()
+def common_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return labels.common_words(docs.select(F.col("text").alias("content"), F.col("source").alias("actor_id")))
+
+
+@query()
+def source_labels(spark, sf_dir):
+    """What sets each source's words off from the others'."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return labels.group_labels(docs, key="source").withColumn("terms", F.array_join("terms", ","))
+
+
+# Measures and shapes
+
+
+@query(f"""{EDGES} SELECT count(*) AS n_edges, round(avg((e.resource > 0)::INT), 9) AS via_page, round(avg((e.direct > 0)::INT), 9) AS replies,
+  round(avg((CASE WHEN i.via IS NULL AND s.upstream IS NULL THEN e.confidence WHEN e.confidence = 'strong' THEN 'moderate' ELSE 'weak' END <> 'weak')::INT), 9) AS supported,
+  round(avg((e.has_origin OR i.via IS NOT NULL OR s.upstream IS NOT NULL)::INT), 9) AS contested FROM ed e LEFT JOIN ind i USING (src, dst) LEFT JOIN sib s USING (src, dst)""")
+def edge_shares(spark, sf_dir):
+    found = shape.edge_shares(edges.mark_indirect(all_edges(spark, sf_dir)))
+    return found.select("n_edges", *[F.round(c, 9).alias(c) for c in ("via_page", "replies", "supported", "contested")])
+
+
+@query(f"""{EDGES}, fin AS (SELECT CASE WHEN i.via IS NULL AND s.upstream IS NULL THEN e.confidence WHEN e.confidence = 'strong' THEN 'moderate' ELSE 'weak' END AS c FROM ed e LEFT JOIN ind i USING (src, dst) LEFT JOIN sib s USING (src, dst))
+SELECT n_events, n_agents, first_us, last_us, count(c) AS n_edges, count(*) FILTER (c = 'strong') AS strong, count(*) FILTER (c = 'moderate') AS moderate, count(*) FILTER (c = 'weak') AS weak
+FROM fin, (SELECT count(*) AS n_events, count(DISTINCT actor_id) FILTER (actor_type = 'agent') AS n_agents, min(us) AS first_us, max(us) AS last_us FROM ev) GROUP BY ALL""")
+def summary(spark, sf_dir):
+    s = shape.summary(events(spark, sf_dir), edges.mark_indirect(all_edges(spark, sf_dir)))
+    return s.select("n_events", "n_agents", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n_edges", "strong", "moderate", "weak")
+
+
+@query(f"{BASE} SELECT actor_id, action_type FROM (SELECT actor_id, action_type, count(*) AS n, min(rn) AS f FROM ev GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY actor_id ORDER BY n DESC, f) = 1")
+def usual_action(spark, sf_dir):
+    return shape.mode(events(spark, sf_dir), "actor_id", "action_type")
+
+
+@query(f"{SCORED} SELECT row_number() OVER (ORDER BY score DESC, j, i) AS place, dst_event AS event_id, score FROM pairs ORDER BY place LIMIT 10")
+def top_evidence(spark, sf_dir):
+    scored = edges.scoped(pairs.score_pairs(events(spark, sf_dir), PLAIN))
+    return shape.top_evidence(scored).select(F.col("place").cast("long").alias("place"), "event_id", "score")
+
+
+def segment_members(spark, sf_dir) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return episodes.segments(ev, 15).select("rn", F.col("segment").alias("episode_id")).join(ev.drop("segment"), "rn")
+
+
+@query(f"""{BASE}, {SEGMENTS}, t AS (SELECT segment, actor_id, res, count(*) AS n, min(ev.rn) AS f FROM seg JOIN ev ON ev.rn = seg.rn GROUP BY 1, 2, 3), u AS (SELECT segment, res, count(*) AS a, min(f) AS f FROM t GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY a DESC, f, res) AS place, max(a) OVER (PARTITION BY segment) >= 2 AS shared FROM u)
+SELECT CAST(segment AS BIGINT) AS episode_id, actor_id, res AS resource, n FROM t JOIN p USING (segment, res) WHERE CASE WHEN shared THEN p.a >= 2 AND place <= 8 ELSE place <= 3 END""")
+def who_used_most(spark, sf_dir):
+    return shape.who_used_what(segment_members(spark, sf_dir))
+
+
+@query(f"""{BASE}, {SEGMENTS} SELECT CAST(segment AS BIGINT) AS episode_id, round(count(*) FILTER (k < 50) / (count(*) + (SELECT count(*) FROM ev WHERE k < 50) - count(*) FILTER (k < 50)), 9) AS jaccard FROM seg JOIN ev ON ev.rn = seg.rn GROUP BY 1""")
+def event_set_jaccard(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    truth = ev.where(F.regexp_extract(F.get("res", F.lit(0)), r"(\d+)", 1).cast("int") < 50).select("event_id")
+    return analysis.event_set_jaccard(segment_members(spark, sf_dir), truth).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(f"""{EDGES}, tr AS (SELECT DISTINCT a.actor_id AS src, b.actor_id AS dst FROM reply JOIN ev a ON a.rn = i JOIN ev b ON b.rn = j), h AS (SELECT count(*) AS n, count(tr.src) AS hits FROM ed LEFT JOIN tr ON tr.src = ed.src AND tr.dst = ed.dst)
+SELECT round(CASE WHEN n = 0 THEN 0 ELSE hits / n END, 9) AS precision, round(hits / (SELECT count(*) FROM tr), 9) AS recall FROM h""")
+def edge_quality(spark, sf_dir):
+    """The edges against who answered whom."""
+    ev = events(spark, sf_dir)
+    who = lambda c, name: ev.select(F.col("rn").alias(c), F.col("actor_id").alias(name))
+    truth = pairs.reply_pairs(ev, PLAIN).join(who("i", "src"), "i").join(who("j", "dst"), "j").select("src", "dst").distinct()
+    return analysis.edge_quality(all_edges(spark, sf_dir), truth).select(*[F.round(c, 9).alias(c) for c in ("precision", "recall")])
+
+
+def order_events(spark, sf_dir) -> DataFrame:
+    """Orders as pages: each line item writes one when it is shipped, and deletes it up to two months later."""
+    ship = F.to_date("l_shipdate")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"l_shipdate": ship, "l_receiptdate": F.date_add(ship, (F.col("l_partkey") % 60).cast("int"))})
+    page = F.concat(F.lit("wiki:"), F.col("l_orderkey").cast("string")).alias("target_id")
+    who = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("actor_id")
+    of = lambda at, action, kind: line.select(F.col(at).cast("timestamp").alias("timestamp"), page, F.lit(action).alias("action_type"), F.lit(kind).alias("actor_type"), who, F.lit(None).cast("string").alias("recreation_of"), F.concat_ws(":", F.lit(action), "l_orderkey", "l_linenumber").alias("event_id"))
+    return of("l_shipdate", "edit", "agent").unionByName(of("l_receiptdate", "delete", "human"))
+
+
+LINES = "lines AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS l_shipdate, CAST(l_shipdate AS DATE) + CAST(l_partkey % 60 AS INTEGER) AS l_receiptdate FROM lineitem)"
+
+
+@query(f"""WITH {LINES}, g AS (SELECT l_orderkey, min(l_receiptdate) AS gone FROM lines GROUP BY 1), l AS (SELECT l_orderkey, date_diff('day', max(l_shipdate), any_value(gone)) AS days FROM lines JOIN g USING (l_orderkey) WHERE l_shipdate <= gone GROUP BY 1)
+SELECT least(days, 30) AS lag_days, count(*) AS n, (SELECT median(days * 24.0) FROM l) AS median_hours FROM l GROUP BY 1""")
+def deletion_lags(spark, sf_dir):
+    return shape.deletion_lags(order_events(spark, sf_dir)).withColumn("lag_days", F.col("lag_days").cast("long"))
+
+
+@query(f"""WITH {LINES} SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day, count(*) FILTER (w) AS writes, count(*) FILTER (NOT w) AS deletions FROM (SELECT l_shipdate AS d, TRUE AS w FROM lines UNION ALL SELECT l_receiptdate, FALSE FROM lines) GROUP BY 1""")
+def daily_writes(spark, sf_dir):
+    return shape.daily_writes(order_events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey AS p, date_trunc('month', l_shipdate) AS e, l_shipdate AS d FROM lines), en AS (SELECT e, max(d) AS ending FROM m GROUP BY 1), g AS (SELECT l_orderkey AS p, min(l_receiptdate) AS gone FROM lines GROUP BY 1)
+SELECT CAST(CAST(e AS DATE) AS VARCHAR) AS episode_id, count(*) AS episode_pages, count(gone) AS pages_deleted, round(date_diff('hour', max(ending), min(gone)), 1) AS hours_to_first_deletion FROM (SELECT DISTINCT p, e FROM m) JOIN en USING (e) JOIN g USING (p) GROUP BY 1""")
+def historical_audit(spark, sf_dir):
+    """What became of the pages of each month's writes."""
+    ev = order_events(spark, sf_dir)
+    month = F.to_date(F.date_trunc("month", "timestamp")).cast("string").alias("episode_id")
+    members = ev.where("action_type = 'edit'").select(month, "event_id", "timestamp")
+    ends = members.groupBy("episode_id").agg(F.max("timestamp").alias("end"))
+    found = intervene.historical_response(members.drop("timestamp"), ends, ev)
+    return found.select("episode_id", "episode_pages", "pages_deleted", F.col("hours_to_first_deletion").cast("double").alias("hours_to_first_deletion"))
+
+
+@query()
+def episode_shape(spark, sf_dir):
+    ev, scored, found = found_episodes(spark, sf_dir)
+    found = {k: stored(df, f"found-{k}") for k, df in found.items()}
+    return shape.episode_shape(found, detect.run_all(full_events(spark, sf_dir).drop("emb"), scored, found))
+
+
+@query()
+def episode_sentences(spark, sf_dir):
+    ev, _, found = found_episodes(spark, sf_dir)
+    return shape.summaries(found, ev)
+
+
+@query()
+def synthetic_benchmark(spark, sf_dir):
+    """What the whole analysis recovers of a log with known truth; reads no table."""
+    m = analysis.run_benchmark(spark)
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(m.items())], "measure string, value string")

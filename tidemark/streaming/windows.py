@@ -1,6 +1,7 @@
 """Streaming forms: session windows of activity and resource hand-overs within a time range.
 
-The batch operators define the semantics; these keep bounded state under a watermark and drop later data.
+The batch operators define the semantics; these keep bounded state under a watermark and drop later data. Distinct actors
+are counted from a set kept in the window's state, so the numbers are the batch's.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ def activity_sessions(events: DataFrame, key: str = "source", gap: str = "45 min
     A key is required: streams have no session windows without one.
     """
     w = F.session_window("timestamp", gap)
-    sessions = events.withWatermark("timestamp", late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.approx_count_distinct("actor_id").alias("n_agents"))
+    sessions = events.withWatermark("timestamp", late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.size(F.collect_set("actor_id")).alias("n_agents"))
     return sessions.select(key, "w.start", "w.end", "n_events", "n_agents")
 
 
@@ -34,3 +35,44 @@ def resource_handovers(events: DataFrame, other: DataFrame, window: str = "120 m
     b = other.withWatermark("timestamp", late).select(F.explode("res").alias("resource_b"), F.col("event_id").alias("dst_event"), F.col("actor_id").alias("dst_agent"), F.col("timestamp").alias("dst_ts"))
     on = (F.col("resource") == F.col("resource_b")) & (F.col("dst_ts") > F.col("src_ts")) & (F.col("dst_ts") <= F.col("src_ts") + F.expr(f"interval {window}")) & (F.col("src_agent") != F.col("dst_agent"))
     return a.join(b, on).select("resource", "src_event", "dst_event", "src_agent", "dst_agent", "src_ts", "dst_ts")
+
+
+def sliding_activity(events: DataFrame, length: str = "1 hour", step: str = "15 minutes", late: str = "2 hours") -> DataFrame:
+    """(start, end, n_events, n_agents) of overlapping windows."""
+    w = F.window("timestamp", length, step).alias("w")
+    counted = events.withWatermark("timestamp", late).groupBy(w).agg(F.count(F.lit(1)).alias("n_events"), F.size(F.collect_set("actor_id")).alias("n_agents"))
+    return counted.select("w.start", "w.end", "n_events", "n_agents")
+
+
+def last_writers(events: DataFrame, idle: str = "24 hours", late: str = "2 hours") -> DataFrame:
+    """(resource, src_agent, dst_agent, src_event, dst_event): each touch with the last write by somebody else before it.
+
+    State is the newest write of the two newest writers of a resource, and is forgotten after ``idle`` of event time
+    without a touch. Rows of a batch are taken in the order of time, then id; a row later than the watermark is dropped.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    hold = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        writers = [(state.get[k], state.get[k + 1]) for k in (0, 2) if state.get[k]] if state.exists else []
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["timestamp", "event_id"]).itertuples():
+            other = next((w for w in writers if w[0] != r.actor_id), None)
+            if other:
+                out.append((key[0], other[0], r.actor_id, other[1], r.event_id))
+            if r.writes:
+                # The two newest writers are enough: of two different ones, one isn't the next row's actor.
+                writers = [(r.actor_id, r.event_id), *[w for w in writers if w[0] != r.actor_id]][:2]
+        flat = [x for w in [*writers, ("", ""), ("", "")][:2] for x in w]
+        state.update(tuple(flat))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + hold)
+        yield pd.DataFrame(out, columns=["resource", "src_agent", "dst_agent", "src_event", "dst_event"])
+
+    touch = events.withWatermark("timestamp", late).select("timestamp", "event_id", "actor_id", (~F.col("action_type").isin("memory_read", "visit")).alias("writes"), F.explode("res").alias("resource"))
+    return touch.groupBy("resource").applyInPandasWithState(step, "resource string, src_agent string, dst_agent string, src_event string, dst_event string", "a string, ae string, b string, be string", "append", "EventTimeTimeout")
