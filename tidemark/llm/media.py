@@ -38,6 +38,8 @@ SHARD_BYTES = 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 BLOCK = 512
+#: Bytes of payloads that a task reads back, in stretches of a shard of so many.
+READ_BYTES, STRETCH = 16 << 20, 2 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -162,9 +164,13 @@ def write(docs: DataFrame, root: str, id_column: str = "doc_id", text_column: st
 
 
 def addresses(references: DataFrame) -> DataFrame:
-    """Stored (digest, shard, offset, length): one member for each digest, those of a shard together and in its order."""
+    """(digest, shard, offset, length): one member for each digest, dealt out by stretches of a shard, in its order.
+
+    The partitions are as many as the stored bytes need; a row is a few bytes here, but stands for a payload.
+    """
+    total = references.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     first = references.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return base.stored(first.repartition("shard").sortWithinPartitions("shard", "offset"), "media-addresses")
+    return first.repartition(max(1, -(-total // READ_BYTES)), "shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
 
 
 class ShardReader:
