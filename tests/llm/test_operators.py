@@ -170,7 +170,23 @@ def plain_model(own):
     n, v = sum(c.values()), len(c)
     p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
     p2 = lambda u, w: max(pairs[u, w] - 0.75, 0) / c[u] + 0.75 * different[u] / c[u] * p1(w) if c[u] else p1(w)
-    return c, n, p1, p2
+    triples = Counter(p for t in train for p in zip([None, *t[:-2]], t[:-1], t[1:]))
+    follow, after = Counter(), Counter()
+    for (u, w, _), k in triples.items():
+        follow[u, w] += k
+        after[u, w] += 1
+
+    def p3(t, i):
+        """The i-th token of a text."""
+        v = t[i - 1] if i else None
+        two = p2(v, t[i])
+        if not i:
+            return two
+        u = t[i - 2] if i > 1 else None
+        f = follow[u, v]
+        return max(triples[u, v, t[i]] - 0.75, 0) / f + 0.75 * after[u, v] / f * two if f else two
+
+    return c, n, p1, p2, p3
 
 
 @pytest.mark.parametrize("table", ["docs", "odd"])
@@ -180,19 +196,30 @@ def test_language_model_equals_brute_force(request, table):
     for r in ngram_lm.score_held_out(df).collect():
         got[r.doc_id].append(r)
     own = rows(df)
-    c, n, p1, p2 = plain_model(own)
+    c, n, p1, p2, p3 = plain_model(own)
     assert sum(map(len, got.values())) == len(own)
     for i, text in own:
         t = plain_tokens(text)
         assert any(
             r.n_tokens == len(t) and r.n_known == sum(c[w] > 0 for w in t) and r.train_tokens == n and r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)
             and math.isclose(r.base_score, sum(math.log10(p1(w)) for w in t), rel_tol=1e-9)
-            and math.isclose(r.score, sum(math.log10(p2(u, w)) for u, w in zip([None, *t[:-1]], t)), abs_tol=0.01 * len(t))
+            and math.isclose(r.score, sum(math.log10(p3(t, k)) for k in range(len(t))), abs_tol=0.01 * len(t))
             for r in got[i]
         )
     assert ngram_lm.score_held_out(df.where("false")).count() == 0
 
 
+def test_language_model_of_order_two(spark, docs):
+    own = rows(docs)
+    *_, p2, _ = plain_model(own)
+    rest = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 5 != 1, F.lit(True))
+    model = ngram_lm.train(docs.where(rest), base.scratch(spark, "lm-test"), order=2)
+    got = {r.doc_id: r.score for r in ngram_lm.score(docs, model).collect()}
+    for i, text in own:
+        t = plain_tokens(text)
+        assert math.isclose(got[i], sum(math.log10(p2(u, w)) for u, w in zip([None, *t[:-1]], t)), abs_tol=0.01 * len(t))
+
+
 def test_language_model_learnt_from_nothing(spark, odd):
     root = base.scratch(spark, "lm-test")
     model = ngram_lm.train(odd.where("false"), root)

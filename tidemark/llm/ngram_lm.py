@@ -1,18 +1,21 @@
 """A language model in an Elias-Fano n-gram trie, counted, built and queried in shards.
 
 Level 1 holds the words (ordered by a 64-bit hash: a word's number is its rank) with their counts. Level 2 holds, for
-each word as context, the numbers of its successors. Both its pointers (where a context's successors begin) and its
+each word as context, the numbers of its successors; level 3, for each pair of level 2 as context (a pair's number is
+its place there), the numbers of the words after it. In both the pointers (where a context's successors begin) and the
 successors are Elias-Fano sequences; successors are stored relative to their context, as the last value of the context
 before plus the number, which keeps the whole level monotone. A lookup is a successor search for that sum. Smoothed
-probabilities are quantised to 256 levels a shard.
+probabilities, and level 3's weights of what is left, are quantised to 256 levels a shard.
 
-p(w | u) = max(c(u w) - D, 0) / c(u) + D * n(u) / c(u) * p(w), where n(u) counts the different successors of u and
-p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); an unknown context leaves p(w). The end of a text is the context of the
-next text's first word.
+p(w | v) = max(c(v w) - D, 0) / c(v) + D * n(v) / c(v) * p(w), where n(v) counts the different successors of v and
+p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); an unknown context leaves p(w). p(w | u v) is the same with c(u v), n(u v)
+and p(w | v) in their places. The end of a text is the context of the next text's first word; no text's words are the
+context of another's, so a first word has no pair before it, and a second word the pair (end, first word).
 
-Counting: each task sends, to every shard, one sorted and compressed array of keys and counts; a shard covers a range
-of keys, and the successors of a frequent context are cut over several shards, so no task holds all of a hot word's.
-Shards are files in the shared folder; scoring maps them into memory and reads what it needs.
+Counting: each task sends, to every shard, sorted and compressed arrays of keys and counts; a shard covers a range
+of pairs, with the triples that begin with them, and the successors of a frequent word are cut over several shards, so
+no task holds all of a hot word's. Shards are files in the shared folder; scoring maps them into memory and reads what
+it needs.
 """
 
 from __future__ import annotations
@@ -95,6 +98,50 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(side(planes[: 8 * n]), dtype=np.uint64), side(planes[8 * n :]).astype(np.int64)
 
 
+def pack_triples(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Like :func:`pack`, with a word to each (repeated) pair."""
+    gaps = np.diff(pairs, prepend=np.uint64(0)).astype("<u8")
+    planes = b"".join(x.view(np.uint8).reshape(len(pairs), -1).T.tobytes() for x in (gaps, words.astype("<u4"), counts.astype("<u4")))
+    return struct.pack("<q", len(pairs)) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack_triples(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = struct.unpack("<q", data[:8])[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
+    side = lambda x, kind: np.ascontiguousarray(x.reshape(-1, n).T).reshape(-1).view(kind)
+    return np.cumsum(side(planes[: 8 * n], "<u8"), dtype=np.uint64), side(planes[8 * n : 12 * n], "<u4"), side(planes[12 * n :], "<u4").astype(np.int64)
+
+
+def merged_triples(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different (pair, word) and the sums of their counts."""
+    different, at = np.unique(pairs, return_inverse=True)
+    keys, counts = merged(at.astype(np.uint64) << np.uint64(32) | words, counts)
+    return different[(keys >> np.uint64(32)).astype(np.int64)], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts
+
+
+class TripleSender:
+    """What :class:`Sender` is for keys, for triples: they go to the shard of the pair they begin with."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds, self.parts, self.held = bounds, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        columns = merged_triples(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+        self.parts, self.held = [], 0
+        cuts = np.concatenate([np.searchsorted(columns[0], self.bounds), [len(columns[0])]])
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if b > a:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([None], pa.binary()), pa.array([pack_triples(*(c[a:b] for c in columns))], pa.binary())], ["shard", "data", "triples"])
+
+
 class Sender:
     """Gathers keys and counts, and yields a packed array for each shard once enough are held, and at the end."""
 
@@ -121,10 +168,47 @@ class Sender:
 
 def gathered(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All of a shard's arrays as one."""
-    keys, counts = zip(*(unpack(d) for d in data.to_pylist()), strict=True)
+    keys, counts = zip(*(unpack(d) for d in data.to_pylist() if d is not None), strict=True)
     return merged(np.concatenate(keys), np.concatenate(counts))
 
 
+def gathered_triples(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [unpack_triples(d) for d in data.to_pylist() if d is not None]
+    return merged_triples(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each, what the codes stand for)."""
+    book = levels(logs).astype(np.float32)
+    return np.searchsorted((book[1:] + book[:-1]) / 2, logs.astype(np.float32)).astype(np.uint8), book
+
+
+def sequences(context: np.ndarray, n_contexts: int, word: np.ndarray) -> tuple[np.ndarray, EliasFano, EliasFano]:
+    """(successors of each context, pointers, successors relative to their context) of sorted pairs of numbers."""
+    sizes = np.bincount(context, minlength=n_contexts)
+    pointers = np.concatenate([[0], np.cumsum(sizes)])
+    last = np.zeros(n_contexts, np.uint64)
+    ends = np.flatnonzero(sizes)
+    last[ends] = word[pointers[ends + 1] - 1] + np.uint64(1)
+    shift = np.concatenate([[np.uint64(0)], np.cumsum(last, dtype=np.uint64)])[:-1]
+    return sizes, EliasFano.build(pointers), EliasFano.build(word + np.repeat(shift, sizes))
+
+
+def found(pointers: EliasFano, successors: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each word among its context's successors, in the whole level, or -1; how many that context has)."""
+    begin, end = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
+    place = np.full(len(context), -1, np.int64)
+    some = np.flatnonzero((begin < end) & (word >= 0))
+    if len(some):
+        b, e, w = begin[some], end[some], word[some].astype(np.uint64)
+        wanted = w + np.where(b > 0, successors.access(np.maximum(b - 1, 0)) + np.uint64(1), np.uint64(0))
+        at = successors.successor(wanted)
+        held = np.minimum(at, successors.n - 1)
+        hit = (at < e) & (at >= b) & (successors.access(held) == wanted)
+        place[some[hit]] = held[hit]
+    return place, end - begin
+
+
 def save(root: str, kind: str, head: dict, arrays: list[np.ndarray]) -> str:
     """Write arrays one after the other behind a JSON header; the name is new, so a retried task harms no reader."""
     files, path = pafs.FileSystem.from_uri(root)
@@ -170,6 +254,7 @@ class Model:
     split: dict[int, int]  # contexts cut over shards: how many different successors
     n_tokens: int
     n_words: int
+    order: int = 3
 
 
 class Vocabulary:
@@ -208,7 +293,7 @@ def levels(logs: np.ndarray, n: int = 256) -> np.ndarray:
 
 
 class Level:
-    """Level 2 of one shard."""
+    """Levels 2 and 3 of one shard."""
 
     def __init__(self, root: str, name: str):
         head, a = open_mapped(root, name)
@@ -216,49 +301,61 @@ class Level:
         self.contexts = head["contexts"]
         self.pointers = EliasFano(head["contexts"] + 1, head["pointer_bits"], *a[0:3])
         self.successors = EliasFano(head["n"], head["successor_bits"], *a[3:6])
-        self.codes, self.book = a[6], np.asarray(a[7])
+        self.codes, self.book = a[6], 10.0 ** np.asarray(a[7]).astype(float)
+        self.deep = head["n3"] > 0
+        if self.deep:
+            self.pointers3 = EliasFano(head["n"] + 1, head["pointer_bits3"], *a[8:11])
+            self.successors3 = EliasFano(head["n3"], head["successor_bits3"], *a[11:14])
+            self.codes3, self.book3 = a[14], 10.0 ** np.asarray(a[15]).astype(float)
+            #: What a pair leaves to level 2; 1 (at the end of the book) where nothing follows it.
+            self.rest, self.rest_book = a[16], np.append(10.0 ** np.asarray(a[17]).astype(float), 1.0)
 
     @staticmethod
-    def save(root: str, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> str:
+    def save(root: str, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, triples: tuple[np.ndarray, np.ndarray, np.ndarray]) -> str:
         """Keys are context << 32 | successor, sorted; totals: how often each key's context occurs."""
         context = (keys >> np.uint64(32)).astype(np.int64)
-        word = keys & np.uint64(0xFFFFFFFF)
         first = int(context[0])
         n_contexts = int(context[-1]) - first + 1
-        sizes = np.bincount(context - first, minlength=n_contexts)
-        pointers = np.concatenate([[0], np.cumsum(sizes)])
-        last = np.zeros(n_contexts, np.uint64)
-        ends = np.flatnonzero(sizes)
-        last[ends] = word[pointers[ends + 1] - 1] + np.uint64(1)
-        shift = np.concatenate([[np.uint64(0)], np.cumsum(last, dtype=np.uint64)])[:-1]
-        relative = word + np.repeat(shift, sizes)
-        logs = np.log10((counts - DISCOUNT) / totals)
-        book = levels(logs).astype(np.float32)
-        middle = (book[1:] + book[:-1]) / 2
-        codes = np.searchsorted(middle, logs.astype(np.float32)).astype(np.uint8)
-        p, s = EliasFano.build(pointers), EliasFano.build(relative)
-        head = {"first": first, "contexts": n_contexts, "n": len(keys), "pointer_bits": p.l, "successor_bits": s.l}
-        return save(root, "level", head, [*p.arrays(), *s.arrays(), codes, book])
-
-    def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted share or 0, different successors in this shard) of each pair."""
-        share, different = np.zeros(len(context)), np.zeros(len(context), np.int64)
+        _, p, s = sequences(context - first, n_contexts, keys & np.uint64(0xFFFFFFFF))
+        codes, book = quantised(np.log10((counts - DISCOUNT) / totals))
+        head = {"first": first, "contexts": n_contexts, "n": len(keys), "pointer_bits": p.l, "successor_bits": s.l, "n3": len(triples[0])}
+        arrays = [*p.arrays(), *s.arrays(), codes, book]
+        if len(triples[0]):
+            pair, word, n = triples
+            place = np.searchsorted(keys, pair)  # every pair that a word follows is one of level 2
+            sizes, p3, s3 = sequences(place, len(keys), word.astype(np.uint64))
+            follow = np.bincount(place, weights=n, minlength=len(keys))
+            codes3, book3 = quantised(np.log10((n - DISCOUNT) / follow[place]))
+            some = np.flatnonzero(sizes)
+            rest_codes, rest_book = quantised(np.log10(DISCOUNT * sizes[some] / follow[some]))
+            rest = np.full(len(keys), len(rest_book), np.uint16)
+            rest[some] = rest_codes
+            head |= {"pointer_bits3": p3.l, "successor_bits3": s3.l}
+            arrays += [*p3.arrays(), *s3.arrays(), codes3, book3, rest.astype(np.uint8) if len(rest_book) < 256 else rest, rest_book]
+        return save(root, "level", head, arrays)
+
+    def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(discounted share or 0, different successors in this shard, place or -1) of each pair."""
+        share, different, place = np.zeros(len(context)), np.zeros(len(context), np.int64), np.full(len(context), -1, np.int64)
         c = context - self.first
         inside = np.flatnonzero((c >= 0) & (c < self.contexts))
-        if not len(inside):
-            return share, different
-        c, w = c[inside], word[inside].astype(np.uint64)
-        begin = self.pointers.access(c).astype(np.int64)
-        end = self.pointers.access(c + 1).astype(np.int64)
-        different[inside] = end - begin
-        some = (begin < end) & (word[inside] >= 0)
-        inside, begin, end, w = inside[some], begin[some], end[some], w[some]
-        shift = np.where(begin > 0, self.successors.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-        at = self.successors.successor(shift + w)
-        held = np.minimum(at, self.successors.n - 1)
-        hit = (at < end) & (at >= begin) & (self.successors.access(held) == shift + w)
-        share[inside[hit]] = 10.0 ** self.book[self.codes[held[hit]]].astype(float)
-        return share, different
+        if len(inside):
+            place[inside], different[inside] = found(self.pointers, self.successors, c[inside], word[inside])
+            hit = np.flatnonzero(place >= 0)
+            share[hit] = self.book[self.codes[place[hit]]]
+        return share, different, place
+
+    def look_after(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The discounted share (or 0) of each word after the pair at each place."""
+        share = np.zeros(len(place))
+        if self.deep:
+            at = found(self.pointers3, self.successors3, place, word)[0]
+            hit = np.flatnonzero(at >= 0)
+            share[hit] = self.book3[self.codes3[at[hit]]]
+        return share
+
+    def left(self, place: np.ndarray) -> np.ndarray:
+        return self.rest_book[self.rest[place]] if self.deep else np.ones(len(place))
 
 
 class Reader:
@@ -272,28 +369,31 @@ class Reader:
         self.split = np.array(sorted(model.split), np.int64)
         self.split_sizes = np.array([model.split[k] for k in sorted(model.split)], np.int64)
 
-    def pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted share, different successors of the context), for pairs of numbers (-1: unknown)."""
-        share, different = np.zeros(len(context)), np.zeros(len(context), np.int64)
-        if not len(self.bounds):
-            return share, different
-        known = np.flatnonzero(context >= 0)
-        key = (context[known].astype(np.uint64) << np.uint64(32)) | np.maximum(word[known], 0).astype(np.uint64)
-        shard = np.searchsorted(self.bounds, key, "right") - 1
+    def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, Level, np.ndarray]]:
+        """(number, level, where) of each shard that occurs; -1 is none."""
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.bounds) + 1))
-        for k in np.unique(shard):
-            if k < 0:
-                continue
+        for k in np.unique(shard[order[cuts[0] :]]).tolist():
             if k not in self.levels:
                 self.levels[k] = Level(self.model.root, self.model.level[k][1])
-            own = known[order[cuts[k] : cuts[k + 1]]]
-            share[own], different[own] = self.levels[k].look(context[own], word[own])
+            yield k, self.levels[k], order[cuts[k] : cuts[k + 1]]
+
+    def pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(discounted share, different successors of the context, shard, place), for pairs of numbers (-1: unknown)."""
+        share, different = np.zeros(len(context)), np.zeros(len(context), np.int64)
+        shard, place = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        if not len(self.bounds):
+            return share, different, shard, place
+        known = np.flatnonzero(context >= 0)
+        key = (context[known].astype(np.uint64) << np.uint64(32)) | np.maximum(word[known], 0).astype(np.uint64)
+        shard[known] = np.searchsorted(self.bounds, key, "right") - 1
+        for _, level, own in self.by_shard(shard):
+            share[own], different[own], place[own] = level.look(context[own], word[own])
         if len(self.split):
             at = np.minimum(np.searchsorted(self.split, context), len(self.split) - 1)
             hit = self.split[at] == context
             different[hit] = self.split_sizes[at[hit]]
-        return share, different
+        return share, different, shard, place
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base_score, score) of each text."""
@@ -306,13 +406,41 @@ class Reader:
         before[0], before[1:] = len(t.hashes) - 1, t.codes[:-1]
         both, back = np.unique(before * len(t.hashes) + t.codes, return_inverse=True)
         u, w = both // len(t.hashes), both % len(t.hashes)
-        share, different = self.pairs(number[u], number[w])
+        share, different, shard, place = self.pairs(number[u], number[w])
         rest = np.where(count[u] > 0, DISCOUNT * different / np.maximum(count[u], 1), 1.0)
-        logs = np.log10(share + rest * plain[w])[back]
+        two = (share + rest * plain[w])[back]
+        if self.model.order > 2 and len(back) > 1:
+            two[1:] = self.third(back, number[t.codes], shard, place, two, t.starts)[1:]
+        logs = np.log10(two)
         size = np.diff(np.concatenate([t.starts, [len(t.codes)]]))
         known = np.add.reduceat((count > 0)[t.codes].astype(np.int64), t.starts)
         return size, known, np.add.reduceat(np.log10(plain)[t.codes], t.starts), np.add.reduceat(logs, t.starts)
 
+    def third(self, back: np.ndarray, word: np.ndarray, shard: np.ndarray, place: np.ndarray, two: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Probabilities with level 3, of tokens whose pairs have the numbers ``back``, from those without."""
+        left = np.ones(len(place))
+        kept = np.where(place >= 0, shard, -1)
+        for _, level, own in self.by_shard(kept):
+            left[own] = level.left(place[own])
+        out = two.copy()
+        # A token whose own pair is unknown can't follow a pair; a first word has none before it.
+        inner = np.ones(len(back), bool)
+        inner[starts] = False
+        at = np.flatnonzero(inner)
+        at = at[place[back[at - 1]] >= 0]
+        pair = back[at - 1]
+        out[at] = left[pair] * two[at]
+        at, pair = at[place[back[at]] >= 0], pair[place[back[at]] >= 0]
+        after, again = np.unique(pair << 32 | back[at], return_inverse=True)
+        pair, own_pair = after >> 32, after & 0xFFFFFFFF
+        first = np.empty(len(place), np.int64)
+        first[back] = word
+        share = np.zeros(len(after))
+        for _, level, own in self.by_shard(shard[pair]):
+            share[own] = level.look_after(place[pair[own]], first[own_pair[own]])
+        out[at] += share[again]
+        return out
+
 
 _readers: dict[str, Reader] = {}
 
@@ -324,8 +452,11 @@ def reader(model: Model) -> Reader:
     return _readers[model.root]
 
 
-def train(docs: DataFrame, root: str, n_shards: int | None = None, text_column: str = "text") -> Model:
-    """Count all texts of ``docs`` and build the trie under ``root``; the driver gets a few numbers for each shard."""
+def train(docs: DataFrame, root: str, n_shards: int | None = None, text_column: str = "text", order: int = 3) -> Model:
+    """Count all texts of ``docs`` and build the trie under ``root``; the driver gets a few numbers for each shard.
+
+    ``order`` 2 leaves level 3 out.
+    """
     spark = docs.sparkSession
     base.ship(spark)
     n_shards = n_shards or max(8, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -373,14 +504,24 @@ def train(docs: DataFrame, root: str, n_shards: int | None = None, text_column:
     n_words = offset
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, known = Sender(cuts), Vocabulary(root, words)
+        sender, triples, known = Sender(cuts), TripleSender(cuts), Vocabulary(root, words)
+        none = pa.array([None], pa.binary())
+        paired = lambda found: (pa.RecordBatch.from_arrays([*b.columns, none], ["shard", "data", "triples"]) for b in found)
         for batch in base.slices(batches, most=BATCH):
             t = tokens(base.text_of(batch))
             number = known.look(t.hashes)[0].astype(np.uint64)
             codes = number[t.codes]
             before = np.concatenate([number[-1:], codes[:-1]])
-            yield from sender.add(*np.unique(before << np.uint64(32) | codes, return_counts=True))
-        yield from sender.flush()
+            both, back, n = np.unique(before << np.uint64(32) | codes, return_inverse=True, return_counts=True)
+            yield from paired(sender.add(both, n))
+            if order > 2:
+                inner = np.ones(len(codes), bool)
+                inner[t.starts] = False
+                at = np.flatnonzero(inner)
+                keys, n = np.unique(back[at - 1].astype(np.uint64) << np.uint64(32) | codes[at], return_counts=True)
+                yield from triples.add(both[(keys >> np.uint64(32)).astype(np.int64)], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), n)
+        yield from paired(sender.flush())
+        yield from triples.flush()
 
     split_set = set(split)
 
@@ -396,38 +537,40 @@ def train(docs: DataFrame, root: str, n_shards: int | None = None, text_column:
             totals[own] = known.parts[k][1][different[own] - known.offset[k]]
         cut = int(context[0]) in split_set
         return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "file": [Level.save(root, keys, counts, totals[back])],
+            "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "file": [Level.save(root, keys, counts, totals[back], gathered_triples(table.column("triples")))],
             "split": pa.array([int(context[0]) if cut else None], pa.int64()), "successors": pa.array([len(keys)], pa.int64()),
         })
 
-    sent = picked.mapInArrow(count_pairs, "shard int, data binary")
+    sent = picked.mapInArrow(count_pairs, "shard int, data binary, triples binary")
     found = sent.groupBy("shard").applyInArrow(save_level, "shard int, file string, split long, successors long")
     rows = sorted(base.stored(found, "lm-level").collect(), key=lambda r: r["shard"])
     sizes: dict[int, int] = {}
     for r in rows:
         if r["split"] is not None:
             sizes[r["split"]] = sizes.get(r["split"], 0) + r["successors"]
-    return Model(root, words, [(int(cuts[r["shard"]]), r["file"]) for r in rows], sizes, n_tokens, n_words)
+    return Model(root, words, [(int(cuts[r["shard"]]), r["file"]) for r in rows], sizes, n_tokens, n_words, order)
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """Return ``carry``, n_tokens, n_known, train_tokens, base_score and score (log10), a row for each input row.
 
     A null text counts as empty: one token, the end. An empty table gives an empty result, an empty training table a
-    model that knows nothing.
+    model that knows nothing. A carried column with the name of a result column gives way to it.
     """
     base.ship(docs.sparkSession)
-    picked = docs.select(*[docs[c] for c in carry], docs[text_column].cast("string").alias("__text"))
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    carry = tuple(c for c in carry if c.lower() not in names)
+    picked = docs.select(base.packed(carry, docs).alias("row"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = reader(model)
-        for batch in base.slices(batches, "__text", BATCH):
-            n, known, plain, own = r.score(base.text_of(batch, "__text"))
-            columns = [*(batch.column(c) for c in carry), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens)), pa.array(plain), pa.array(own)]
-            yield pa.RecordBatch.from_arrays(columns, [*carry, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for batch in base.slices(batches, most=BATCH):
+            n, known, plain, own = r.score(base.text_of(batch))
+            columns = [batch.column("row"), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens)), pa.array(plain), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(*base.unpacked(carry), *names)
 
 
 def score_held_out(docs: DataFrame, folds: int = 5, fold: int = 1, root: str | None = None) -> DataFrame:
