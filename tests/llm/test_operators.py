@@ -156,6 +156,8 @@ def test_elias_fano():
             assert (e.access(np.arange(n)) == v).all()
         asked = np.concatenate([rng.integers(0, u + 5, 500).astype(np.uint64), v[:200], np.array([0, u, 2 * u], np.uint64)])
         assert (e.successor(asked) == np.searchsorted(v, asked)).all()
+        first = np.searchsorted(v, asked)
+        assert (e.index(asked) == np.where(np.isin(asked, v), first, -1)).all()
 
 
 def plain_tokens(text):

@@ -2,7 +2,7 @@
 
 A monotone sequence of n numbers below u keeps, of each number, the low floor(log2(u/n)) bits packed one after the
 other, and the high parts in unary: a bit vector in which the i-th one stands at (high part of the i-th number) + i.
-A directory of ones before every 512-bit block makes select a binary search and a few popcounts. All arrays are plain
+A directory of ones before every 512-bit block makes select a binary search and popcounts of one cache line. All arrays are plain
 words, so a sequence can be used straight from a memory-mapped file.
 """
 
@@ -15,6 +15,50 @@ ONE = np.uint64(1)
 U64 = np.uint64
 
 
+def _select_table() -> np.ndarray:
+    """Of each byte and k, where its k-th (from 0) set bit is."""
+    table = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        at = [i for i in range(8) if byte >> i & 1]
+        table[byte, : len(at)] = at
+    return table
+
+
+_SELECT = _select_table()
+
+
+#: One in each byte and in each 16-bit lane, and the top bits of either.
+_ONES8, _ONES16 = U64(0x0101010101010101), U64(0x0001000100010001)
+_TOP8, _TOP16 = U64(0x8080808080808080), U64(0x8000800080008000)
+_LANE = U64(0x00FF00FF00FF00FF)
+
+
+def _place(words: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of eight words, in which the k-th set bit is, and how many are left before it there.
+
+    Counts of a row's words are the bytes of one number; prefix sums of pairs of them are four lanes of a product.
+    """
+    counts = np.bitwise_count(words).view(np.uint64).reshape(-1)
+    even = counts & _LANE
+    prefix = (even + (counts >> U64(8) & _LANE)) * _ONES16
+    pair = np.bitwise_count((k * _ONES16 | _TOP16) - prefix & _TOP16).astype(np.uint64)
+    lane = pair << U64(4)
+    k = k - (prefix << U64(16) >> lane & U64(0xFFFF))
+    first = even >> lane & U64(0xFFFF)
+    second = k >= first
+    return (pair << U64(1)).astype(np.int64) + second, k - first * second
+
+
+def _bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the k-th set bit of each word is."""
+    s = words - (words >> U64(1) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + (s >> U64(2) & U64(0x3333333333333333))
+    s = (s + (s >> U64(4)) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES8
+    at = np.bitwise_count((k * _ONES8 | _TOP8) - s & _TOP8).astype(np.uint64) << U64(3)
+    octet = words >> at & U64(0xFF)
+    return at.astype(np.int64) + _SELECT[octet.astype(np.int64), (k - (s << U64(8) >> at & U64(0xFF))).astype(np.int64)]
+
+
 class EliasFano:
     """``words``: low bits, high bits and directory of one sequence, as :meth:`build` lays them out."""
 
@@ -49,7 +93,7 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * U64(self.l)
         word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-        upper = np.where(shift > 0, self.lows[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
+        upper = self.lows[word + 1] << U64(1) << (U64(63) - shift)
         return (self.lows[word] >> shift | upper) & ((ONE << U64(self.l)) - ONE)
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
@@ -62,26 +106,11 @@ class EliasFano:
             zeros = self._zeros()
             block = np.searchsorted(zeros, k, "right") - 1
             k = k - zeros[block]
-        word = block * BLOCK
-        for _ in range(BLOCK - 1):
-            w = self.highs[word]
-            ones = np.bitwise_count(w).astype(np.int64)
-            held = ones if bit else 64 - ones
-            beyond = k >= held
-            if not beyond.any():
-                break
-            k = np.where(beyond, k - held, k)
-            word = np.where(beyond, word + 1, word)
-        w = self.highs[word]
+        words = self.highs.reshape(-1, BLOCK)[block]  # one cache line each
         if not bit:
-            w = ~w
-        at = np.zeros(len(k), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            held = np.bitwise_count(w >> at & ((ONE << U64(width)) - ONE)).astype(np.int64)
-            beyond = k >= held
-            k = np.where(beyond, k - held, k)
-            at = np.where(beyond, at + U64(width), at)
-        return word * 64 + at.astype(np.int64)
+            words = ~words
+        word, k = _place(words, k.astype(np.uint64))
+        return (block * BLOCK + word) * 64 + _bit(words[np.arange(len(k)), word], k)
 
     def _zeros(self) -> np.ndarray:
         """Zeros before each block: the directory's complement, a view as large as the directory (1/512 of the bits)."""
@@ -105,13 +134,30 @@ class EliasFano:
         start = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) - (h - 1), 0)
         end = self._select(h, 0) - h
         lo, hi = start, end
+        #: Ends of the numbers with the same high part, for :meth:`index`.
+        self._end = np.where(inside, end, 0)
         want = x & ((ONE << U64(self.l)) - ONE) if self.l else np.zeros(len(x), np.uint64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            below = open_ & (self.low(np.where(open_, mid, 0)) < want)
-            lo = np.where(below, mid + 1, lo)
-            hi = np.where(open_ & ~below, mid, hi)
+        lo, hi = lo.copy(), hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            below = self.low(mid) < want[open_]
+            lo[open_[below]] = mid[below] + 1
+            hi[open_[~below]] = mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
         return np.where(inside, lo, self.n)
 
+    def index(self, x: np.ndarray) -> np.ndarray:
+        """Of each x, the index of the first number equal to it, or -1."""
+        at = self.successor(x)
+        held = np.minimum(at, max(self.n - 1, 0))
+        # Where a number has the same high part, the low parts decide; where none has, the successor's may still be equal.
+        equal = (at < self.n) & (self.low(held) == (x & ((ONE << U64(self.l)) - ONE) if self.l else U64(0)))
+        some = np.flatnonzero(equal)
+        out = np.full(len(x), -1, np.int64)
+        hit = some[at[some] < self._end[some]]
+        out[hit] = at[hit]
+        return out
+
     def arrays(self) -> list[np.ndarray]:
         return [self.lows, self.highs, self.directory]

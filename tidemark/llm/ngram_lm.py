@@ -202,10 +202,9 @@ def found(pointers: EliasFano, successors: EliasFano, context: np.ndarray, word:
     if len(some):
         b, e, w = begin[some], end[some], word[some].astype(np.uint64)
         wanted = w + np.where(b > 0, successors.access(np.maximum(b - 1, 0)) + np.uint64(1), np.uint64(0))
-        at = successors.successor(wanted)
-        held = np.minimum(at, successors.n - 1)
-        hit = (at < e) & (at >= b) & (successors.access(held) == wanted)
-        place[some[hit]] = held[hit]
+        at = successors.index(wanted)
+        hit = (at < e) & (at >= b)
+        place[some[hit]] = at[hit]
     return place, end - begin
 
 
@@ -231,7 +230,7 @@ def open_mapped(root: str, name: str) -> tuple[dict, list[np.ndarray]]:
     if not isinstance(files, pafs.LocalFileSystem):
         local = os.path.join(tempfile.mkdtemp(prefix="tidemark-lm-"), name)
         pafs.copy_files(f"{path}/{name}", local, source_filesystem=files, destination_filesystem=pafs.LocalFileSystem())
-    raw = np.memmap(local, np.uint8, "r")
+    raw = np.asarray(np.memmap(local, np.uint8, "r"))
     if local != f"{path}/{name}":
         os.remove(local)  # the mapping keeps the data
     n = struct.unpack("<q", raw[:8].tobytes())[0]
