@@ -368,9 +368,9 @@ class Reader:
         self.split = np.array(sorted(model.split), np.int64)
         self.split_sizes = np.array([model.split[k] for k in sorted(model.split)], np.int64)
 
-    def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, Level, np.ndarray]]:
-        """(number, level, where) of each shard that occurs; -1 is none."""
-        order = np.argsort(shard, kind="stable")
+    def by_shard(self, shard: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, Level, np.ndarray]]:
+        """(number, level, where) of each shard that occurs (-1 is none); within it by ``key``, so that look-ups go forward."""
+        order = np.argsort(shard.astype(np.int64) << np.int64(40) | np.maximum(key, 0))
         cuts = np.searchsorted(shard[order], np.arange(len(self.bounds) + 1))
         for k in np.unique(shard[order[cuts[0] :]]).tolist():
             if k not in self.levels:
@@ -386,7 +386,7 @@ class Reader:
         known = np.flatnonzero(context >= 0)
         key = (context[known].astype(np.uint64) << np.uint64(32)) | np.maximum(word[known], 0).astype(np.uint64)
         shard[known] = np.searchsorted(self.bounds, key, "right") - 1
-        for _, level, own in self.by_shard(shard):
+        for _, level, own in self.by_shard(shard, context):
             share[own], different[own], place[own] = level.look(context[own], word[own])
         if len(self.split):
             at = np.minimum(np.searchsorted(self.split, context), len(self.split) - 1)
@@ -419,7 +419,7 @@ class Reader:
         """Probabilities with level 3, of tokens whose pairs have the numbers ``back``, from those without."""
         left = np.ones(len(place))
         kept = np.where(place >= 0, shard, -1)
-        for _, level, own in self.by_shard(kept):
+        for _, level, own in self.by_shard(kept, place):
             left[own] = level.left(place[own])
         out = two.copy()
         # A token whose own pair is unknown can't follow a pair; a first word has none before it.
@@ -435,7 +435,7 @@ class Reader:
         first = np.empty(len(place), np.int64)
         first[back] = word
         share = np.zeros(len(after))
-        for _, level, own in self.by_shard(shard[pair]):
+        for _, level, own in self.by_shard(shard[pair], place[pair]):
             share[own] = level.look_after(place[pair[own]], first[own_pair[own]])
         out[at] += share[again]
         return out
