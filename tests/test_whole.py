@@ -10,7 +10,7 @@ from tidemark import queries as library
 from tidemark.operators import episodes, reach
 
 
-def test_graph_components_whole(spark, tmp_path):
+def test_graph_components(spark, tmp_path):
     rows = [(k, k % 25) for k in range(1, 1201)]
     path = f"file://{tmp_path}"
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{path}/customer.parquet")
@@ -24,7 +24,7 @@ def test_graph_components_whole(spark, tmp_path):
     for k, n in rows:
         a, b = sorted((find(k), find(7 * k + n)))
         root[b] = a
-    got = library.QUERIES["graph_components_whole"](spark, path).collect()
+    got = library.QUERIES["graph_components"](spark, path).collect()
     assert {r.vertex: r.component for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root) > 1200
 
 
