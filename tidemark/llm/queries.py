@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 VOCABULARY = "byte_bpe_50k"
 
@@ -96,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_simhash_near_dedup": oracles.OP2, "op8_suffix_array_dedup": oracles.OP8}
