@@ -34,6 +34,9 @@ def test_report(result, tmp_path):
     report, text = json.loads(js.read_text()), md.read_text()
     first = report["episodes"][0]
     assert first["controls"] and "removes" in first["controls"][0]["headline"] and len(first["edges"]) <= 6
+    best = first["controls"][0]
+    assert f"({best['n_paths_removed']} of {best['n_paths_before']})" in best["headline"] and best["paths_removed_pct"] == round(100 * best["paths_removed"], 1)
+    assert 0 < len(best["examples"]) <= 5 and all(len(x["path"]) == len(x["evidence"]) > 0 for x in best["examples"])
     assert all(d["does_not_prove"] and len(d["evidence"]) <= 6 for d in first["detectors"]) and len(first["detectors"]) == 4
     assert all(len(e["evidence"]) <= 4 for e in first["edges"]) and first["label"] != "no words in common"
     assert "Not shown" in text and analysis.NOTES[0] in text and first["sentence"] in text

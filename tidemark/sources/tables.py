@@ -54,6 +54,11 @@ def read_window(spark: SparkSession, path: str, start: str, end: str) -> DataFra
     return spark.read.parquet(path).where((F.col("ts") >= lit(start)) & (F.col("ts") < lit(end)))
 
 
+def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Only these columns of a cache; the scan reads no others."""
+    return spark.read.parquet(path).select(*columns)
+
+
 def drill_down(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """Turns of the wanted sessions (a table with session_id), ordered by time."""
     return turns.join(sessions.select("session_id").distinct(), "session_id", "left_semi").orderBy("created_at")

@@ -37,6 +37,9 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for name, schema in SCHEMAS.items():
         path = tables.find(spark, folder, name)
         out[name] = tables.json_lines(spark, path, schema) if path else spark.createDataFrame([], schema)
+        if name == "agent_goals":
+            place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+            out[name] = out[name].withColumn("listed", place if path else F.lit(None).cast("struct<file_path:string,file_block_start:bigint,row:bigint>"))
     return out
 
 
@@ -47,10 +50,13 @@ def resources(*texts: Column) -> Column:
 
 
 def with_goal(rows: DataFrame, goals: DataFrame, agent: str = "agent", at: str = "at", key: str = "id") -> DataFrame:
-    """Rows with ``goal_key``: the agent's goal whose interval holds the time (open where null), the last listed of several."""
-    g = goals.select(F.col("agent_id").alias("__agent"), parse_timestamp(F.col("start_time")).alias("__from"), parse_timestamp(F.col("end_time")).alias("__to"), "short_name", F.monotonically_increasing_id().alias("__nth"))
+    """Rows with ``goal_key``: the agent's goal whose interval holds the time (open where null), the last listed of several.
+
+    ``goals.listed`` orders the goals: :func:`read` sets it to the place in the file, which no partitioning changes.
+    """
+    g = goals.select(F.col("agent_id").alias("__agent"), parse_timestamp(F.col("start_time")).alias("__from"), parse_timestamp(F.col("end_time")).alias("__to"), "short_name", F.struct("listed", "short_name").alias("__nth"))
     inside = (F.col("__from").isNull() | (F.col("__from") <= F.col(at))) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
-    held = rows.select(key, agent, at).join(F.broadcast(g), (F.col(agent) == F.col("__agent")) & inside).groupBy(key).agg(F.max_by("short_name", "__nth").alias("goal_key"))
+    held = rows.select(key, agent, at).join(g, (F.col(agent) == F.col("__agent")) & inside).groupBy(key).agg(F.max_by("short_name", "__nth").alias("goal_key"))
     return rows.join(held, key, "left")
 
 
@@ -58,13 +64,14 @@ def load_window(raw: dict[str, DataFrame], start: str, end: str, max_events: int
     """The canonical frame of start <= time < end.
 
     Chat comes from the chat table and sessions from theirs; their mirrors among the actions are dropped. Names of
-    agents active in the window are looked for in texts. Lookup tables (agents, rooms, goals) are small.
+    agents active in the window are looked for in texts. Spark broadcasts the lookup tables (agents, rooms, goals) if they are
+    small enough.
     """
     c = F.col
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     cut = lambda df: df.withColumn("at", parse_timestamp(c("created_at"))).where((c("at") >= lo) & (c("at") < hi))
-    names = F.broadcast(raw["agents"].select(c("id").alias("agent"), c("name").alias("agent_name")))
-    rooms = F.broadcast(raw["chat_rooms"].select(c("id").alias("room_id"), c("name").alias("room_label")))
+    names = raw["agents"].select(c("id").alias("agent"), c("name").alias("agent_name"))
+    rooms = raw["chat_rooms"].select(c("id").alias("room_id"), c("name").alias("room_label"))
     goals = raw["agent_goals"]
     chat, sessions, actions = cut(raw["chat_messages"]), cut(raw["computer_use_sessions"]), cut(raw["events"]).select("id", "at", "event_index", "data.*")
     active = chat.select(c("agent_speaker_id").alias("agent")).unionByName(sessions.select(c("agent_id").alias("agent"))).where("agent is not null").distinct().join(names, "agent").select("agent_name").distinct()
@@ -91,7 +98,7 @@ def load_window(raw: dict[str, DataFrame], start: str, end: str, max_events: int
     table = F.create_map(*[F.lit(x) for k, v in ACTIONS.items() if v for x in (k, v)])
     a = actions.where(~F.coalesce(c("actionType").isin(*dropped), F.lit(False))).withColumn("action", F.coalesce(table[c("actionType")], F.lit("other")))
     a = a.withColumn("agent", F.coalesce(F.nullif("agentId", F.lit("")), F.nullif("speakerId", F.lit(""))))
-    a = with_goal(a.join(names, "agent", "left").join(F.broadcast(raw["chat_rooms"].select(c("id").alias("roomId"), c("name").alias("room_label"))), "roomId", "left"), goals)
+    a = with_goal(a.join(names, "agent", "left").join(rooms.withColumnRenamed("room_id", "roomId"), "roomId", "left"), goals)
     kind, text = c("actionType"), lambda x: F.coalesce(x, F.lit(""))
     answer, helper = F.coalesce(kind == "OUTREACH_APPROVAL_RESPONSE", F.lit(False)), F.coalesce(kind.isin(*HELPER), F.lit(False))
     named = F.coalesce("agent_name", "agent")
@@ -138,9 +145,34 @@ def nearby_changes(log: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def daily_activity(chat: DataFrame) -> DataFrame:
-    """(day, messages, speakers, url_messages)."""
+    """(day, messages, speakers, url_messages); a message's speaker is its agent or else its user."""
+    speaker = F.coalesce(F.nullif("agent_speaker_id", F.lit("")), F.nullif("user_speaker_id", F.lit("")))
     day = F.to_date(parse_timestamp(F.col("created_at"))).alias("day")
-    return chat.groupBy(day).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("agent_speaker_id").alias("speakers"), F.sum(F.coalesce(F.col("content").contains("http"), F.lit(False)).cast("long")).alias("url_messages"))
+    return chat.groupBy(day).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct(speaker).alias("speakers"), F.sum(F.coalesce(F.col("content").contains("http"), F.lit(False)).cast("long")).alias("url_messages"))
+
+
+def cached_daily_activity(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`daily_activity` of a slim cache of chat messages; the scan reads time and payload only."""
+    said = F.from_json("payload", "agent_speaker_id string, user_speaker_id string, content string").alias("said")
+    return daily_activity(tables.read_columns(spark, path, "ts", "payload").select(F.col("ts").cast("string").alias("created_at"), said).select("created_at", "said.*"))
+
+
+def slice_context(raw: dict[str, DataFrame], log: DataFrame, start: str, end: str, max_events: int | None = None, include_humans: bool = True) -> DataFrame:
+    """One row on a window: its bounds, whether ``max_events`` cuts it, rows of each table in it, goals and changes of the time.
+
+    Goals are in the order of their beginnings, changes in that of their days.
+    """
+    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    inside = lambda name: raw[name].withColumn("at", parse_timestamp(F.col("created_at"))).where((F.col("at") >= lo) & (F.col("at") < hi)).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    counts = reduce(DataFrame.unionByName, [inside(t) for t in ("chat_messages", "computer_use_sessions", "events")]).agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("raw_rows"))
+    goals = active_village_goals(raw, start, end).agg(F.array_sort(F.collect_list(F.struct("from", "goal"))).getField("goal").alias("active_village_goals"))
+    changes = nearby_changes(log, start, end).agg(F.array_sort(F.collect_list(F.struct("day", "body"))).alias("nearby_changes"))
+    over = F.lit(False)
+    if max_events is not None:
+        kept = load_window(raw, start, end, None, include_humans).limit(max_events + 1)
+        counts = counts.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))  # one row each, as below
+        over = F.col("kept") > max_events
+    return counts.crossJoin(goals).crossJoin(changes).select(lo.alias("window_start"), hi.alias("window_end"), over.alias("truncated_to_max_events"), "raw_rows", "active_village_goals", "nearby_changes")
 
 
 def busiest_days(activity: DataFrame, most: int = 25) -> DataFrame:

@@ -102,7 +102,7 @@ def _anonymous(ip16: Column) -> Column:
 def _actors(df: DataFrame, label: str, humans: DataFrame) -> DataFrame:
     """With actor_id and actor_type: the label, else the address; humans by the label table."""
     named = df.withColumn("actor_id", F.coalesce(F.nullif(F.col(label), F.lit("")), _anonymous(F.col("ip16"))))
-    marked = named.join(F.broadcast(humans.select(F.col("label").alias(label), F.lit(True).alias("__human"))), label, "left") if humans is not None else named.withColumn("__human", F.lit(None).cast("boolean"))
+    marked = named.join(humans.select(F.col("label").alias(label), F.lit(True).alias("__human")), label, "left") if humans is not None else named.withColumn("__human", F.lit(None).cast("boolean"))
     return marked.withColumn("actor_type", F.when(F.col("__human"), "human").otherwise("agent")).drop("__human")
 
 
@@ -174,6 +174,25 @@ def context(ev: DataFrame) -> DataFrame:
     return ev.agg(F.min("timestamp").alias("window_start"), F.max("timestamp").alias("window_end"), F.count(F.lit(1)).alias("events")).crossJoin(kinds)
 
 
+def slice_context(spark: SparkSession, folder: str, ev: DataFrame) -> DataFrame:
+    """:func:`context` with the export's own facts: pages, labels, human handles, and its gaps where it lists some.
+
+    Missing files count as empty tables.
+    """
+    table = lambda stem, schema: tables.json_lines(spark, at, schema) if (at := tables.find(spark, folder, stem)) else spark.createDataFrame([], schema)
+    pages = table("pages", PAGES).agg(F.count(F.lit(1)).alias("n_pages"))
+    human = F.array_sort(F.collect_set(F.when(F.col("is_human_handle"), F.col("label")))).alias("human_handles")
+    out = context(ev).crossJoin(pages).crossJoin(table("labels", LABELS).agg(F.count(F.lit(1)).alias("n_labels"), human))  # one row each
+    sites, gaps = f"{folder}/site-coverage.csv", f"{folder}/coverage-gaps.csv"
+    if tables.exists(spark, sites):
+        out = out.crossJoin(tables.csv_rows(spark, sites).agg(F.count(F.lit(1)).alias("coverage_sites")))
+    if tables.exists(spark, gaps):
+        listed = tables.csv_rows(spark, gaps).select(F.concat("site", F.lit(" ("), "compilation_status", F.lit(")")).alias("gap"))
+        first = listed.limit(5).agg(F.collect_list("gap").alias("coverage_gap_examples"))
+        out = out.crossJoin(listed.agg(F.count(F.lit(1)).alias("coverage_gap_sites"))).crossJoin(first)
+    return out
+
+
 def manifest_checks(spark: SparkSession, path: str) -> DataFrame:
     """(generated_at, cut, checks_ok, checks_total)."""
     m = tables.json_document(spark, path, MANIFEST)
