@@ -42,11 +42,18 @@ def _read(at: str, width: int) -> str:
     return f"CAST('0x' || substr(r, CAST(2 * (n - ({at}) - {width}) + 1 AS BIGINT), {2 * width}) AS UBIGINT)"
 
 
-def xxh64(rows: str) -> str:
-    """CTEs from ``rows``, which has the text s, to ``hashed`` (s, h): its XXH64, unsigned."""
+def _avalanche(name: str, source: str) -> str:
+    """CTEs from ``source``, whose column h is a hash in the making, to ``name`` with the finished one."""
+    mix = lambda bits: f"xor(h, h >> {bits})"
+    return f"""{name}a AS (SELECT * REPLACE ({_times(mix(33), P2)} AS h) FROM {source}), {name}b AS (SELECT * REPLACE ({_times(mix(29), P3)} AS h) FROM {name}a),
+{name} AS (SELECT * REPLACE ({mix(32)} AS h) FROM {name}b)"""
+
+
+def xxh64(rows: str, name: str = "hashed") -> str:
+    """CTEs from ``rows``, which has texts s and seeds e, to ``name`` (s, e, h): each pair's XXH64, unsigned."""
+    x = f"{name}_"
     stripe = lambda k: f"list_transform(range(n // 32), lambda i: {_read(f'i * 32 + {8 * k}', 8)})"
-    starts = (SEED + P1 + P2, SEED + P2, SEED, SEED - P1)
-    lanes = ", ".join(f"{_fold(stripe(k), _round('a', 'x'), _number(v))} AS v{k}" for k, v in enumerate(starts))
+    lanes = ", ".join(f"{_fold(stripe(k), _round('a', 'x'), _add('e', _number(v)))} AS v{k}" for k, v in enumerate((P1 + P2, P2, 0, -P1)))
     joined = _add(_add(_turn("v0", 1), _turn("v1", 7)), _add(_turn("v2", 12), _turn("v3", 18)))
     merged = "j"
     for k in range(4):
@@ -56,15 +63,26 @@ def xxh64(rows: str) -> str:
     four = _add(_times(_turn(f"xor(h, {_times(_read('n // 8 * 8', 4), P1)})", 23), P2), _number(P3))
     ones = f"list_transform(range(n % 4), lambda i: {_read('n // 4 * 4 + i', 1)})"
     one = _times(_turn(f"xor(a, {_times('x', P5)})", 11), P1)
-    mix = lambda bits: f"xor(h, h >> {bits})"
-    return f"""x0 AS (SELECT s, reverse(regexp_replace(hex(encode(s)), '(.)(.)', '\\2\\1', 'g')) AS r, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM {rows})),
-x1 AS (SELECT s, r, n, {_number(SEED + P5)} AS h FROM x0 WHERE n < 32 UNION ALL
-  SELECT s, r, n, {merged} FROM (SELECT *, {joined} AS j FROM (SELECT *, {lanes} FROM x0 WHERE n >= 32))),
-x2 AS (SELECT s, r, n, {_fold(eights, eight, _add("h", "n"))} AS h FROM x1),
-x3 AS (SELECT s, r, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM x2),
-x4 AS (SELECT s, {_fold(ones, one, "h")} AS h FROM x3),
-x5 AS (SELECT s, {_times(mix(33), P2)} AS h FROM x4), x6 AS (SELECT s, {_times(mix(29), P3)} AS h FROM x5),
-hashed AS (SELECT s, {mix(32)} AS h FROM x6)"""
+    return f"""{x}0 AS (SELECT s, e, reverse(regexp_replace(hex(encode(s)), '(.)(.)', '\\2\\1', 'g')) AS r, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s, e FROM {rows})),
+{x}1 AS (SELECT s, e, r, n, {_add("e", _number(P5))} AS h FROM {x}0 WHERE n < 32 UNION ALL
+  SELECT s, e, r, n, {merged} FROM (SELECT *, {joined} AS j FROM (SELECT *, {lanes} FROM {x}0 WHERE n >= 32))),
+{x}2 AS (SELECT s, e, r, n, {_fold(eights, eight, _add("h", "n"))} AS h FROM {x}1),
+{x}3 AS (SELECT s, e, r, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM {x}2),
+{x}4 AS (SELECT s, e, {_fold(ones, one, "h")} AS h FROM {x}3),
+{_avalanche(name, f"{x}4")}"""
+
+
+def _chained(name: str, source: str, value: str, width: int = 8) -> str:
+    """CTEs from ``source`` to ``name``: the column h becomes the hash of a number of 8 or 4 bytes with h as the seed.
+
+    Where the number is null, h stays as it is.
+    """
+    start = _add("h", _number(P5 + width))
+    first = f"xor({start}, {_round(_number(0), value)})" if width == 8 else f"xor({start}, {_times(value, P1)})"
+    then = _add(_times(_turn("h", 27), P1), _number(P4)) if width == 8 else _add(_times(_turn("h", 23), P2), _number(P3))
+    return f"""{name}_0 AS (SELECT *, h AS {name}_was FROM {source}), {name}_1 AS (SELECT * REPLACE ({first} AS h) FROM {name}_0), {name}_2 AS (SELECT * REPLACE ({then} AS h) FROM {name}_1),
+{_avalanche(f"{name}_3", f"{name}_2")},
+{name} AS (SELECT * REPLACE (coalesce(h, {name}_was) AS h) FROM {name}_3)"""
 
 
 _BITS = " + ".join(f"CASE WHEN 2 * sum(n * CAST((h >> {k}) & 1 AS BIGINT)) > sum(n) THEN CAST({1 << k} AS UHUGEINT) ELSE 0 END" for k in range(64))
@@ -72,7 +90,7 @@ _BITS = " + ".join(f"CASE WHEN 2 * sum(n * CAST((h >> {k}) & 1 AS BIGINT)) > sum
 OP2 = rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM t WHERE len(w) > 0),
 c AS (SELECT doc_id, s, count(*) AS n FROM g GROUP BY doc_id, s),
-{xxh64("c")},
+{xxh64(f"(SELECT s, {_number(SEED)} AS e FROM c)")},
 b AS (SELECT doc_id, CAST({_BITS} AS UBIGINT) AS f FROM c JOIN hashed USING (s) GROUP BY doc_id),
 f AS (SELECT doc_id, coalesce(f, CAST(0 AS UBIGINT)) AS f FROM t LEFT JOIN b USING (doc_id)),
 d AS (SELECT f, min(doc_id) AS first FROM f GROUP BY f),
@@ -94,3 +112,51 @@ q AS (SELECT d, a, b, lag(b, 1, 0) OVER (PARTITION BY d ORDER BY a) AS c FROM z)
 k AS (SELECT d, sum(b - a) AS gone, count(*) AS spans, max(b) AS rest, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS kept FROM q JOIN h USING (d) GROUP BY d)
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(rest, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k USING (d)"""
+
+
+_WORDS = 5
+_TUPLES = 32
+
+
+def _shingles() -> str:
+    """CTEs to ``s5``: of each shingle (d, pos) the hash h of its words, one after the other."""
+    out = []
+    for k in range(_WORDS):
+        out.append(xxh64(f"(SELECT w{k} AS s, h AS e FROM s{k} WHERE w{k} IS NOT NULL)", f"k{k}"))
+        out.append(f"s{k + 1} AS (SELECT p.* REPLACE (coalesce(q.h, p.h) AS h) FROM s{k} p LEFT JOIN k{k} q ON q.s = p.w{k} AND q.e = p.h)")
+    return ",\n".join(out)
+
+
+def _likeness(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range({_TUPLES}), lambda i: CASE WHEN substr({a}, 6 * i + 1, 6) = substr({b}, 6 * i + 1, 6) THEN 1 ELSE 0 END)) / CAST({_TUPLES} AS DOUBLE)"
+
+
+_HEX = "lpad(lower(hex(h & CAST(16777215 AS UBIGINT))), 6, '0')"
+
+#: Every different text is fingerprinted once, by the row number d: shingles numbered by occurrence, the three least of
+#: each bin in text order, and for a bin without any the next one that has some.
+OP7 = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS a, length(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT doc_id, a, n, left(a, n - n // 4) || left(coalesce(lead(a) OVER (ORDER BY doc_id), first_value(a) OVER (ORDER BY doc_id)), n // 4) AS b FROM t),
+v AS MATERIALIZED (SELECT row_number() OVER () AS d, x FROM (SELECT a AS x FROM u UNION SELECT b FROM u)),
+w AS (SELECT d, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM v),
+g AS (SELECT d, unnest(list_transform(range(greatest(len(w) - {_WORDS - 1}, 1)), lambda i: {{'pos': i, {", ".join(f"'w{k}': w[i + {k + 1}]" for k in range(_WORDS))}}})) AS g FROM w WHERE len(w) > 0),
+s0 AS (SELECT d, g.*, {_number(SEED)} AS h FROM (SELECT d, g FROM g)),
+{_shingles()},
+o AS (SELECT d, pos, h AS own, CAST(row_number() OVER (PARTITION BY d, h ORDER BY pos) AS UBIGINT) AS nth, {_number(SEED)} AS h FROM s5),
+{_chained("n1", "o", "own")},
+{_chained("n2", "n1", "nth")},
+r AS (SELECT d, pos, CAST(h % {_TUPLES} AS BIGINT) AS bin, h >> 28 AS r FROM n2),
+m AS (SELECT d, bin, list(r ORDER BY pos) AS l FROM (SELECT *, row_number() OVER (PARTITION BY d, bin ORDER BY xor(r, {_number(1 << 35)}), pos) AS place FROM r) WHERE place <= 3 GROUP BY d, bin),
+l AS (SELECT d, bin, l, {_number(SEED)} AS h FROM m),
+{_chained("l1", "l", "l[1]")},
+{_chained("l2", "l1", "l[2]")},
+{_chained("l3", "l2", "l[3]")},
+f AS (SELECT d, b, min((bin - b + {_TUPLES}) % {_TUPLES}) AS far, arg_min(h, (bin - b + {_TUPLES}) % {_TUPLES}) AS v FROM l3, range({_TUPLES}) AS r(b) GROUP BY d, b),
+i AS (SELECT d, b, v, far, {_number(SEED)} AS h FROM f),
+{_chained("i1", "i", "v")},
+{_chained("i2", "i1", "CAST(far AS UBIGINT)", 4)},
+p AS (SELECT d, string_agg({_HEX}, '' ORDER BY b) AS print FROM (SELECT d, b, CASE WHEN far = 0 THEN v ELSE h END AS h FROM i2) GROUP BY d),
+z AS (SELECT x, coalesce(print, repeat('------', {_TUPLES})) AS print FROM v LEFT JOIN p USING (d)),
+y AS (SELECT doc_id, n, b, own.print AS fingerprint, ed.print AS edited_fingerprint FROM u JOIN z own ON own.x = a JOIN z ed ON ed.x = b),
+c AS (SELECT *, coalesce(lead(fingerprint) OVER (ORDER BY doc_id), first_value(fingerprint) OVER (ORDER BY doc_id)) AS following FROM y)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(b) AS edited_sha256, fingerprint, edited_fingerprint, {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "following")} AS near_next FROM c"""

@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op2_simhash_near_dedup": oracles.OP2, "op8_suffix_array_dedup": oracles.OP8}
+ORACLE_SQL: dict[str, str] = {"op2_simhash_near_dedup": oracles.OP2, "op7_order_minhash": oracles.OP7, "op8_suffix_array_dedup": oracles.OP8}
