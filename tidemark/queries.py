@@ -17,9 +17,10 @@ from .sources.tables import exists
 
 #: The tables' events are spread thin: with the default thresholds hardly a pair would be left to look at.
 PLAIN = PairConfig(min_pair_score=0.12, min_edge_score=0.15)
-#: Their vectors are nearly orthogonal and their texts repeat: a lower floor, and no template rule.
-SEMANTIC = PLAIN.replace(semantic_floor=0.25, template_min_actors=1_000_000, common_cause_sim=0.2)
-#: With the template rule at its own value; SQL is not given.
+#: Their vectors are nearly orthogonal: a lower floor. Ten events share a text on average, so that with the default of
+#: three actors nearly every text would be a template: it takes ten here.
+SEMANTIC = PLAIN.replace(semantic_floor=0.25, template_min_actors=10, common_cause_sim=0.2)
+#: With the template rule at its default.
 TEMPLATES = SEMANTIC.replace(template_min_actors=PairConfig.template_min_actors)
 #: For the queries with SQL, which can't express the re-splitting of long and large components.
 EPISODES = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3, max_hours=100_000, max_agents=1_000_000)
@@ -190,7 +191,8 @@ def resource_weights(spark, sf_dir):
 
 VECTORS = """
 vec AS (SELECT rn, embedding FROM ev, (SELECT count(*) AS n FROM embeddings) c JOIN embeddings v ON v.vec_id = (k * 7 + user_id) % n),
-text_of AS (SELECT rn, trim(coalesce(text, '')) <> '' AS has_text FROM ev, (SELECT count(*) AS n FROM documents) c LEFT JOIN documents d ON d.doc_id = eid % n)
+said AS (SELECT rn, actor_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', ' ', 'g'))) AS t FROM ev, (SELECT count(*) AS n FROM documents) c LEFT JOIN documents d ON d.doc_id = eid % n),
+text_of AS (SELECT rn, t <> '' AND n < 10 AS has_text FROM said JOIN (SELECT t, count(DISTINCT actor_id) AS n FROM said GROUP BY t) USING (t))
 """
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 NEAREST = f"""
@@ -223,7 +225,7 @@ def scored_pairs(spark, sf_dir):
 
 SEM = "CASE WHEN cs.cos >= 0.25e0 THEN (cs.cos - 0.25e0) / 0.75e0 ELSE 0e0 END"
 SCORED_SEMANTIC = f"""{BASE}, {CANDIDATES}, {WEIGHTS}, {VECTORS}, {NEAREST}, {scored_sql('UNION ALL SELECT i, j, 0 FROM sp', SEM).replace(
-    "JOIN w ON w.resource = a.res", "JOIN w ON w.resource = a.res JOIN (SELECT c.i AS ci, c.j AS cj, list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cos FROM cand c JOIN vec x ON x.rn = c.i JOIN vec y ON y.rn = c.j) cs ON cs.ci = i AND cs.cj = j")}"""
+    "JOIN w ON w.resource = a.res", "JOIN w ON w.resource = a.res JOIN (SELECT c.i AS ci, c.j AS cj, CASE WHEN tx.has_text AND ty.has_text THEN list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) END AS cos FROM cand c JOIN vec x ON x.rn = c.i JOIN vec y ON y.rn = c.j JOIN text_of tx ON tx.rn = c.i JOIN text_of ty ON ty.rn = c.j) cs ON cs.ci = i AND cs.cj = j")}"""
 
 
 @query(f"{SCORED_SEMANTIC} SELECT {PAIR_COLUMNS} FROM pairs")
@@ -245,7 +247,7 @@ def rescored_pairs(spark, sf_dir):
 
 
 @query(f"""{SCORED_SEMANTIC}, hit AS (SELECT p.i, p.j, c.rn AS k, c.event_id FROM pairs p JOIN ev a ON a.rn = p.i JOIN ev c ON c.rn < p.i AND a.us - c.us <= 7200000000 AND c.actor_id <> p.src_agent AND c.actor_id <> p.dst_agent
-  JOIN text_of t ON t.rn = c.rn AND t.has_text JOIN vec vc ON vc.rn = c.rn JOIN vec va ON va.rn = p.i JOIN vec vb ON vb.rn = p.j
+  JOIN said t ON t.rn = c.rn AND t.t <> '' JOIN vec vc ON vc.rn = c.rn JOIN vec va ON va.rn = p.i JOIN vec vb ON vb.rn = p.j
   WHERE p.semantic > 0 AND list_dot_product(CAST(vc.embedding AS DOUBLE[]), CAST(va.embedding AS DOUBLE[])) >= 0.2e0 AND list_dot_product(CAST(vc.embedding AS DOUBLE[]), CAST(vb.embedding AS DOUBLE[])) >= 0.2e0
   QUALIFY row_number() OVER (PARTITION BY p.i, p.j ORDER BY c.rn DESC) <= 3)
 SELECT i, j, string_agg(event_id, ',' ORDER BY k) AS common_cause FROM hit GROUP BY i, j""")
