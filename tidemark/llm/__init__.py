@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame-in, DataFrame-out components for large text corpora.
+"""Training-data operators: thirteen DataFrame-in, DataFrame-out components for large text corpora.
 
 Nothing outside this folder (and ``corpus_pipeline.py``) imports it.
 """

@@ -160,3 +160,29 @@ z AS (SELECT x, coalesce(print, repeat('------', {_TUPLES})) AS print FROM v LEF
 y AS (SELECT doc_id, n, b, own.print AS fingerprint, ed.print AS edited_fingerprint FROM u JOIN z own ON own.x = a JOIN z ed ON ed.x = b),
 c AS (SELECT *, coalesce(lead(fingerprint) OVER (ORDER BY doc_id), first_value(fingerprint) OVER (ORDER BY doc_id)) AS following FROM y)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(b) AS edited_sha256, fingerprint, edited_fingerprint, {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "following")} AS near_next FROM c"""
+
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least_id FROM t),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(words) < 200)::INT + 2 * (100 * list_unique(words) < 50 * len(words))::INT
+  + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > least_id, FALSE)::INT AS mask FROM w LEFT JOIN lab USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c) JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT filter_order, k AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS k)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own + earlier) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0), 0) AS toxic_lost FROM h, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+#: Brute force within labels; for tables of a few thousand vectors.
+OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+u AS (SELECT k, vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.k AS i, b.k AS j FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / a.size / b.size >= 0.98 END),
+walk(i, j) AS (SELECT k, k FROM v UNION SELECT w.i, l.j FROM walk w JOIN link l ON l.i = w.j),
+comp AS (SELECT w.i, min(v.vec_id) AS component_id FROM walk w JOIN v ON v.k = w.j GROUP BY 1),
+deg AS (SELECT i, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, FALSE) AS kept FROM v JOIN comp ON comp.i = v.k LEFT JOIN deg ON deg.i = v.k"""

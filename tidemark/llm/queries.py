@@ -10,6 +10,7 @@ from . import oracles
 
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 VOCABULARY = "byte_bpe_50k"
+PIECES = "piece_bpe_32k.model"
 
 
 def _path(suffix: str) -> str:
@@ -84,6 +85,26 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), _path(".tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import align
+
+    return align(_documents(spark, sf_dir), _path(".json"), public_tokenizers.path(PIECES))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import groups
+
+    return groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -95,7 +116,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op2_simhash_near_dedup": oracles.OP2, "op7_order_minhash": oracles.OP7, "op8_suffix_array_dedup": oracles.OP8}
+ORACLE_SQL: dict[str, str] = {
+    "op2_simhash_near_dedup": oracles.OP2,
+    "op7_order_minhash": oracles.OP7,
+    "op8_suffix_array_dedup": oracles.OP8,
+    "op11_filter_audit": oracles.OP11,
+    "op13_vector_dedup": oracles.OP13,
+}
