@@ -32,6 +32,8 @@ from . import base, packing, segments, token_counts
 
 #: What sentencepiece writes for a space.
 SPACE = "▁"
+#: Bytes of text in a block; a longer text makes a block of its own.
+BLOCK_BYTES = 4 << 20
 #: Links of a group that are written out; those of a larger one are counted by distinct ids first.
 WRITTEN = 1024
 NOTHING = np.zeros(0, np.int64)
@@ -272,7 +274,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
         from pyspark import TaskContext
 
         own, task = aligner(a_path, b_path), TaskContext.get().partitionId()
-        for k, batch in enumerate(base.slices(batches)):
+        for k, batch in enumerate(base.slices(batches, most=BLOCK_BYTES)):
             yield _block(own, batch.column("doc_id"), base.text_of(batch), (task << 32) + k)
 
     picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
