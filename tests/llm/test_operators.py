@@ -306,13 +306,23 @@ def plain_spans(text):
     return sorted((m.start(), k, m.end(), kind) for k, (p, kind, g, least) in enumerate(PATTERNS) for m in p.finditer(text or "") if len(m[g]) >= least)
 
 
+def plain_allowed(body):
+    """Walks from filler to filler, each at most four characters after the last."""
+    if len(body) <= 48 and re.search(secrets.WORDS.replace("}+", "}"), body, re.I):
+        return True
+    unit, at, seen = re.compile(rf"(?:{secrets.WORDS.replace('}+', '}')})|(.{{1,6}}?)\1{{3,}}", re.I), 0, False
+    while found := next((m for k in range(5) if (m := unit.match(body, at + k))), None):
+        at, seen = found.end(), True
+    return seen and len(body) - at <= 4
+
+
 def plain_entropy(text):
     c = secrets.CLASSES
     out = []
     for k, x in enumerate(c):
         for m in re.finditer(x.pattern, text or ""):
             body = m[0]
-            if re.search(secrets.ALLOW.replace("(?i)", "", 1), body, re.I) or any(s < m.end() and m.start() < e for s, _, e, _ in plain_spans(text)):
+            if plain_allowed(body) or any(s < m.end() and m.start() < e for s, _, e, _ in plain_spans(text)):
                 continue
             windows = [Counter(body[i : i + x.window]) for i in range(len(body) - x.window + 1)]
             if max((-sum(n / x.window * math.log2(n / x.window) for n in w.values()) for w in windows), default=0) >= x.bits - 1e-9:

@@ -4,6 +4,8 @@ import random
 import string
 import time
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import secrets
 
 RSA = "AAAAB3NzaC1yc2EAAAADAQABAAABgQC7vTq9Lk2xWf8RzYpM4dHs6JnQe1UbXo3GcVaKi5tE0yZrPwNDlFhSuBm"
@@ -62,3 +64,49 @@ def test_many_secrets_in_one_text(spark):
     assert tuple(got.columns) == columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "".join(want), "b", "a", "r", "w", 3), (2, None, "b", None, "r", "w", 3), (2, "", "b", None, "r", "w", 3)], key=str)
     assert secrets.scan(df, columns).columns == ["doc_id", "text", "raw", "row", "k1", "base", "added"]
+
+
+def test_suppressed_runs_of_any_length(spark):
+    """What filler makes up is suppressed, however much of it there is; one secret inside it is not."""
+    rng = random.Random(8)
+    unit = lambda n: "".join(rng.choice(["Example1-", "Placeholder2_", "changeMe0/", "0123456789Zy-", "Aa1Aa1Aa1Aa1Aa1"]) for _ in range(n))
+    short, long = [unit(3 + k) for k in range(20)], [unit(390), unit(405), unit(12_000), "Aa1" * 40_000]
+    key = "k9Qz7LmX2vBn4TgY8RwE1sUd6HjPa3Cf0"
+    texts = [f"see {x} here" for x in short + long] + [f"see {x}{key}{x} here" for x in long]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(short + long)
+    assert [got[k] for k in range(n)] == [""] * n
+    assert [got[n + k] for k in range(len(long))] == [f"entropy64:4:{4 + 2 * len(x) + len(key)}" for x in long]
+
+
+def _busy(rng, n):
+    """As many secrets as candidates, some of which overlap."""
+    random_text = lambda k: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(k))
+    return " ".join(f"token={random_text(8)} {random_text(24)}" if k % 7 else f"x{random_text(12)}+AKIA{'A1B2C3D4E5F6G7H8'}" for k in range(n))
+
+
+def test_search_keeps_what_a_comparison_of_all_pairs_keeps(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 8)))
+        mine = [(a, 9, b, "c") for a, b in zip(cuts[::2], cuts[1::2])]
+        taken = [(a, rng.randint(0, 2), a + rng.randint(1, 9), "t") for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        rows.append((k, mine, taken))
+    span = "array<struct<start:int,kind:int,end:int,body:string>>"
+    df = spark.createDataFrame(rows, f"k long, mine {span}, taken {span}")
+    got = {r.k: [tuple(x) for x in r.kept] for r in df.select("k", secrets.apart(F.col("mine"), F.col("taken")).alias("kept")).collect()}
+    assert got == {k: [x for x in mine if not any(t[0] < x[2] and x[0] < t[2] for t in taken)] for k, mine, taken in rows}
+
+
+def test_time_grows_with_the_secrets_of_a_text(spark):
+    """Twice the secrets and candidates in one text take about twice as long, up to 50,000 of each."""
+    rng = random.Random(10)
+    texts = {n: _busy(rng, n) for n in (500, 25_000, 50_000)}
+    took = {}
+    for n, text in texts.items():
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        secrets.digest(df).collect()
+        took[n] = time.time() - began
+    assert took[50_000] <= 2.2 * took[25_000] + 2, took

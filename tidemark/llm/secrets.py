@@ -7,8 +7,8 @@ the entering and removing the leaving one, and with them the sum of c*log2(c) fr
 candidate is reported if the largest entropy of any window reaches the class's bound and no allow rule holds.
 
 Everything happens within a row: no shuffle, no Python. The steps grow with the text, not with its square: characters
-are split into an array once, counts of a window are packed into a few long numbers, lists grow by chunks, and a
-redacted text is put together from blocks.
+are split into an array once, counts of a window are packed into a few long numbers, offsets are running totals in
+blocks, candidates find base spans by binary search, and a redacted text is put together from blocks.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ KINDS = ("assign", "access", "hex")
 #: characters, in which no other could be long enough either. What they find needs no further test.
 ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
 HEX_LONG = r"[0-9a-f]{24,}"
-#: Elements by which a list grows within a row, and code points of a block of a text.
-CHUNK = 128
+#: Running totals are taken in blocks of 2 ** FAN_BITS elements; code points of a block of a text.
+FAN_BITS = 6
 BLOCK = 4096
 
 
@@ -60,10 +60,51 @@ CLASSES = (
     CharacterClass("uuid", "0123456789abcdefABCDEF-", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])", 36, 20, 2.9),
 )
 WORDS = r"example|placeholder|changeme|your[_-]?(?:key|token|secret)|x{6,}+|0123456789|abcdefghij(?:klmnopqrstuvwxyz)?|qwertyuiop|deadbeef|lorem"
-#: Suppressed candidates: of at most 48 characters with a placeholder, and those that placeholders, runs that count up
-#: and short units repeated four times or more make up but for 4 characters between any two (their entropy is high, their
-#: information low). Anything longer that only contains such a part is reported.
-ALLOW = rf"(?i)^(?:(?=.{{1,48}}$).*?(?:{WORDS})|(?>.{{0,4}}?(?:{WORDS}|(.{{1,6}}?)\1{{3,}}+)){{1,400}}+.{{0,4}}$)"
+#: Parts of a candidate that say nothing: placeholders, runs that count up, short units repeated four times or more.
+FILLER = rf"(?i)(?:{WORDS})|(.{{1,6}}?)\1{{3,}}+"
+#: No character of a candidate; and as many others in a row as may stand beside filler.
+GONE, STRAY = "\x00", 4
+
+
+SPAN = "struct<start:int,kind:int,end:int,body:string>"
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: it becomes the variable of a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def running(values: Column, step, zero: Column) -> Column:
+    """What ``step`` (a sum or maximum) makes of all values before each one, in three levels of blocks of ``FAN``.
+
+    A fold over the array that carried its results along would copy them at every step.
+    """
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, zero, step)
+
+    def blocks(xs: Column) -> Column:
+        last = F.greatest(F.shiftright(F.size(xs) - 1, FAN_BITS), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(xs, F.shiftleft(i, FAN_BITS) + 1, F.lit(1 << FAN_BITS))))
+
+    def over(xs: Column, earlier: Column) -> Column:
+        inside = lambda i: i.bitwiseAND(F.lit((1 << FAN_BITS) - 1))
+        return F.transform(xs, lambda _, i: step(F.get(earlier, F.shiftright(i, FAN_BITS)), fold(F.slice(xs, i - inside(i) + 1, inside(i)))))
+
+    def levels(xs: Column) -> Column:
+        top = lambda b2: F.transform(b2, lambda _, i: fold(F.slice(b2, F.lit(1), i)))
+        middle = lambda b1: bound(blocks(b1), lambda b2: bound(top(b2), lambda p2: over(b1, p2)))
+        return bound(bound(blocks(xs), middle), lambda p1: over(xs, p1))
+
+    return bound(values, levels)
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -72,23 +113,17 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("whole"), bodies.alias("body"))
-    struct = "struct<start:int,kind:int,end:int,body:string>"
-    none = F.array().cast(f"array<{struct}>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{struct}>>").alias("full"), none.alias("part"))
+    long = lambda x: F.coalesce(F.length(x["whole"]), F.lit(0))  # noqa: E731  null after the last match
+
+    def placed(met: Column, before: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            begin = F.get(before, i) + x["gap"]
+            return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + long(x)).alias("end"), x["body"].alias("body")).cast(SPAN)
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["body"].alias("body")).cast(struct))
-        good = F.coalesce(F.length(x["body"]) >= least, F.lit(False))  # null after the last match
-        full = F.size(state["part"]) >= CHUNK
-        return F.struct(
-            end.alias("at"), F.when(good & full, F.concat(state["full"], F.array(state["part"]))).otherwise(state["full"]).alias("full"),
-            F.when(~good, state["part"]).when(full, one).otherwise(F.concat(state["part"], one)).alias("part"),
-        )
+        return F.filter(F.transform(met, span), lambda x: F.coalesce(F.length(x["body"]) >= least, F.lit(False)))
 
-    found = F.aggregate(zipped, start, step, lambda s: F.flatten(F.concat(s["full"], F.array(s["part"]))))
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
+    found = bound(zipped, lambda met: bound(running(F.transform(met, lambda x: x["gap"] + long(x)), _sum, F.lit(0)), lambda before: placed(met, before)))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def largest_entropy(body: Column, c: CharacterClass) -> Column:
@@ -125,7 +160,44 @@ def largest_entropy(body: Column, c: CharacterClass) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda st: F.log2(F.lit(float(w))) - st["low"] / w)
 
     places = F.transform(F.split(body, ""), lambda ch: F.position(ch, F.lit(c.alphabet)) - 1)
-    return F.get(F.transform(F.array(places), largest), F.lit(0))  # the one element makes the array a variable, computed once
+    return bound(places, largest)
+
+
+def allowed(body: Column, words: str = WORDS, filler: str = FILLER) -> Column:
+    """Whether a candidate is suppressed: it has at most 48 characters and a placeholder, or filler makes it up but for
+    ``STRAY`` characters between any two pieces of it and at either end (its entropy may be high, its information is low).
+
+    Anything longer that only contains such a part is reported; no rule depends on how many pieces there are.
+    """
+    rest = F.regexp_replace(body, filler, GONE)
+    short = (F.length(body) <= 48) & F.rlike(body, F.lit(f"(?i){words}"))
+    return short | (F.contains(rest, F.lit(GONE)) & ~F.rlike(rest, F.lit(f"[^{GONE}]{{{STRAY + 1}}}")))
+
+
+def apart(candidates: Column, taken: Column) -> Column:
+    """The candidates that overlap no span of ``taken``.
+
+    Of the spans that start before a candidate's end (a binary search by start) the one that reaches farthest decides.
+    """
+
+    def free(x: Column, starts: Column, reach: Column) -> Column:
+        def halve(state: Column, _: Column) -> Column:
+            middle = F.shiftright(state["low"] + state["high"], 1)
+            go = state["low"] < state["high"]
+            right = F.get(starts, middle) < x["end"]
+            return F.struct(F.when(go & right, middle + 1).otherwise(state["low"]).alias("low"), F.when(go & ~right, middle).otherwise(state["high"]).alias("high"))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
+        before = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(starts).alias("high")), halve, lambda s: s["low"])
+        return F.get(reach, before) <= x["start"]
+
+    def searched(ordered: Column) -> Column:
+        starts, ends = F.transform(ordered, lambda x: x["start"]), F.transform(ordered, lambda x: x["end"])
+        farthest = running(F.concat(ends, F.array(F.lit(0))), _larger, F.lit(-1))
+        return bound(starts, lambda s: bound(farthest, lambda r: F.filter(candidates, lambda x: free(x, s, r))))
+
+    found = bound(F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), searched)
+    return F.when((F.size(candidates) == 0) | (F.size(taken) == 0), candidates).otherwise(found)
 
 
 def _random(c: CharacterClass):
@@ -139,7 +211,7 @@ def joined(array: Column, names: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _scanned(rows: DataFrame, text: str, base: str, added: str, classes: tuple[CharacterClass, ...], allow: str) -> DataFrame:
+def _scanned(rows: DataFrame, text: str, base: str, added: str, classes: tuple[CharacterClass, ...], words: str = WORDS, filler: str = FILLER) -> DataFrame:
     """``rows`` with the columns ``base`` and ``added`` for their column ``text``."""
     t = F.col(text)
     patterns = ((ASSIGN, 2), (ACCESS_LONG, 0), (HEX_LONG, 0))
@@ -147,23 +219,22 @@ def _scanned(rows: DataFrame, text: str, base: str, added: str, classes: tuple[C
     parts = []
     for k, c in enumerate(classes):
         candidates = spans(t, c.pattern, len(KINDS) + k, least=c.least)
-        free = F.filter(candidates, lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        wanted = F.filter(free, lambda x: ~F.rlike(x["body"], F.lit(allow)))
+        wanted = F.filter(apart(candidates, F.col(base)), lambda x: ~allowed(x["body"], words, filler))
         parts.append(F.filter(wanted, _random(c)))
     return found.withColumn(added, F.concat(*parts))
 
 
-def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, words: str = WORDS, filler: str = FILLER) -> DataFrame:
     """Return ``carry``, ``base`` and ``added``: arrays of spans (start, kind, end, body), offsets in code points.
 
     ``base`` are the three patterns' matches (kind 0 to 2), each kind leftmost and non-overlapping, never suppressed;
-    ``added`` are high-entropy candidates (kind 3 on) that overlap no base span and no allow rule holds for. A null
+    ``added`` are high-entropy candidates (kind 3 on) that overlap no base span and that aren't :func:`allowed`. A null
     text counts as empty and has neither; ids may be null or repeated; an empty table gives an empty result. A carried
     column called ``base`` or ``added`` gives way to the result's; no other name is reserved.
     """
     carry = tuple(c for c in carry if c.lower() not in ("base", "added"))
     rows = docs.select(common.packed(carry, docs).alias("row"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    return _scanned(rows, "text", "base", "added", classes, allow).select(*common.unpacked(carry), "base", "added")
+    return _scanned(rows, "text", "base", "added", classes, words, filler).select(*common.unpacked(carry), "base", "added")
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -185,24 +256,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_column: str = "doc_id", t
     """
     names = docs.columns
     rows = docs.select(common.packed(names, docs).alias("row"), docs[text_column].cast("string").alias("raw"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    s = _scanned(rows, "text", "base", "added", CLASSES, ALLOW)
+    s = _scanned(rows, "text", "base", "added", CLASSES)
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    span = "struct<start:int,end:int>"
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<array<{span}>>").alias("full"), F.array().cast(f"array<{span}>").alias("part"))
-
-    def gap(state: Column, x: Column) -> Column:
-        """Collect what lies between the spans: from the largest end so far to this start."""
-        fresh, full = x["start"] >= state["at"], F.size(state["part"]) >= CHUNK
-        one = F.array(F.struct(F.greatest(state["at"], F.lit(0)).alias("start"), x["start"].alias("end")))
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.when(fresh & full, F.concat(state["full"], F.array(state["part"]))).otherwise(state["full"]).alias("full"),
-            F.when(~fresh, state["part"]).when(full, one).otherwise(F.concat(state["part"], one)).alias("part"),
-        )
-
-    def last(state: Column) -> Column:
-        end = F.array(F.struct(state["at"].alias("start"), F.length("text").alias("end")))
-        return F.flatten(F.concat(state["full"], F.array(state["part"]), F.array(end)))
+
+    def gaps(spans_: Column) -> Column:
+        """What lies between the spans: from the largest end so far to the next start, and to the end of the text."""
+        ends = F.concat(F.transform(spans_, lambda x: x["end"]), F.array(F.lit(0)))
+        starts = F.concat(F.transform(spans_, lambda x: x["start"]), F.array(F.length("text")))
+        between = lambda until: F.zip_with(until, starts, lambda a, b: F.struct(F.greatest(a, F.lit(0)).alias("start"), b.alias("end"), (b >= a).alias("fresh")))
+        return F.filter(between(running(ends, _larger, F.lit(-1))), lambda x: x["fresh"])
 
     def put_together(blocks: Column) -> Column:
         """The gaps' texts with marks between them, each from the blocks it touches."""
@@ -214,9 +276,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_column: str = "doc_id", t
             between = F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
             return F.when(x["start"] == x["end"], "").when(a == b, inside).otherwise(F.concat(head, between, tail))
 
-        return F.array_join(F.transform(F.aggregate(ordered, start, gap, last), kept), mark)
+        return F.array_join(F.transform(bound(ordered, gaps), kept), mark)
 
     blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    clean = F.get(F.transform(F.array(blocks), put_together), F.lit(0))
+    clean = bound(blocks, put_together)
     result = s.withColumn("text", F.when(F.size(F.concat("base", "added")) > 0, clean).otherwise(F.col("raw")))
     return result.select(*[F.col("text").alias(c) if c == text_column else x for c, x in zip(names, common.unpacked(names), strict=True)])
