@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,8 +105,32 @@ def test_kept_text_has_whole_characters(spark):
 def test_blocks_don_t_change_pieces(monkeypatch):
     rng = random.Random(1)
     data = bytes(rng.randrange(97, 100) for _ in range(5000))
-    whole = suffix_dedup.pieces(data, 40, 9)
+    by_window = lambda p: [x for c in p for n, a, times in c[[1, 3, 6]].T.tolist() for x in [a] * n * times]
+    whole = by_window(suffix_dedup.pieces(data, 40, 9))
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
-    parts = suffix_dedup.pieces(data, 40, 9)
-    by_window = lambda p: [a for n, a in zip(p[1].tolist(), p[3].tolist()) for _ in range(n)]
-    assert by_window(whole) == by_window(parts) and len(by_window(whole)) == 5000 - 39
+    assert whole == by_window(suffix_dedup.pieces(data, 40, 9)) and len(whole) == 5000 - 39
+
+
+def test_texts_that_repeat_themselves_take_bounded_memory(monkeypatch):
+    """Equal pieces that follow each other are one row, and memory depends on the block, not on the text."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 16)
+    for unit in (b"a", b"abcdefg"):
+        peaks = []
+        for size in (1 << 18, 1 << 20):
+            data = unit * (size // len(unit))
+            tracemalloc.start()
+            found = [(c.shape[1], int((c[1] * c[6]).sum())) for c in suffix_dedup.pieces(data)]
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert sum(n for _, n in found) == len(data) - 399 and max(n for n, _ in found) < 100
+        assert peaks[1] < 25e6 and peaks[1] < 1.2 * peaks[0], (unit, peaks)
+
+
+def test_repetitive_texts_are_cut_exactly(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = ["a" * 900, "abcdefg" * 70 + noise(30), noise(20) + "abcdefg" * 30 + noise(9) + "abcdefg" * 9, noise(50) + "xy" * 8, "xyz" * 6, noise(100) * 2, "b" * 21, "a" * 19 + noise(5)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)], SCHEMA)
+    for length, gram in ((20, 8), (20, 20), (24, 3)):
+        compare(df, length, gram)
+        compare(df, length, gram, shard_bytes=500, hot_bytes=60)

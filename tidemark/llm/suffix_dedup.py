@@ -45,8 +45,10 @@ SHARD_BYTES = 8 << 20
 HOT_BYTES = 1 << 20
 #: Places of the anchor in a window that make a block when an anchor is split.
 SPLIT = 32
-#: Window starts of a text that are handled at a time.
-BLOCK = 1 << 22
+#: Window starts of a text that are handled at a time, pieces that are hashed at a time, and that are passed on at a time.
+BLOCK = 1 << 20
+DIGESTED = 1 << 12
+EMITTED = 1 << 18
 #: Parts a shard's text: no byte of UTF-8.
 SEPARATOR = 0xFF
 _POSITION_BITS = 24
@@ -98,22 +100,30 @@ def digests(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
 
 
-def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(start, windows, place of the anchor, anchor, piece hash) of all pieces of a text; none if it is shorter than a window."""
-    parts = []
+def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
+    """Of each block of a text's windows its pieces, a column each: start, windows, place of the anchor, anchor, the two
+    halves of the piece's hash, and how often the piece follows itself at once; none of a text shorter than a window.
+
+    In a text that repeats itself every few bytes, equal pieces follow each other; such a run is one column. Memory is
+    bounded by the block.
+    """
     for begin in range(0, max(len(data) - length + 1, 0), BLOCK):
-        block = np.frombuffer(data[begin : begin + BLOCK + length - 1], np.uint8)
-        h = gram_hashes(block, gram)
+        block = data[begin : begin + BLOCK + length - 1]
+        h = gram_hashes(np.frombuffer(block, np.uint8), gram)
         place = np.arange(len(h), dtype=np.uint64)
         low = sliding_minimum(h >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | place, length - gram + 1)
         at = (low & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        parts.append((starts + begin, np.diff(np.append(starts, len(at))), at[starts] - starts, h[at[starts]].view(np.int64)))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros((0, 2), np.int64)
-    start, windows, lead, anchor = (np.concatenate(p) for p in zip(*parts, strict=True))
-    return start, windows, lead, anchor, digests([data[a : a + w + length - 1] for a, w in zip(start.tolist(), windows.tolist(), strict=True)])
+        windows = np.diff(np.append(starts, len(at)))
+        anchor = h[at[starts]].view(np.int64)
+        del low, place, h
+        hashes = np.zeros((len(starts), 2), np.int64)
+        for k in range(0, len(starts), DIGESTED):
+            part = slice(k, k + DIGESTED)
+            hashes[part] = digests([block[a : a + w + length - 1] for a, w in zip(starts[part].tolist(), windows[part].tolist(), strict=True)])
+        columns = np.stack([starts + begin, windows, at[starts] - starts, anchor, hashes[:, 0], hashes[:, 1]])
+        fresh = np.flatnonzero(np.concatenate([[True], (columns[1:, 1:] != columns[1:, :-1]).any(0)]))
+        yield np.concatenate([columns[:, fresh], np.diff(np.append(fresh, columns.shape[1]))[None, :]])
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...], id_column: str, text_column: str) -> DataFrame:
@@ -127,18 +137,25 @@ def keyed(docs: DataFrame, carry: tuple[str, ...], id_column: str, text_column:
 
 
 def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """All pieces of all texts: k1, k2, start, windows, lead (place of the anchor), anchor, p1, p2 (hash of the piece)."""
+    """All pieces of all texts: k1, k2, start, windows, lead (place of the anchor), anchor, p1, p2 (hash of the piece), times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            found = [pieces(t.encode(), length, gram) for t in base.text_of(batch).to_pylist()]
-            n = [len(f[0]) for f in found]
-            hashes = np.concatenate([f[4] for f in found])
-            columns = [np.repeat(k1, n), np.repeat(k2, n), *(np.concatenate([f[i] for f in found]) for i in range(4)), hashes[:, 0].copy(), hashes[:, 1].copy()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    names = ["k1", "k2", "start", "windows", "lead", "anchor", "p1", "p2"]
+            held, n = [], 0
+            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), base.text_of(batch).to_pylist(), strict=True):
+                for own in pieces(text.encode(), length, gram):
+                    held.append(np.concatenate([np.array([[k1], [k2]], np.int64).repeat(own.shape[1], 1), own]))
+                    n += own.shape[1]
+                    if n >= EMITTED:
+                        yield emitted(held)
+                        held, n = [], 0
+            if held:
+                yield emitted(held)
+
+    def emitted(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(held, 1)], names)
+
+    names = ["k1", "k2", "start", "windows", "lead", "anchor", "p1", "p2", "times"]
     return rows.select("k1", "k2", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -277,11 +294,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """
     spark = rows.sparkSession
     found = base.stored(occurrences(rows, length, gram), "pieces")
-    often = base.stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    often = base.stored(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
     again = base.stored(found.join(often, "anchor"), "repeated-pieces")
     for done in (found, often):
         delete(spark, done.scratch_path)
-    counted = again.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "windows", "lead")).alias("at"))
+    counted = again.groupBy(*PIECE).agg(F.sum("times").alias("copies"), F.min(F.struct("k1", "k2", "start", "windows", "lead")).alias("at"))
     different = base.stored(counted.select(*PIECE, "copies", "at.*"), "different-pieces")
     with shared.recorded() as made:
         cuts, more, total = shared_cuts(spark, rows, different, length, hot_bytes)
@@ -290,8 +307,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         compared = base.stored(sort_shards(with_data(rows, cuts, length).repartition(shards, "shard"), length), "compared-pieces")
     longs = lambda c: F.array(c.cast("bigint"))
     spans = compared.unionByName(different.where("copies > 1").select(*PIECE, longs(F.lit(0)).alias("begins"), longs(F.col("windows") + (length - 1)).alias("ends")))
-    hits = again.join(spans if more is None else spans.unionByName(more), list(PIECE))
-    moved = F.transform(F.arrays_zip("begins", "ends"), lambda s: F.struct((F.col("start") + s["begins"]).alias("begin"), (F.col("start") + s["ends"]).alias("end")))
+    hits = again.drop("lead").join(spans if more is None else spans.unionByName(more), list(PIECE))
+    # A piece that follows itself is repeated as a whole, and so is the run.
+    further = (F.col("times") - 1) * F.col("windows")
+    moved = F.transform(F.arrays_zip("begins", "ends"), lambda s: F.struct((F.col("start") + s["begins"]).alias("begin"), (F.col("start") + s["ends"] + further).alias("end")))
     out = base.stored(hits.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeated-spans")
     for path in (again.scratch_path, different.scratch_path, *made):
         delete(spark, path)
