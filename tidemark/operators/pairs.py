@@ -8,10 +8,20 @@ residual conditions; touches of a resource are numbered and meet in blocks of th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.frame import COMPONENTS, READ_ONLY, PairConfig
+from ..plans.shared import delete, ship, stored
+
+#: Cosines that agree in so many places count as equal, whatever the order of adding; the earlier row then goes first.
+TIE_DIGITS = 9
+#: Rows of a later and of an earlier side that a matrix product takes at a time.
+TILE, SPAN = 256, 4096
+#: Rows of a block that is searched for common causes, and pairs that are held against it in one task.
+CAUSE_ROWS, CAUSE_PAIRS = 1024, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -95,20 +105,67 @@ def inbox_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     return earlier.join(later, on & (F.col("i") > F.col("prev")) & (F.col("j") - F.col("i") <= cfg.inbox_rows)).select("i", "j")
 
 
+def nearest(later: pa.Table, earlier: pa.Table, window_us: int, reach: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in ``later``, places in ``earlier``, cosine) of the ``most`` nearest rows in each later row's window.
+
+    ``earlier`` is sorted by row. Products are taken tile by tile; what is best so far is merged with the best of the next
+    tile, so that memory doesn't depend on the window.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    a, b = (np.stack(t.column("emb").to_numpy()) if len(t) else np.zeros((0, 1)) for t in (later, earlier))
+    (j, us_j), (i, us_i) = ((t.column("rn").to_numpy(), t.column("us").to_numpy()) for t in (later, earlier))
+    for x in range(0, len(later), TILE):
+        rows = slice(x, x + TILE)
+        best = np.full((len(j[rows]), 0), -np.inf)
+        at = np.zeros((len(j[rows]), 0), np.int64)
+        for y in range(0, len(earlier), SPAN):
+            span = slice(y, y + SPAN)
+            sim = a[rows].astype(np.float64) @ b[span].astype(np.float64).T
+            ahead = j[rows, None] - i[None, span]
+            sim[(ahead < 1) | (ahead > reach) | (us_j[rows, None] - us_i[None, span] > window_us)] = -np.inf
+            best = np.concatenate([best, sim], 1)
+            at = np.concatenate([at, np.broadcast_to(np.arange(y, y + sim.shape[1]), sim.shape)], 1)
+            if best.shape[1] > most:  # the best, of equal ones the first
+                value = np.round(best, TIE_DIGITS)
+                least = -np.partition(-value, most - 1, 1)[:, most - 1 : most]
+                more, equal = value > least, value == least
+                kept = more | (equal & (np.cumsum(equal, 1) <= most - more.sum(1, keepdims=True)))
+                best, at = best[kept].reshape(-1, most), at[kept].reshape(-1, most)
+        order = np.lexsort((at, -np.round(best, TIE_DIGITS)), axis=1)
+        best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
+        row, place = np.nonzero(best > -np.inf)
+        out.append((row + x, at[row, place], best[row, place]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([o[k] for o in out] or [none]) for k in range(3))
+
+
 def semantic_pairs(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     """(i, j, sim): of the 3k nearest rows of the window the first k by another actor with ``semantic_floor`` or more.
 
-    Slots are taken before actors and eligibility are looked at: the 3k nearest may hold the actor's own rows.
+    Slots are taken before actors and eligibility are looked at: the 3k nearest may hold the actor's own rows. Rows are
+    dealt into blocks of ``max_window_events``: a row is compared with those of its own block and the one before, so that
+    each vector is sent twice, and a group has two blocks at most, however busy a time is. Rows without a vector are left
+    out; vectors of different lengths never meet.
     """
-    extra = lambda s: [F.col("emb").alias(f"emb_{s}"), F.col("actor_id").alias(f"actor_{s}")]
-    earlier, _ = _sides(ev, cfg, extra("i"), [])
-    _, later = _sides(ev.where("has_text"), cfg, [], extra("j"))
-    joined = earlier.join(later, _met(earlier, later) & _within(cfg))
-    near = joined.select("i", "j", dot(F.col("emb_i"), F.col("emb_j")).alias("sim"), (F.col("actor_i") != F.col("actor_j")).alias("other"))
-    best = Window.partitionBy("j").orderBy(F.desc("sim"), "i")
-    near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 3 * cfg.semantic_top_k)
-    near = near.where(F.col("other") & (F.col("sim") >= cfg.semantic_floor)).withColumn("nth", F.row_number().over(best))
-    return near.where(F.col("nth") <= cfg.semantic_top_k).select("i", "j", "sim")
+    ship(ev.sparkSession)
+    block = F.floor(F.col("rn") / cfg.max_window_events)
+    asks = F.coalesce(F.col("has_text"), F.lit(False)) & F.col("actor_type").isin(*cfg.actor_types)
+    rows = ev.where("emb is not null").select("rn", "us", "actor_id", "emb", F.size("emb").alias("width"), asks.alias("asks"), F.explode(F.array(block, block + 1)).alias("block"), block.alias("home"))
+    slots, keep, floor, window, reach = 3 * cfg.semantic_top_k, cfg.semantic_top_k, cfg.semantic_floor, cfg.window_us, cfg.max_window_events
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rn")
+        home = group.column("home").to_numpy() == group.column("block").to_numpy()
+        later = group.filter(pa.array(home & group.column("asks").to_numpy(zero_copy_only=False).astype(bool)))
+        row, at, sim = nearest(later, group, window, reach, slots)
+        who, asker = group.column("actor_id").to_numpy(zero_copy_only=False), later.column("actor_id").to_numpy(zero_copy_only=False)
+        good = np.flatnonzero((sim >= floor) & (who[at] != asker[row])) if len(row) else np.zeros(0, np.int64)
+        first = np.searchsorted(row[good], row[good]) if len(good) else good  # rows come in order, best first
+        good = good[np.arange(len(good)) - first < keep]
+        i, j = group.column("rn").to_numpy(), later.column("rn").to_numpy()
+        return pa.table({"i": pa.array(i[at[good]], pa.int64()), "j": pa.array(j[row[good]], pa.int64()), "sim": pa.array(sim[good], pa.float64())})
+
+    return rows.groupBy("block", "width").applyInArrow(compare, "i long, j long, sim double")
 
 
 def resource_weights(ev: DataFrame, cfg: PairConfig) -> DataFrame:
@@ -124,6 +181,15 @@ def resource_weights(ev: DataFrame, cfg: PairConfig) -> DataFrame:
     return counted.join(F.broadcast(total)).select("resource", "n_agents", (base * crowd * room).alias("weight"))  # one row
 
 
+def weighted_resources(ev: DataFrame, eligible: DataFrame, cfg: PairConfig) -> DataFrame:
+    """(rn, weighted): what each event that can be a source touches, as array<struct<resource, weight>>.
+
+    Weights come to events, not to pairs, which are many more.
+    """
+    touch = eligible.where(~F.col("action_type").isin(*READ_ONLY)).select("rn", F.explode("res").alias("resource"))
+    return touch.join(resource_weights(ev, cfg).select("resource", "weight"), "resource").groupBy("rn").agg(F.collect_list(F.struct("resource", "weight")).alias("weighted"))
+
+
 def candidates(ev: DataFrame, cfg: PairConfig, semantic: bool) -> DataFrame:
     """(i, j, addressed): every proposal of any generator, once."""
     plain = resource_pairs(ev, cfg).select("i", "j", F.lit(0.0).alias("addressed"))
@@ -149,7 +215,8 @@ def score_pairs(ev: DataFrame, cfg: PairConfig | None = None, semantic: bool = F
     names = ["event_id", "timestamp", "us", "actor_id", "action_type", "target_id", "target_type", "tool", "reply_to", "origin", "goal_key", "res", "has_text"]
     side = lambda s: [F.col(n).alias(f"{n}_{s}") for n in names + ["emb"] * semantic]
     eligible = ev.where(F.col("actor_type").isin(*cfg.actor_types))
-    pair = candidates(ev, cfg, semantic).join(eligible.select(F.col("rn").alias("i"), *side("i")), "i").join(eligible.select(F.col("rn").alias("j"), *side("j")), "j")
+    first = eligible.join(weighted_resources(ev, eligible, cfg), "rn", "left").select(F.col("rn").alias("i"), *side("i"), "weighted")
+    pair = candidates(ev, cfg, semantic).join(first, "i").join(eligible.select(F.col("rn").alias("j"), *side("j")), "j")
     pair = pair.where(F.col("actor_id_i") != F.col("actor_id_j"))
     c = F.col
     dt = (c("us_j") - c("us_i")) / 60_000_000.0
@@ -162,8 +229,8 @@ def score_pairs(ev: DataFrame, cfg: PairConfig | None = None, semantic: bool = F
         pair = pair.withColumn("semantic", F.lit(0.0))
     shared = F.when(c("action_type_i").isin(*READ_ONLY), F.array().cast("array<string>")).otherwise(F.array_intersect("res_i", "res_j"))
     pair = pair.withColumn("shared_resources", shared)
-    heaviest = pair.select("i", "j", F.explode("shared_resources").alias("resource")).join(resource_weights(ev, cfg).select("resource", "weight"), "resource")
-    pair = pair.join(heaviest.groupBy("i", "j").agg(F.max("weight").alias("resource")), ["i", "j"], "left").withColumn("resource", F.coalesce("resource", F.lit(0.0)))
+    shared_weights = F.transform(F.filter("weighted", lambda x: F.array_contains(F.col("shared_resources"), x["resource"])), lambda x: x["weight"])
+    pair = pair.withColumn("resource", F.coalesce(F.array_max(shared_weights), F.lit(0.0)))
     structural = ((c("target_type_i") == "agent") & (c("target_id_i") == c("actor_id_j"))) | (c("reply_to_j") == c("event_id_i"))
     pair = pair.withColumn("direct", F.when((c("addressed") > 0) | F.coalesce(structural, F.lit(False)), 1.0).otherwise(0.0))
     goal = F.when((c("action_type_j") == "goal_set") & (c("semantic") > 0), 1.0).when((c("goal_key_i") == c("goal_key_j")) & (c("goal_key_i") != ""), 0.5).otherwise(0.0)
@@ -187,25 +254,81 @@ def rescore_pairs(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     return pairs.withColumn("score", F.floor((total + 5_000) / 10_000) / 10_000).where(gate & (F.col("score") >= cfg.min_pair_score))
 
 
+def latest_resembling(asked: pa.Table, rows: pa.Table, window_us: int, sim: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``asked``, places in ``rows``): each pair's last ``keep`` rows of a block that resemble both its ends."""
+    order = np.argsort(-rows.column("rn").to_numpy())
+    rows = rows.take(pa.array(order))
+    k, us, who = rows.column("rn").to_numpy(), rows.column("us").to_numpy(), rows.column("actor_id").to_numpy(zero_copy_only=False)
+    vectors = np.stack(rows.column("emb").to_numpy()).astype(np.float64).T
+    out = []
+    for x in range(0, len(asked), TILE):
+        part = asked.slice(x, TILE)
+        near = np.ones((len(part), len(rows)), bool)
+        for end in ("emb_i", "emb_j"):
+            near &= np.stack(part.column(end).to_numpy()).astype(np.float64) @ vectors >= sim
+        near &= (k[None, :] < part.column("i").to_numpy()[:, None]) & (part.column("us_i").to_numpy()[:, None] - us[None, :] <= window_us)
+        for end in ("src_agent", "dst_agent"):
+            near &= who[None, :] != part.column(end).to_numpy(zero_copy_only=False)[:, None]
+        pair, row = np.nonzero(near & (np.cumsum(near, 1) <= keep))
+        out.append((pair + x, row))
+    none = np.zeros(0, np.int64)
+    pair, row = (np.concatenate([o[c] for o in out] or [none]) for c in range(2))
+    return pair, order[row]
+
+
 def common_causes(pairs: DataFrame, ev: DataFrame, cfg: PairConfig | None = None, keep: int = 3) -> DataFrame:
     """Add ``common_cause`` and ``common_cause_actors``: the last third-party events before i that resemble both ends.
 
     Only pairs with a semantic component are looked at. A third event lies in the window before i, has text, another
     actor than either end, and a cosine of ``common_cause_sim`` or more with both.
+
+    Rows are searched backwards in blocks of ``CAUSE_ROWS``: first the block of i, then the one before, then two, then
+    four, and so on; a pair that has found ``keep`` events, or whose window has ended, is done. A block that many pairs
+    ask for is dealt to several groups, so a group is bounded on both sides, however many events fall into a window.
     """
     cfg = cfg or PairConfig()
-    texts = ev.where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    b = F.floor(F.col("us") / cfg.window_us)
-    third = texts.select(F.col("rn").alias("k"), F.col("us").alias("us_k"), F.col("event_id").alias("event_k"), F.col("actor_id").alias("actor_k"), F.col("emb").alias("emb_k"), F.explode(F.array(b, b + 1)).alias("bucket"))
-    ends = ev.select("rn", "us", "emb")
+    spark = ev.sparkSession
+    ship(spark)
+    block = F.floor(F.col("rn") / CAUSE_ROWS)
+    width = F.size("emb")
+    texts = ev.where((F.trim(F.coalesce("content", F.lit(""))) != "") & F.col("emb").isNotNull()).select("rn", "us", "event_id", "actor_id", "emb", width.alias("width"), block.alias("block"))
+    spans = ev.groupBy(block.alias("block")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))  # a row a block
+    ends = ev.where("emb is not null").select("rn", "us", "emb")
     asked = pairs.where("semantic > 0").select("i", "j", "src_agent", "dst_agent")
     asked = asked.join(ends.select(F.col("rn").alias("i"), F.col("us").alias("us_i"), F.col("emb").alias("emb_i")), "i").join(ends.select(F.col("rn").alias("j"), F.col("emb").alias("emb_j")), "j")
-    asked = asked.withColumn("bucket", F.floor(F.col("us_i") / cfg.window_us))
-    on = (asked["bucket"] == third["bucket"]) & (F.col("k") < F.col("i")) & (F.col("us_i") - F.col("us_k") <= cfg.window_us) & (F.col("actor_k") != F.col("src_agent")) & (F.col("actor_k") != F.col("dst_agent"))
-    near = (dot(F.col("emb_k"), F.col("emb_i")) >= cfg.common_cause_sim) & (dot(F.col("emb_k"), F.col("emb_j")) >= cfg.common_cause_sim)
+    asked = asked.where(F.size("emb_i") == F.size("emb_j")).withColumns({"width": F.size("emb_i"), "next": F.floor(F.col("i") / CAUSE_ROWS), "found": F.lit(0).cast("long")})
+    open_ = stored(asked, "open-pairs")
+    hits, step, window, sim = [], 1, cfg.window_us, cfg.common_cause_sim
+
+    def search(probes: pa.Table, rows: pa.Table) -> pa.Table:
+        pair, row = latest_resembling(probes, rows, window, sim, keep) if len(rows) and len(probes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        p, r = probes.take(pa.array(pair)), rows.take(pa.array(row))
+        return pa.table({"i": p.column("i"), "j": p.column("j"), "k": r.column("rn"), "event_k": r.column("event_id"), "actor_k": r.column("actor_id")})
+
+    while not open_.isEmpty():
+        each = open_.withColumn("block", F.explode(F.sequence(F.greatest(F.col("next") - (step - 1), F.lit(0)), F.col("next")))).join(spans, "block")
+        each = each.where(F.col("us_i") - F.col("last_us") <= window)
+        counts = each.groupBy("block", "width").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / CAUSE_PAIRS).cast("int")).select("block", "width", "parts")
+        probes = each.join(counts, ["block", "width"]).withColumn("part", F.pmod(F.xxhash64("i", "j"), F.col("parts")).cast("int"))
+        dealt = texts.join(counts, ["block", "width"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("block").alias("b"), F.col("width").alias("w"), F.col("part").alias("p"), "rn", "us", "event_id", "actor_id", "emb")
+        met = probes.select("block", "width", "part", "i", "j", "us_i", "src_agent", "dst_agent", "emb_i", "emb_j").groupBy("block", "width", "part").cogroup(dealt.groupBy("b", "w", "p"))
+        new = stored(met.applyInArrow(search, "i long, j long, k long, event_k string, actor_k string"), "common-causes")
+        hits.append(new)
+        # Open stays who has found too few and whose window reaches beyond the lowest block of this round.
+        lowest = F.greatest(F.col("next") - (step - 1), F.lit(0))
+        left = open_.withColumn("block", lowest).join(spans.select("block", "first_us"), "block").where((F.col("block") > 0) & (F.col("us_i") - F.col("first_us") <= window))
+        left = left.join(new.groupBy("i", "j").agg(F.count(F.lit(1)).alias("more")), ["i", "j"], "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0)))
+        nxt = stored(left.where(F.col("found") < keep).withColumn("next", F.col("block") - 1).select(*open_.columns), "open-pairs")
+        delete(spark, open_.scratch_path)
+        # One block again before the rounds grow: most pairs are done by then.
+        open_, step = nxt, max(1, 2 * step if len(hits) > 1 else 1)
+    delete(spark, open_.scratch_path)
+    every = hits[0] if hits else spark.createDataFrame([], "i long, j long, k long, event_k string, actor_k string")
+    for more in hits[1:]:
+        every = every.unionByName(more)
     last = Window.partitionBy("i", "j").orderBy(F.desc("k"))
-    hits = asked.join(third, on).where(near).select("i", "j", "k", "event_k", "actor_k").withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= keep)
-    found = hits.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("k", "event_k", "actor_k"))).alias("x"))
+    best = every.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= keep)
+    found = best.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("k", "event_k", "actor_k"))).alias("x"))
     empty = F.array().cast("array<string>")
     out = pairs.join(found, ["i", "j"], "left")
     return out.withColumn("common_cause", F.coalesce("x.event_k", empty)).withColumn("common_cause_actors", F.coalesce("x.actor_k", empty)).drop("x")

@@ -4,14 +4,37 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver has it; once an application."""
+    key = spark.sparkContext.applicationId
+    if key in _shipped:
+        return
+    _shipped.add(key)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, str(p.relative_to(PACKAGE.parent)))
+    folder = tempfile.mkdtemp(prefix="tidemark-zip-")  # the driver's own; Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"{PACKAGE.name}-code.zip")
+    Path(path).write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_root(spark: SparkSession) -> str:
