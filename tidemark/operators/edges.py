@@ -48,18 +48,25 @@ def rounded_mean(column: str, chosen: Column) -> Column:
 def collapse(pairs: DataFrame, cfg: PairConfig | None = None) -> DataFrame:
     """Edges before the structural rules: score, components, support, times, evidence, confidence, alternatives."""
     cfg = cfg or PairConfig()
-    p = ranked(scoped(pairs)).withColumnsRenamed({"src_agent": "src", "dst_agent": "dst"})
+    every = stored(scoped(pairs), "scoped-pairs")  # read three times below
+    most = max(3, cfg.max_pairs_per_edge)
+    # A bound on the place lets each task keep its own best pairs of an edge before any are moved.
+    best = ranked(every).where(F.col("nth") <= most).withColumnsRenamed({"src_agent": "src", "dst_agent": "dst"})
+    p = every.withColumnsRenamed({"src_agent": "src", "dst_agent": "dst"})
     top = F.col("nth") <= 3
     place = F.struct("nth", F.struct("src_event", "dst_event").alias("e"))
     evidence = F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= cfg.max_pairs_per_edge, place))), lambda x: x["e"])
-    edges = p.groupBy(*KEY).agg(
+    strongest = best.groupBy(*KEY).agg(
         F.avg(F.when(top, F.col("score"))).alias("mean"), rounded_mean("score", top).alias("score"), *[rounded_mean(c, top).alias(c) for c in COMPONENTS],
-        F.count(F.lit(1)).alias("support"), F.min("src_ts").alias("first_ts"), F.max("dst_ts").alias("last_ts"), F.median("dt_minutes").alias("dt_median"),
         F.avg(F.when(top, F.col("same_origin").isNotNull().cast("double"))).alias("origin_share"),
-        F.min_by("same_origin", F.when(F.col("same_origin").isNotNull(), F.col("nth"))).alias("origin"),
-        evidence.alias("evidence_pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("shared_resources")))).alias("shared_resources"),
+        F.min_by("same_origin", F.when(F.col("same_origin").isNotNull(), F.col("nth"))).alias("origin"), evidence.alias("evidence_pairs"),
         F.max(F.when(F.col("nth") == 1, F.struct("common_cause", "common_cause_actors"))).alias("best"),
     ).where(F.col("mean") >= cfg.min_edge_score)
+    whole = p.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("support"), F.min("src_ts").alias("first_ts"), F.max("dst_ts").alias("last_ts"), F.median("dt_minutes").alias("dt_median"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("shared_resources")))).alias("shared_resources"),
+    )
+    edges = strongest.join(whole, KEY)
     # Whoever reaches src by address or resource is upstream of it, and no confounder.
     upstream = p.where((F.col("direct") > 0) | (F.col("resource") >= 0.15)).groupBy("scope", F.col("dst").alias("src")).agg(F.collect_set("src").alias("upstream"))
     edges = edges.join(upstream, ["scope", "src"], "left").withColumn("upstream", F.coalesce("upstream", F.array().cast("array<string>")))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..plans.frame import PairConfig
 from ..plans.shared import stored
-from .components import connected_components
+from .components import connected_components, spanning_forest
 from .edges import collapse_agent_edges, scoped
 
 
+#: Rows that a task numbers at most when events are cut into segments.
+SEGMENT_ROWS = 65_536
+
+
 @dataclass(frozen=True)
 class EpisodeConfig:
     gap_minutes: float = 45
@@ -27,21 +31,22 @@ class EpisodeConfig:
 def segments(ev: DataFrame, gap_minutes: float = 45) -> DataFrame:
     """(event_id, rn, us, segment): a new segment after every gap longer than ``gap_minutes``.
 
-    Gaps are found within day-long pieces and between a piece's first row and the last row before it, then summed the
-    same way, so that no task sorts the whole table.
+    A prefix sum in two levels over ranges of ``SEGMENT_ROWS`` row numbers: gaps are found and summed within a range,
+    the first row of a range looks back at the last row before it, and what came before is added per range. No task has
+    more than a range, however many events a day has; the second level has a row a range.
     """
-    day = F.floor(F.col("us") / 86_400_000_000)
-    rows = ev.select("event_id", "rn", "us", day.alias("day"))
-    spans = rows.groupBy("day").agg(F.max("us").alias("last"))
-    spans = spans.withColumn("before", F.lag("last").over(Window.orderBy("day"))).select("day", "before")  # a row a day
-    inside = Window.partitionBy("day").orderBy("rn")
-    rows = rows.join(F.broadcast(spans), "day")
+    rows = ev.select("event_id", "rn", "us", F.floor(F.col("rn") / SEGMENT_ROWS).alias("part"))
+    spans = rows.groupBy("part").agg(F.max("us").alias("last"))
+    spans = spans.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
+    inside = Window.partitionBy("part").orderBy("rn")
+    rows = rows.join(spans, "part")
     gap = F.col("us") - F.coalesce(F.lag("us").over(inside), F.col("before"))
     rows = rows.withColumn("new", F.when(gap > int(gap_minutes * 60_000_000), 1).otherwise(0))
-    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("day").agg(F.sum("new").alias("n")).select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     running = F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("running", running).join(F.broadcast(base), "day").select("event_id", "rn", "us", (F.col("base") + F.col("running")).alias("segment"))
+    rows = rows.withColumn("running", running)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("part").agg(F.sum("new").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(base, "part").select("event_id", "rn", "us", (F.col("base") + F.col("running")).alias("segment"))
 
 
 def strong_components(ev: DataFrame, pairs: DataFrame, cfg: EpisodeConfig) -> DataFrame:
@@ -55,9 +60,13 @@ def strong_components(ev: DataFrame, pairs: DataFrame, cfg: EpisodeConfig) -> Da
 
 
 def resplit(members: DataFrame, ev: DataFrame, pairs: DataFrame, cfg: EpisodeConfig) -> DataFrame:
-    """Components of too many actors are split again by ever stricter pairs; events no stricter pair touches go."""
+    """Components of too many actors are split again by ever stricter pairs; events no stricter pair touches go.
+
+    All thresholds cut one maximum spanning forest of the pairs within large components: it has fewer links than there
+    are events, and what a threshold leaves of it connects the same events as what it leaves of the pairs.
+    """
     actors = ev.select("rn", "actor_id")
-    threshold = cfg.strong_pair_score + 0.05
+    threshold, forest = cfg.strong_pair_score + 0.05, None
     while threshold < 0.85:
         size = members.join(actors, "rn").groupBy("component").agg(F.count_distinct("actor_id").alias("n"))
         large = stored(size.where(F.col("n") > cfg.max_agents).select("component"), "large-components")
@@ -65,8 +74,11 @@ def resplit(members: DataFrame, ev: DataFrame, pairs: DataFrame, cfg: EpisodeCon
             break
         own = members.join(large, "component")
         kept = members.join(large, "component", "left_anti")
-        strict = pairs.where(F.col("score") >= threshold).select("i", "j")
-        edges = strict.join(own.select(F.col("rn").alias("i"), F.col("component").alias("ci")), "i").join(own.select(F.col("rn").alias("j"), F.col("component").alias("cj")), "j").where("ci = cj").select("i", "j")
+        ends = lambda c: own.select(F.col("rn").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
+        inside = lambda links: links.join(ends("i"), "i").join(ends("j"), "j").where("ci = cj").select("i", "j", "score")  # noqa: B023, E731
+        if forest is None:
+            forest = spanning_forest(inside(pairs.where(F.col("score") >= threshold)))
+        edges = inside(forest.where(F.col("score") >= threshold))
         members = stored(kept.select("rn", "component").unionByName(connected_components(edges, "i", "j", "rn", "component")), "components")
         threshold += 0.05
     return members
