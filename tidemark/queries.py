@@ -26,6 +26,8 @@ TEMPLATES = SEMANTIC.replace(template_min_actors=PairConfig.template_min_actors)
 EPISODES = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3, max_hours=100_000, max_agents=1_000_000)
 #: With the limits on hours and agents at their own values.
 LIMITED = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3)
+#: With limits that components of these tables exceed.
+SPLIT = episodes.EpisodeConfig(gap_minutes=15, strong_pair_score=0.15, min_agents=2, min_events=3, max_hours=0.5, max_agents=4)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,6 +363,12 @@ def episode_groups_limited(spark, sf_dir):
     return groups(spark, sf_dir, LIMITED)
 
 
+@query()
+def episode_groups_split(spark, sf_dir):
+    """With limits that the tables' components exceed, so that they are split by stricter pairs and cut at gaps."""
+    return groups(spark, sf_dir, SPLIT)
+
+
 def groups(spark, sf_dir, cfg) -> DataFrame:
     ev = events(spark, sf_dir)
     m = episodes.episode_members(ev, pairs.score_pairs(ev, PLAIN), cfg)
@@ -397,9 +405,11 @@ def global_kept(spark, sf_dir) -> DataFrame:
     return stored(reach.kept_pairs(edges.scoped(scored), edges.collapse(scored, PLAIN)), "kept")
 
 
-@query(f"""{KEPT} SELECT src_agent AS u, dst_agent AS v, src_us AS s, min(dst_us) OVER (PARTITION BY src_agent, dst_agent ORDER BY src_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d FROM kp""")
+@query(f"""{KEPT}, numbered AS (SELECT *, row_number() OVER (PARTITION BY src_agent, dst_agent ORDER BY src_us, src_event, dst_event) AS pos FROM kp),
+low AS (SELECT *, min({{'d': dst_us, 'at': -pos}}) OVER (PARTITION BY src_agent, dst_agent ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM numbered)
+SELECT l.src_agent AS u, l.dst_agent AS v, l.src_us AS s, l.b.d AS d, x.src_event, x.dst_event FROM low l JOIN numbered x ON x.src_agent = l.src_agent AND x.dst_agent = l.dst_agent AND x.pos = -l.b.at""")
 def suffix_min(spark, sf_dir):
-    return reach.suffix_minimum(global_kept(spark, sf_dir)).select("u", "v", "s", "d")
+    return reach.suffix_minimum(global_kept(spark, sf_dir)).select("u", "v", "s", "d", "src_event", "dst_event")
 
 
 @query(f"{REACH} SELECT source, node, min(t) AS arrival FROM walk WHERE source <> node GROUP BY 1, 2")
