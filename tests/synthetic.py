@@ -3,31 +3,19 @@
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.frame import EVENT_SCHEMA, canonical
-from ..plans.shared import stored
+from tidemark.plans.analysis import Truth
+from tidemark.plans.frame import EVENT_SCHEMA, canonical
+from tidemark.plans.shared import stored
 
 START = datetime(2026, 3, 2, 8, tzinfo=timezone.utc)
 #: Where the chain, the separate group and the common cause meet.
 HUB, OTHER, FORM = "pad.example.net/harvest", "maps.example.org/trail", "forms.example.net/hours"
 
 
-@dataclass(frozen=True)
-class Truth:
-    """What the analysis should find."""
-
-    edges: frozenset[tuple[str, str]]
-    source: str
-    episode: frozenset[str]
-    confounded: tuple[str, str]
-    control: tuple[str, str]
-    apart: frozenset[str]
-
-
 TRUTH = Truth(
     edges=frozenset({("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H")}), source="A", episode=frozenset(f"t{k}" for k in range(8)),
     confounded=("I", "J"), control=("restrict_writes", f"resource:{HUB}"), apart=frozenset("FGH"),

@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import synthetic
 from pyspark.sql import functions as F
 from test_library import frame
 
@@ -14,7 +16,7 @@ from tidemark.functions.text import stop_words
 from tidemark.operators import labels, shape
 from tidemark.plans import analysis
 from tidemark.plans.shared import stored
-from tidemark.sources import synthetic, tables
+from tidemark.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -165,6 +167,74 @@ def test_schema_profile_and_vector_cache(spark, tmp_path):
     assert again.count() == 3 and spark.read.parquet(cache).count() == 3
 
 
+def test_profile_of_paths_in_one_scan(spark, tmp_path):
+    """Presence, types and values of every path; ids and long texts are no categories."""
+    rng = random.Random(3)
+    rows = [{"id": k, "kind": rng.choice("abc"), "b": {"on": k % 3 == 0, "note": "x" * (30 + k % 30)}, "tags": ["t"] * (k % 3), "n": [1, 2.5, None][k % 3]} | ({"rare": 1} if k < 5 else {}) for k in range(200)]
+    path = tmp_path / "x.jsonl"
+    path.write_text("\n".join(map(json.dumps, rows)) + "\n\nnot json\n")
+    got = {r.path: r for r in tables.profile_paths(spark, f"file://{path}", most=2).collect()}
+    assert got["id"].n == 200 and got["id"].types == {"int": 200} and got["id"].top is None
+    assert got["n"].types == {"int": 67, "float": 67, "null": 66} and got["rare"].top is None and got["b.note"].top is None
+    kinds = Counter(r["kind"] for r in rows)
+    assert [(x.value, x.n) for x in got["kind"].top] == sorted(kinds.items(), key=lambda x: (-x[1], x[0]))[:2]
+    assert [(x.value, x.n) for x in got["b.on"].top] == [("false", 133), ("true", 67)]
+    assert got["tags"].types == {"array": 200} and got["tags[]"].n == sum(k % 3 for k in range(200)) and got["b"].types == {"object": 200}
+
+
+def test_runs_at_once_add_to_a_cache(spark, tmp_path):
+    """Two runs find the same texts missing; both add them, and each text has one vector, that of the last."""
+    cache = f"file://{tmp_path}/cache"
+    texts = spark.createDataFrame([("one",), ("two",)], "text string")
+    vector = lambda df, x: df.select("key", F.array(F.lit(x).cast("float")).alias("emb"))
+
+    def slow(df):
+        inner = tables.cached_vectors(texts, cache, lambda d: vector(d, 1.0))  # another run ends meanwhile
+        assert {(r.text, r.emb[0]) for r in inner.collect()} == {("one", 1.0), ("two", 1.0)}
+        return vector(stored(df, "wanted"), 2.0)
+
+    got = tables.cached_vectors(texts, cache, slow)
+    assert {(r.text, r.emb[0]) for r in got.collect()} == {("one", 2.0), ("two", 2.0)} and got.count() == 2
+    turns = spark.createDataFrame([("s1", 1, "a"), ("s1", 2, "b")], "session_id string, created_at long, text string")
+    wanted = turns.select("session_id")
+    own = f"file://{tmp_path}/turns"
+    tables.add_batch(turns, own, "session_id")
+    tables.add_batch(turns.where("created_at = 2"), own, "session_id")
+    assert [r.text for r in tables.cached_turns(turns, wanted, own).collect()] == ["b"]
+    assert not [x for x in (tmp_path / "turns").iterdir() if x.name.startswith("_adding")]
+
+
+def test_subspace_of_the_encoder(spark, monkeypatch):
+    """The projection is that onto numpy's first right singular vectors."""
+    rng = random.Random(9)
+    topics = [[f"{t}{k}" for k in range(8)] for t in ("oak", "bay", "fir", "elm", "ash", "yew")]
+    texts = [(k, " ".join(rng.choice(topics[k % 6]) if rng.random() < 0.9 else rng.choice(topics[rng.randrange(6)]) for _ in range(40))) for k in range(120)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    weights = labels.tfidf(df).collect()
+    terms = sorted({r.term for r in weights})
+    a = np.zeros((120, len(terms)))
+    for r in weights:
+        a[r.id, terms.index(r.term)] = r.weight
+    _, s, v = np.linalg.svd(a)
+    assert s[5] > 1.5 * s[6]
+    got = {r.id: np.array(r.emb) for r in labels.encode(df, size=6).collect()}
+    want = a @ v[:6].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert all(len(e) == 6 for e in got.values())
+    for i in range(0, 120, 7):
+        for j in range(120):
+            assert abs(got[i] @ got[j] - want[i] @ want[j]) < 1e-6
+
+
+def test_unknown_controls_are_refused(spark):
+    from tidemark.operators import intervene
+
+    bad = spark.createDataFrame([("*", "wishful_thinking", "x", 1)], "scope string, kind string, target string, cand_ord int")
+    with pytest.raises(ValueError, match="wishful_thinking"):
+        intervene.checked(bad)
+    assert intervene.checked(bad.withColumn("kind", F.lit("limit_tool"))).count() == 1
+
+
 def test_sessions_drill_down(spark, tmp_path):
     turns = spark.createDataFrame([("s1", 2, "b"), ("s1", 1, "a"), ("s2", 3, "c"), ("s3", 4, "d")], "session_id string, created_at long, text string")
     wanted = lambda *s: spark.createDataFrame([(x,) for x in s], "session_id string")

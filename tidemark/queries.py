@@ -730,9 +730,3 @@ def episode_sentences(spark, sf_dir):
     ev, _, found = found_episodes(spark, sf_dir)
     return shape.summaries(found, ev)
 
-
-@query()
-def synthetic_benchmark(spark, sf_dir):
-    """What the whole analysis recovers of a log with known truth; reads no table."""
-    m = analysis.run_benchmark(spark)
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(m.items())], "measure string, value string")
