@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tidemark import queries as library
 
+EPISODIC = ("detections", "episode_sentences", "episode_shape", "intervention_scores", "ranked_episodes")
 DIR = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.001")
 
 
@@ -42,10 +43,10 @@ def test_query(spark, db, name):
         columns = [c[0] for c in want.description]
         assert sorted(columns) == sorted(df.columns)
         assert got == rows(columns, want.fetchall())
-    else:
-        assert df.columns
+    else:  # what these return is held to brute force elsewhere; the smallest table has no episodes of its own
+        assert got or name.endswith(("_templates", "_limited", "_split")) or name in EPISODIC
 
 
 def test_entry(spark):
-    assert entry_module.entry(spark).count() >= 0
+    assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
