@@ -222,6 +222,51 @@ def test_language_model_of_order_two(spark, docs):
         assert math.isclose(got[i], sum(math.log10(p2(u, w)) for u, w in zip([None, *t[:-1]], t)), abs_tol=0.01 * len(t))
 
 
+def test_words_after_a_frequent_pair_are_cut_over_parts(spark):
+    """One pair holds half of all triples; its words have several files, and all scores are those of brute force."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"of the n{w}" for w in rng.integers(0, 900, 40)) for _ in range(60)]
+    texts += [" ".join(f"w{w}" for w in rng.integers(0, 300, 60)) for _ in range(40)] + ["of the", "the of", "", None, "of the unseen of the n1"]
+    own = list(enumerate(texts))
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    model = ngram_lm.train(df.where("crc32(cast(doc_id as string)) % 5 != 1"), base.scratch(spark, "lm-test"), n_shards=8)
+    the = (xxhash.xxh64_intdigest(b"of"), xxhash.xxh64_intdigest(b"the"))
+    assert next(parts for u, v, parts in model.heavy if (u, v) == the) >= 2
+    assert len(model.heavy) <= 16 and len(model.tails) >= 2
+    *_, p3 = plain_model(own)
+    got = {r.doc_id: r.score for r in ngram_lm.score(df, model).collect()}
+    for i, text in own:
+        t = plain_tokens(text)
+        assert math.isclose(got[i], sum(math.log10(p3(t, k)) for k in range(len(t))), abs_tol=0.01 * len(t))
+    plain = ngram_lm.train(df.where("crc32(cast(doc_id as string)) % 5 != 1"), base.scratch(spark, "lm-test"), n_shards=1)
+    assert all(math.isclose(r.score, got[r.doc_id], abs_tol=0.01 * len(plain_tokens(texts[r.doc_id]))) for r in ngram_lm.score(df, plain).collect())
+
+
+def test_frequent_pairs_leave_none_unreported():
+    """Whatever a corpus is cut into, pairs with a share of all tokens are found by the slices' reports."""
+    rng = np.random.default_rng(6)
+    slices = [[" ".join(rng.choice(["a", "b", "c", "d", "e"], n, p=[0.4, 0.3, 0.1, 0.1, 0.1])) for _ in range(k)] for n, k in ((3, 5), (400, 2), (1, 9), (60, 4))]
+    true, reported, total, share = Counter(), Counter(), 0, 8
+    for texts in slices:
+        t = ngram_lm.tokens(pa.array(texts))
+        total += len(t.codes)
+        u, v, n = ngram_lm.frequent_pairs(t, np.bincount(t.codes, minlength=len(t.hashes)), 2 * share)
+        reported.update({(int(t.hashes[a]), int(t.hashes[b])): int(c) for a, b, c in zip(u, v, n)})
+        for text in texts:
+            own = [ngram_lm.END, *(xxhash.xxh64_intdigest(w.encode()) for w in text.split())]
+            true.update(zip(own, own[1:]))
+    for pair, n in true.items():
+        if n * share >= total:
+            assert reported[pair] * 2 * share >= total
+        assert reported[pair] <= n <= reported[pair] + total / (2 * share)
+
+
+def test_more_words_than_their_numbers_have_bits(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "WORD_NUMBERS", 100)
+    with pytest.raises(ValueError, match="different words"):
+        ngram_lm.train(docs, base.scratch(spark, "lm-test"))
+
+
 def test_language_model_learnt_from_nothing(spark, odd):
     root = base.scratch(spark, "lm-test")
     model = ngram_lm.train(odd.where("false"), root)
