@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import base, media, ngram_lm, order_minhash, quality, secrets, simhash
@@ -59,6 +60,55 @@ def test_quality_separates_held_out_labels(spark, sf_dir):
     assert auc > 0.9
 
 
+def scored_again(model, text):
+    """The documented score, window by window, with the library's plain calls."""
+    data = (text or "").encode()
+    windows = [data[i : i + 768] for i in range(0, len(data), 768)] or [b""]
+    size = lambda d, w: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(w))
+    good, bad = ([size(d, w) for w in windows] for d in (model.good, model.bad))
+    room = [len(w) + 32 for w in windows]
+    gaps = [(g - b) / r for g, b, r in zip(good, bad, room)]
+    mean, n = sum(gaps) / len(gaps), len(data)
+    spread = math.sqrt(sum((g - mean) ** 2 for g in gaps) / len(gaps))
+    rates = [g / r for g, r in zip(good, room)]
+    x = [(sum(good) - sum(bad)) / (n + 32), max(gaps), min(gaps), spread, sum(good) / (n + 32), min(rates), max(rates), 1 / (1 + n / 200)]
+    z = [max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(x, model.means, model.scales)]
+    return 1 / (1 + math.exp(-sum(w * v for w, v in zip(model.weights, [1.0, *z, *(v * v / 4 for v in z)]))))
+
+
+def test_quality_scores_are_those_of_their_description(spark, sf_dir, docs, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")))
+    for df in (docs, odd):
+        got = quality.score(df, model, carry=("text",)).collect()
+        assert len(got) == df.count()
+        for r in got:
+            assert math.isclose(r.score, scored_again(model, r.text), abs_tol=1e-9) and r.predicted == int(r.score >= 0.7)
+    other = docs.select((F.col("doc_id") * 7 + 3).alias("doc_id"), "text", F.lit("xx").alias("lang"))
+    by_text = lambda df: {r.text: r.score for r in quality.score(df, model, carry=("text",)).collect()}
+    assert by_text(docs) == by_text(other)
+
+
+def test_quality_scores_see_texts_and_learnt_labels_only(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", 1 - F.col("toxic"))
+    strange = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.reverse("source"))
+    assert {r.doc_id: r.score for r in quality.classify(strange, turned).collect()} == plain
+    learnt = labels.withColumn("quality", F.when(~held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r.doc_id: r.score for r in quality.classify(docs, learnt).collect()} != plain
+
+
+def test_dictionaries_of_few_or_equal_windows():
+    few = [b"a short window", b"another one", b"a short window"]
+    assert quality.dictionary(few, 96 << 10) == b"a short windowanother one" and quality.dictionary([], 1 << 16) == b""
+    assert len(quality.dictionary([b"same " * 150] * 5000, 96 << 10)) <= 96 << 10
+    rng = random.Random(3)
+    some = [bytes(rng.choices(b"abcdefgh ", k=700)) for _ in range(60)]
+    assert 0 < len(quality.dictionary(some, 96 << 10)) <= 96 << 10
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(-5, 25)] + [(7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels).collect()

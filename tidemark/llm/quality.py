@@ -40,11 +40,16 @@ class Model:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the samples themselves as content where the trainer finds them too few."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+    """A trained dictionary of at most ``size`` bytes, half of it and so on where the trainer finds the samples too few.
+
+    A handful of windows trains none of 1 KB: then the different windows as they are, all of them, are the dictionary.
+    """
+    while size >= 1 << 10:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b"".join(dict.fromkeys(samples))
 
 
 def cut(text: bytes) -> list[bytes]:
