@@ -245,16 +245,23 @@ def sequences(context: np.ndarray, n_contexts: int, word: np.ndarray) -> tuple[n
 
 def found(pointers: EliasFano, successors: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each word among its context's successors, in the whole level, or -1; how many that context has)."""
-    begin, end = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
+    if not len(context):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Look-ups come sorted by context: what depends on the context alone is read once a run of equal ones.
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    run, own = np.cumsum(new) - 1, context[new]
+    begin, end = pointers.access(own).astype(np.int64), pointers.access(own + 1).astype(np.int64)
+    shift = np.zeros(len(own), np.uint64)
+    inner = np.flatnonzero((begin > 0) & (begin < end))
+    shift[inner] = successors.access(begin[inner] - 1) + np.uint64(1)
     place = np.full(len(context), -1, np.int64)
-    some = np.flatnonzero((begin < end) & (word >= 0))
+    some = np.flatnonzero((begin < end)[run] & (word >= 0))
     if len(some):
-        b, e, w = begin[some], end[some], word[some].astype(np.uint64)
-        wanted = w + np.where(b > 0, successors.access(np.maximum(b - 1, 0)) + np.uint64(1), np.uint64(0))
-        at = successors.index(wanted)
-        hit = (at < e) & (at >= b)
+        k = run[some]
+        at = successors.index(word[some].astype(np.uint64) + shift[k])
+        hit = (at < end[k]) & (at >= begin[k])
         place[some[hit]] = at[hit]
-    return place, end - begin
+    return place, (end - begin)[run]
 
 
 def save(root: str, kind: str, head: dict, arrays: list[np.ndarray]) -> str:
