@@ -688,7 +688,7 @@ def order_events(spark, sf_dir) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"l_shipdate": ship, "l_receiptdate": F.date_add(ship, (F.col("l_partkey") % 60).cast("int"))})
     page = F.concat(F.lit("wiki:"), F.col("l_orderkey").cast("string")).alias("target_id")
     who = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("actor_id")
-    of = lambda at, action, kind: line.select(F.col(at).cast("timestamp").alias("timestamp"), page, F.lit(action).alias("action_type"), F.lit(kind).alias("actor_type"), who, F.lit(None).cast("string").alias("recreation_of"), F.concat_ws(":", F.lit(action), "l_orderkey", "l_linenumber").alias("event_id"))
+    of = lambda at, action, kind: line.select(F.col(at).cast("timestamp").alias("timestamp"), page, F.lit(action).alias("action_type"), F.lit(kind).alias("actor_type"), who, F.lit(None).cast("string").alias("recreation_of"), F.concat_ws(":", F.lit(action), "l_orderkey", "l_linenumber").alias("event_id"), "l_returnflag", "l_linestatus")
     return of("l_shipdate", "edit", "agent").unionByName(of("l_receiptdate", "delete", "human"))
 
 
@@ -706,16 +706,24 @@ def daily_writes(spark, sf_dir):
     return shape.daily_writes(order_events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT l_orderkey AS p, date_trunc('month', l_shipdate) AS e, l_shipdate AS d FROM lines), en AS (SELECT e, max(d) AS ending FROM m GROUP BY 1), g AS (SELECT l_orderkey AS p, min(l_receiptdate) AS gone FROM lines GROUP BY 1)
-SELECT CAST(CAST(e AS DATE) AS VARCHAR) AS episode_id, count(*) AS episode_pages, count(gone) AS pages_deleted, round(date_diff('hour', max(ending), min(gone)), 1) AS hours_to_first_deletion FROM (SELECT DISTINCT p, e FROM m) JOIN en USING (e) JOIN g USING (p) GROUP BY 1""")
+@query("""WITH lines AS (SELECT l_orderkey AS p, CAST(l_shipdate AS DATE) AS d, CAST(l_shipdate AS DATE) + CAST(l_partkey % 60 AS INTEGER) AS del, 's' || l_suppkey AS who, l_returnflag = 'R' AS gives_up, l_linestatus = 'O' AS again FROM lineitem),
+pg AS (SELECT DISTINCT p, date_trunc('month', d) AS e FROM lines), en AS (SELECT date_trunc('month', d) AS e, max(d) AS ending FROM lines GROUP BY 1), g AS (SELECT p, min(del) AS gone FROM lines WHERE gives_up GROUP BY 1),
+a AS (SELECT e, count(*) AS episode_pages, count(gone) AS pages_deleted, CAST(round(date_diff('hour', max(ending), min(gone)), 1) AS DOUBLE) AS hours_to_first_deletion FROM pg JOIN en USING (e) LEFT JOIN g USING (p) GROUP BY 1),
+w AS (SELECT e, count(*) FILTER (again) AS recreations, count(*) FILTER (d > ending AND d < gone) AS writes_before_deletion, count(*) FILTER (d > ending AND gone IS NULL) AS writes_on_kept_pages FROM pg JOIN en USING (e) JOIN lines USING (p) LEFT JOIN g USING (p) GROUP BY 1),
+b AS (SELECT e, string_agg(DISTINCT who, ',' ORDER BY who) AS deleted_by FROM pg JOIN lines USING (p) WHERE gives_up GROUP BY 1)
+SELECT CAST(CAST(e AS DATE) AS VARCHAR) AS episode_id, episode_pages, pages_deleted, hours_to_first_deletion, recreations, writes_before_deletion, writes_on_kept_pages, coalesce(deleted_by, '') AS deleted_by,
+  (SELECT round(count(gone) / count(*), 3) FROM (SELECT DISTINCT p FROM lines) LEFT JOIN g USING (p)) AS deletion_base_rate FROM a JOIN w USING (e) LEFT JOIN b USING (e)""")
 def historical_audit(spark, sf_dir):
-    """What became of the pages of each month's writes."""
-    ev = order_events(spark, sf_dir)
+    """What became of the pages of each month's writes: returned lines delete their page, open ones write it anew."""
+    ev = order_events(spark, sf_dir).where("action_type <> 'delete' or l_returnflag = 'R'")
+    anew = (F.col("action_type") == "edit") & (F.col("l_linestatus") == "O")
+    ev = ev.withColumn("recreation_of", F.when(anew, F.col("target_id"))).withColumn("action_type", F.when(anew, "create").otherwise(F.col("action_type")))
     month = F.to_date(F.date_trunc("month", "timestamp")).cast("string").alias("episode_id")
-    members = ev.where("action_type = 'edit'").select(month, "event_id", "timestamp")
+    members = ev.where("action_type <> 'delete'").select(month, "event_id", "timestamp")
     ends = members.groupBy("episode_id").agg(F.max("timestamp").alias("end"))
     found = intervene.historical_response(members.drop("timestamp"), ends, ev)
-    return found.select("episode_id", "episode_pages", "pages_deleted", F.col("hours_to_first_deletion").cast("double").alias("hours_to_first_deletion"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("episode_pages", "pages_deleted", "recreations", "writes_before_deletion", "writes_on_kept_pages")]
+    return found.select("episode_id", *whole, F.col("hours_to_first_deletion").cast("double").alias("hours_to_first_deletion"), F.array_join("deleted_by", ",").alias("deleted_by"), "deletion_base_rate")
 
 
 @query()
