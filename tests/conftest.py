@@ -16,6 +16,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tidemark-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -47,32 +47,47 @@ def sliding_activity(events: DataFrame, length: str = "1 hour", step: str = "15
 def last_writers(events: DataFrame, idle: str = "24 hours", late: str = "2 hours") -> DataFrame:
     """(resource, src_agent, dst_agent, src_event, dst_event): each touch with the last write by somebody else before it.
 
-    State is the newest write of the two newest writers of a resource, and is forgotten after ``idle`` of event time
-    without a touch. Rows of a batch are taken in the order of time, then id; a row later than the watermark is dropped.
+    State is the newest write of the two newest writers of a resource. A resource is forgotten after ``idle`` of event
+    time without a touch: by a timer, and before a later touch that comes ahead of the watermark. Rows of a batch are
+    taken in the order of time, then id; a row later than the watermark is dropped. The session needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    from collections.abc import Iterator
-
     import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
 
     hold = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        writers = [(state.get[k], state.get[k + 1]) for k in (0, 2) if state.get[k]] if state.exists else []
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["timestamp", "event_id"]).itertuples():
-            other = next((w for w in writers if w[0] != r.actor_id), None)
-            if other:
-                out.append((key[0], other[0], r.actor_id, other[1], r.event_id))
-            if r.writes:
-                # The two newest writers are enough: of two different ones, one isn't the next row's actor.
-                writers = [(r.actor_id, r.event_id), *[w for w in writers if w[0] != r.actor_id]][:2]
-        flat = [x for w in [*writers, ("", ""), ("", "")][:2] for x in w]
-        state.update(tuple(flat))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + hold)
-        yield pd.DataFrame(out, columns=["resource", "src_agent", "dst_agent", "src_event", "dst_event"])
-
-    touch = events.withWatermark("timestamp", late).select("timestamp", "event_id", "actor_id", (~F.col("action_type").isin("memory_read", "visit")).alias("writes"), F.explode("res").alias("resource"))
-    return touch.groupBy("resource").applyInPandasWithState(step, "resource string, src_agent string, dst_agent string, src_event string, dst_event string", "a string, ae string, b string, be string", "append", "EventTimeTimeout")
+    columns = ["resource", "src_agent", "dst_agent", "src_event", "dst_event"]
+
+    class LastWriters(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.kept = handle.getValueState("kept", "a string, ae string, b string, be string, touched long")
+
+        def handleInputRows(self, key, rows, timer_values):
+            flat, before = (tuple(self.kept.get()), True) if self.kept.exists() else ((None,) * 5, False)
+            writers, touched, out = [(flat[k], flat[k + 1]) for k in (0, 2) if flat[k] is not None], flat[4], []
+            for r in pd.concat(list(rows)).sort_values(["timestamp", "event_id"]).itertuples():
+                if touched is not None and r.ms - touched > hold:
+                    writers = []
+                touched = r.ms if touched is None else max(touched, r.ms)
+                other = next((w for w in writers if w[0] != r.actor_id), None)
+                if other:
+                    out.append((key[0], other[0], r.actor_id, other[1], r.event_id))
+                if r.writes:
+                    # The two newest writers are enough: of two different ones, one isn't the next row's actor.
+                    writers = [(r.actor_id, r.event_id), *[w for w in writers if w[0] != r.actor_id]][:2]
+            if before and flat[4] != touched:
+                self.handle.deleteTimer(int(flat[4]) + hold)
+            self.kept.update((*[x for w in [*writers, (None, None), (None, None)][:2] for x in w], int(touched)))
+            self.handle.registerTimer(int(touched) + hold)
+            yield pd.DataFrame(out, columns=columns)
+
+        def handleExpiredTimer(self, key, timer_values, expired):
+            self.kept.clear()
+            yield pd.DataFrame([], columns=columns)
+
+        def close(self):
+            pass
+
+    touch = events.withWatermark("timestamp", late).select("timestamp", F.unix_millis("timestamp").alias("ms"), "event_id", "actor_id", (~F.col("action_type").isin("memory_read", "visit")).alias("writes"), F.explode("res").alias("resource"))
+    return touch.groupBy("resource").transformWithStateInPandas(LastWriters(), ", ".join(f"{c} string" for c in columns), "append", "EventTime")
