@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from test_library import write_lines
 
 import tidemark.__main__ as shell
-from tidemark.sources import village
+from tidemark.operators import graph
+from tidemark.sources import tables, village
 from tidemark.streaming import windows
 
 COLUMNS = "event_id string, timestamp timestamp, actor_id string, action_type string, res array<string>"
@@ -104,6 +105,15 @@ def test_shell_lists_days_and_analyses_a_window(spark, tmp_path, capsys, monkeyp
     assert [(len(g[0]), g[1]) for g in given] == [(2, 30), (2, 120)] and not given[0][2]["truncated_to_max_events"] and given[1][2] == {"table": f"file://{tmp_path}/t"}
 
 
+def test_change_log_and_inferred_graph(spark, tmp_path):
+    (tmp_path / "log.md").write_text("# Log\nintro\n\n## 2026-07-06 (Mon)\nA new\n\n  room  \n### inner\n## not a day\n## 2026-07-01\n" + "x" * 400 + "\n## 2026-06-30\n")
+    got = {str(r.day): r.body for r in tables.changelog(spark, f"file://{tmp_path}/log.md").collect()}
+    assert got == {"2026-07-06": "A new room ### inner", "2026-07-01": "x" * 300, "2026-06-30": ""}
+    found = spark.createDataFrame([("A", "B", 0.5), ("B", "A", 0.2), ("A", "C", 0.3)], "src string, dst string, score double")
+    assert rows(graph.propagation_edges(found, 0.3)) == [("agent:A", f"agent:{b}", f"prop:A->{b}", "candidate_propagation", x) for b, x in (("B", 0.5), ("C", 0.3))]
+    assert graph.propagation_edges(found).count() == 3 and graph.propagation_edges(found, 0.9).count() == 0
+
+
 @pytest.mark.parametrize("argv", [["village", "--dir", "x"], ["wiki", "--dir", "x", "--list-days"], ["wiki"], ["other", "--dir", "x"], ["wiki", "--dir", "x", "--mode", "all"]])
 def test_shell_refuses(argv):
     with pytest.raises(SystemExit):

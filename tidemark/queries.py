@@ -321,6 +321,14 @@ def influence_edges(spark, sf_dir):
     return edges.mark_indirect(all_edges(spark, sf_dir)).select("src", "dst", "score", "confidence")
 
 
+@query(f"{EDGES} SELECT 'agent:' || src AS src, 'agent:' || dst AS dst, 'prop:' || src || '->' || dst AS key, 'candidate_propagation' AS rel, score FROM ed WHERE score >= 0.3")
+def propagation_graph(spark, sf_dir):
+    """The inferred graph of agents above a score, as the observed graph has its edges."""
+    from .operators.graph import propagation_edges
+
+    return propagation_edges(all_edges(spark, sf_dir), 0.3)
+
+
 @query()
 def edge_explanations(spark, sf_dir):
     return edges.edges_frame(edges.mark_indirect(all_edges(spark, sf_dir))).drop("scope")
@@ -610,7 +618,9 @@ def template_texts(spark, sf_dir):
     return flagged.where("not has_text and t <> ''").groupBy(F.md5("t").alias("text_md5")).agg(F.count_distinct("actor_id").alias("posters"))
 
 
-@query()
+@query(rf"""WITH w AS (SELECT unnest(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '{labels.TOKEN.replace("'", "''")}'), lambda t: NOT contains(t, '://')), lambda t: lower(t)))) AS word FROM documents),
+often AS (SELECT word FROM w GROUP BY 1 HAVING count(*) / (SELECT greatest(1, count(*)) FROM documents) > 0.015::DOUBLE)
+SELECT word FROM often UNION SELECT unnest(list_filter(string_split_regex(lower(replace(source, '@', ' ')), '\s+'), lambda p: p <> '')) AS word FROM documents""")
 def common_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return labels.common_words(docs.select(F.col("text").alias("content"), F.col("source").alias("actor_id")))
@@ -623,6 +633,24 @@ def source_labels(spark, sf_dir):
     return labels.group_labels(docs, key="source").withColumn("terms", F.array_join("terms", ","))
 
 
+#: Stop words of the query that SQL follows: its text is made without a session, and so without Spark's own list.
+STOP = ("and", "are", "for", "from", "has", "have", "not", "that", "the", "this", "was", "were", "with")
+
+
+@query(rf"""WITH s AS (SELECT source AS id, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7F\P{{L}}]', 'Z', 'g'), '\b[a-z][a-z0-9_\-]{{2,}}\b'), lambda w: w NOT IN {STOP}) AS w FROM documents),
+g AS (SELECT id, unnest(w) AS term FROM s UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM s),
+t AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(DISTINCT source) AS n FROM documents),
+d AS (SELECT term, count(*) AS df, any_value(n) AS n FROM t, n GROUP BY 1 HAVING any_value(n) <= 3 OR count(*) <= 0.8::DOUBLE * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 20000),
+x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN d USING (term)), y AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),
+p AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS place FROM y QUALIFY place <= 12), l AS (SELECT id, list([term] ORDER BY place) AS f FROM p GROUP BY 1)
+SELECT source, coalesce(array_to_string(list_reduce(f, lambda a, x: CASE WHEN len(a) < 4 AND len(list_filter(a, lambda o: contains(o, x[1]) OR contains(x[1], o))) = 0 THEN a || x ELSE a END), ','), '') AS terms
+FROM (SELECT DISTINCT source FROM documents) LEFT JOIN l ON l.id = source""")
+def source_terms(spark, sf_dir):
+    """:func:`source_labels` with a list of stop words of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return labels.group_labels(docs, key="source", stop=STOP).withColumn("terms", F.array_join("terms", ","))
+
+
 # Measures and shapes
 
 

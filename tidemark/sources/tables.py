@@ -89,7 +89,7 @@ def missing_vectors(texts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def changelog(spark: SparkSession, path: str) -> DataFrame:
-    """(day, body): the dated sections of a change log, white space squeezed, cut to 300 characters."""
+    """(day, body): the dated sections of a change log, each up to the next section of any name; white space squeezed, cut to 300 characters."""
     whole = spark.read.text(path, wholetext=True)
     pattern = r"(?ms)^## (\d{4}-\d{2}-\d{2})[^\n]*\n(.*?)(?=^## |\z)"
     pair = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("d"), F.regexp_extract_all("value", F.lit(pattern), F.lit(2)).alias("b"))

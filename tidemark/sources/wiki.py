@@ -17,6 +17,10 @@ HOSTS = ("wikiservice.at", "prowiki.org")
 PLACEHOLDERS = ("Beschreibe hier die neue Seite.",)
 WIKI_WORD = r"\b([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b"
 BRACKET = r"\[\[([^\]|#]+)"
+#: Fixed patterns of URLs that hold another one: as a parameter, as a path with its scheme, as a path without.
+GIVEN = r"[?&](?:url|u|target|src)=([^&#]+)"
+WITH_SCHEME = r"/(https?):/+(.+)$"
+WITHOUT_SCHEME = r"^/((?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+/.*)$"
 
 REVISIONS = "rev_id string, page_key string, wiki string, name string, seq int, body string, hunks array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>, label string, ip16 string, time string, diff_base_reason string, relation_type string, related_event_id string, time_grade string, change_summary string"
 EVENTS = "event_id string, event_type string, page string, page_key string, time string, actor_label string, ip16 string, change_summary string, param_family string, related_event_id string, source_refs string"
@@ -52,10 +56,10 @@ def wiki_page(url: Column) -> Column:
 
 def proxied(url: Column) -> Column:
     """The URL that a proxy's URL asks for; null if it holds none."""
-    given = F.try_url_decode(F.regexp_extract(url, r"[?&](?:url|u|target|src)=([^&#]+)", 1))
+    given = F.try_url_decode(F.regexp_extract(url, GIVEN, 1))
     path = F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
-    scheme, rest = F.regexp_extract(path, r"/(https?):/+(.+)$", 1), F.regexp_extract(path, r"/(https?):/+(.+)$", 2)
-    plain = F.regexp_extract(path, r"^/((?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+/.*)$", 1)
+    scheme, rest = F.regexp_extract(path, WITH_SCHEME, 1), F.regexp_extract(path, WITH_SCHEME, 2)
+    plain = F.regexp_extract(path, WITHOUT_SCHEME, 1)
     return (
         F.when(given.startswith("http"), given).when(given != "", F.concat(F.lit("https://"), given))
         .when(rest != "", F.concat(scheme, F.lit("://"), rest)).when(plain != "", F.concat(F.lit("https://"), plain))
