@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidemark import queries  # noqa: E402
 
-NAMES = ("canonical_events", "resource_last50", "scored_pairs", "influence_edges", "segments", "burst_baseline", "components", "suffix_min", "hetero_edges", "resource_share_edges", "url_keys")
+NAMES = ("canonical_events", "resource_last50", "scored_pairs", "influence_edges", "segments", "burst_baseline", "components", "suffix_min", "hetero_edges", "resource_share_edges", "url_keys", "semantic_topk", "common_cause")
 
 
 def main() -> None:
