@@ -134,3 +134,10 @@ def test_repetitive_texts_are_cut_exactly(spark):
     for length, gram in ((20, 8), (20, 20), (24, 3)):
         compare(df, length, gram)
         compare(df, length, gram, shard_bytes=500, hot_bytes=60)
+
+
+def test_texts_meet_their_spans_in_one_way(spark):
+    docs = spark.createDataFrame([(k, "one and the same long line " * 3 + str(k)) for k in range(4)], "doc_id long, text string")
+    cut = suffix_dedup.remove_repeats(docs, length=20, gram=6)
+    assert cut.where("n_removed > 0").count() == 4
+    assert "BroadcastHashJoin" not in cut._jdf.queryExecution().executedPlan().toString()
