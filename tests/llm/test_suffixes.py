@@ -141,3 +141,26 @@ def test_texts_meet_their_spans_in_one_way(spark):
     cut = suffix_dedup.remove_repeats(docs, length=20, gram=6)
     assert cut.where("n_removed > 0").count() == 4
     assert "BroadcastHashJoin" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_anchors_read_no_text_again(spark):
+    """Texts are read for their pieces and once for the bytes of cuts, whatever number of anchors is split, and blocks after that."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [word(40), word(60)]
+    texts = [word(rng.randint(0, 60)) + passages[i % 2] + word(rng.randint(0, 60)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(7, texts[7], "x", "y", "z")] * 5, SCHEMA)
+    read, found = spark.sparkContext.accumulator(0), {}
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    for hot_bytes in (1 << 30, 3000, 1):
+        before = read.value
+        spans = suffix_dedup.repeated_spans(suffix_dedup.keyed(docs.mapInArrow(counted, docs.schema), ("doc_id",), "doc_id", "text"), 48, 20, hot_bytes=hot_bytes)
+        rows = {r.k1: [x.tolist() if hasattr(x, "tolist") else x for x in suffix_dedup.merge_spans(*np.array(r.spans).T)] for r in spans.collect()}
+        found[hot_bytes] = (read.value - before, rows)
+    assert found[1] == found[3000] == found[1 << 30]
+    assert found[1][0] == 2 * 65 and found[1][1]
