@@ -6,6 +6,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import induced_sort, suffix_dedup
@@ -164,3 +165,37 @@ def test_hot_anchors_read_no_text_again(spark):
         found[hot_bytes] = (read.value - before, rows)
     assert found[1] == found[3000] == found[1 << 30]
     assert found[1][0] == 2 * 65 and found[1][1]
+
+
+def test_only_what_shares_a_deeper_anchor_is_sorted_and_one_anchor_at_a_time(monkeypatch):
+    """Pieces that have no more than the anchor in common aren't sorted; a shard's anchors don't make one long text."""
+    rng = random.Random(13)
+    word = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    passages = [word(n) for n in (30, 30, 60, 60, 90, 90)]
+    texts = [word(rng.randint(20, 90)) + p + word(rng.randint(20, 90)) for p in passages for _ in range(20)]
+    length, names = 48, [*suffix_dedup.PIECE, "copies", "first", "windows", "lead", "data"]
+    found = [(a, p1, p2, 0, n, lead, t[s : s + n + length - 1]) for t in texts for c in suffix_dedup.pieces(t, length, 20) for s, n, lead, a, p1, p2, _ in c.T.tolist()]
+    anchors, copies = Counter(x[0] for x in found), Counter(x[:3] for x in found)
+    rows = [(*x[:3], copies[x[:3]], *x[3:]) for x in dict.fromkeys(found) if anchors[x[0]] > 1]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:-1]), pa.array([x[-1] for x in rows], pa.binary())], names)
+
+    class Frame:
+        def select(self, *columns):
+            assert set(columns) <= set(names)
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    sort, sorted_ = induced_sort.repeated, []
+    monkeypatch.setattr(induced_sort, "repeated", lambda text, *rest: sorted_.append(len(text)) or sort(text, *rest))
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 2000, raising=False)
+    got = {}
+    for b in suffix_dedup.sort_shards(Frame(), length)(iter([batch.slice(0, 50), batch.slice(50)])):
+        for x in b.to_pylist():
+            got[x["anchor"], x["p1"], x["p2"]] = [*zip(x["begins"], x["ends"], strict=True)]
+    windows = Counter(x[-1][i : i + length] for x in rows for i in range(x[5]))
+    want = {x[:3]: [*zip(*(s.tolist() for s in suffix_dedup.covered(np.array(hits), length)), strict=True)] for x in rows if x[3] == 1 and (hits := [i for i in range(x[5]) if windows[x[-1][i : i + length]] > 1])}
+    assert got == want and want
+    assert sum(sorted_) < 0.7 * sum(len(x[-1]) for x in rows), (sorted_, sum(len(x[-1]) for x in rows))
+    assert len(sorted_) > 1 and max(sorted_) < sum(sorted_) / 2
